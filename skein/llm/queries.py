@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, language_id, mixing, pii, quality, url_filter
 from .common import read
 
 
+def op1_language_id(spark, sf_dir):
+    return language_id.identify_languages(read(spark, sf_dir, "documents"))
+
+
+def op3_quality(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.train(docs, read(spark, sf_dir, "labels")))
+
+
+def op5_url_filter(spark, sf_dir):
+    return url_filter.filter_urls(read(spark, sf_dir, "pages"))
+
+
+def op6_pii(spark, sf_dir):
+    return pii.digest_spans(pii.find_pii(read(spark, sf_dir, "documents")))
+
+
 def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -14,5 +31,5 @@ def op10_mix_sources(spark, sf_dir):
     return mixing.mix_sources(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op9_exact_dedup, op10_mix_sources)}
-ORACLES = {"op9_exact_dedup": exact_dedup.ORACLE, "op10_mix_sources": mixing.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_quality, op5_url_filter, op6_pii, op9_exact_dedup, op10_mix_sources)}
+ORACLES = {"op5_url_filter": url_filter.oracle(), "op9_exact_dedup": exact_dedup.ORACLE, "op10_mix_sources": mixing.ORACLE}
