@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, pii, quality, url_filter
+from . import decontaminate, exact_dedup, language_id, mixing, pii, quality, simhash, url_filter
 from .common import read
 
 
@@ -10,6 +10,10 @@ def op1_language_id(spark, sf_dir):
     return language_id.identify_languages(read(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark, sf_dir):
+    return decontaminate.digest_contamination(decontaminate.find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
+
+
 def op3_quality(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     return quality.score_quality(docs, quality.train(docs, read(spark, sf_dir, "labels")))
@@ -23,6 +27,10 @@ def op6_pii(spark, sf_dir):
     return pii.digest_spans(pii.find_pii(read(spark, sf_dir, "documents")))
 
 
+def op8_simhash(spark, sf_dir):
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -31,5 +39,5 @@ def op10_mix_sources(spark, sf_dir):
     return mixing.mix_sources(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_quality, op5_url_filter, op6_pii, op9_exact_dedup, op10_mix_sources)}
-ORACLES = {"op5_url_filter": url_filter.oracle(), "op9_exact_dedup": exact_dedup.ORACLE, "op10_mix_sources": mixing.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_quality, op5_url_filter, op6_pii, op8_simhash, op9_exact_dedup, op10_mix_sources)}
+ORACLES = {"op2_decontaminate": decontaminate.ORACLE, "op5_url_filter": url_filter.oracle(), "op9_exact_dedup": exact_dedup.ORACLE, "op10_mix_sources": mixing.ORACLE}
