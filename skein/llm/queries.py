@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, mixing, pii, quality, simhash, url_filter
+from . import decontaminate, exact_dedup, language_id, mixing, pii, quality, simhash, substring_dedup, url_filter
 from .common import read
 
 
@@ -27,6 +27,10 @@ def op6_pii(spark, sf_dir):
     return pii.digest_spans(pii.find_pii(read(spark, sf_dir, "documents")))
 
 
+def op7_substring_dedup(spark, sf_dir):
+    return substring_dedup.digest(substring_dedup.substring_dedup(read(spark, sf_dir, "documents")))
+
+
 def op8_simhash(spark, sf_dir):
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -39,5 +43,5 @@ def op10_mix_sources(spark, sf_dir):
     return mixing.mix_sources(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_quality, op5_url_filter, op6_pii, op8_simhash, op9_exact_dedup, op10_mix_sources)}
-ORACLES = {"op2_decontaminate": decontaminate.ORACLE, "op5_url_filter": url_filter.oracle(), "op9_exact_dedup": exact_dedup.ORACLE, "op10_mix_sources": mixing.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_quality, op5_url_filter, op6_pii, op7_substring_dedup, op8_simhash, op9_exact_dedup, op10_mix_sources)}
+ORACLES = {"op2_decontaminate": decontaminate.ORACLE, "op5_url_filter": url_filter.oracle(), "op7_substring_dedup": substring_dedup.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE, "op10_mix_sources": mixing.ORACLE}
