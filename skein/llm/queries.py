@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, mixing, pii, quality, simhash, substring_dedup, url_filter
+from . import decontaminate, exact_dedup, language_id, language_model, mixing, pii, quality, simhash, substring_dedup, url_filter
 from .common import read
 
 
@@ -19,6 +19,10 @@ def op3_quality(spark, sf_dir):
     return quality.score_quality(docs, quality.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op4_language_model(spark, sf_dir):
+    return language_model.score_corpus(read(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark, sf_dir):
     return url_filter.filter_urls(read(spark, sf_dir, "pages"))
 
@@ -43,5 +47,5 @@ def op10_mix_sources(spark, sf_dir):
     return mixing.mix_sources(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_quality, op5_url_filter, op6_pii, op7_substring_dedup, op8_simhash, op9_exact_dedup, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_quality, op4_language_model, op5_url_filter, op6_pii, op7_substring_dedup, op8_simhash, op9_exact_dedup, op10_mix_sources)}
 ORACLES = {"op2_decontaminate": decontaminate.ORACLE, "op5_url_filter": url_filter.oracle(), "op7_substring_dedup": substring_dedup.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE, "op10_mix_sources": mixing.ORACLE}
