@@ -1 +1,6 @@
+"""The queries that the driver runs. Importing the package registers them all."""
 
+from . import record_queries  # noqa: F401
+from .catalog import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
