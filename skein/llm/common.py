@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,8 +37,10 @@ def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished, checkpointed steps.
 
     The cleaner acts on the driver's garbage collection only, which an idle
-    driver rarely runs; without it every step's shuffle stays on disk.
+    driver rarely runs; without it every step's shuffle stays on disk. Frames
+    that Python still holds keep their shuffles.
     """
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 

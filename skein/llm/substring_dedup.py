@@ -8,7 +8,7 @@ windows, wherever they stand, so share an anchor at one place inside both.
 1. Anchors of all documents meet by hash. Those in two documents come back to
    the documents that have them.
 2. Each such anchor is extended to the windows around it, and only these windows
-   meet, by 128-bit hash: the least ``doc_id`` that has one keeps it.
+   meet, by a 96-bit hash: the least ``doc_id`` that has one keeps it.
 3. The windows that a document loses come back to it, and it loses their words.
 
 Both meetings run on sorted arrays that each task has combined beforehand: of
@@ -40,7 +40,11 @@ GATHER = 1 << 21
 #: ``kind`` 0: hashes that ask for others, for a shard; 1: hashes of one document that are settled.
 SENT = "shard int, kind int, doc_id long, n long, first binary, second binary, docs binary"
 NAMES = ["shard", "kind", "doc_id", "n", "first", "second", "docs"]
-BACK = "doc_id long, first binary, second binary"
+BACK = "doc_id long, hashes binary"
+#: Words are compared by 96 bits of each window. What comes back to a document only tells its own windows
+#: apart, so 64 bits do there; and for anchors, which only name windows to try, 32.
+SECOND_BITS = np.uint64(32)
+BACK_TYPES = {False: np.uint32, True: np.uint64}
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -83,8 +87,8 @@ class Gathered:
         for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
             if a < b:
                 out.append((k, 0, None, b - a, packed(f[a:b], True), packed(s[a:b]) if self.wide else None, packed(d[a:b].view(np.uint64))))
-        for doc, a, b in by_document(first[settled], second[settled], docs[settled], self.wide):
-            out.append((doc % self.shards, 1, doc, 0, a, b, None))
+        for doc, a in by_document(first[settled], docs[settled], self.wide):
+            out.append((doc % self.shards, 1, doc, 0, a, None, None))
         columns = list(zip(*out, strict=True)) if out else [()] * len(NAMES)
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=NAMES)
@@ -106,24 +110,28 @@ def split(first, second, docs, wide: bool, least_only: bool) -> tuple[np.ndarray
     return start, np.flatnonzero(settled & new)
 
 
-def by_document(first, second, docs, wide: bool) -> Iterator[tuple[int, bytes, bytes | None]]:
+def shortened(hashes: np.ndarray, wide: bool) -> np.ndarray:
+    """Hashes as they come back to a document."""
+    return hashes if wide else (hashes >> np.uint64(32)).astype(np.uint32)
+
+
+def by_document(first, docs, wide: bool) -> Iterator[tuple[int, bytes]]:
     order = np.argsort(docs, kind="stable")
-    first, second, docs = first[order], second[order], docs[order]
+    first, docs = shortened(first[order], wide), docs[order]
     start = runs(docs)
     for a, b in zip(start.tolist(), [*start[1:].tolist(), len(docs)], strict=False):
-        yield int(docs[a]), first[a:b].tobytes(), second[a:b].tobytes() if wide else None
+        yield int(docs[a]), first[a:b].tobytes()
 
 
 def meet(sent: DataFrame, shards: int, wide: bool, least_only: bool) -> DataFrame:
-    """``doc_id, first, second``: the settled hashes of documents, those that only the meeting settles included."""
+    """``doc_id, hashes``: the settled hashes of documents, those that only the meeting settles included."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.binary(), pa.binary())
-        names = ["doc_id", "first", "second"]
+        kinds, names = (pa.int64(), pa.binary()), ["doc_id", "hashes"]
         asked: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             settled = batch.filter(pc.equal(batch.column(1), 1))
-            yield pa.RecordBatch.from_arrays([settled.column(2), settled.column(4), settled.column(5)], names=names)
+            yield pa.RecordBatch.from_arrays([settled.column(2), settled.column(4)], names=names)
             for row in batch.filter(pc.equal(batch.column(1), 0)).to_pylist():
                 second = unpacked(row["second"]) if wide else np.zeros(row["n"], np.uint64)
                 asked.append((unpacked(row["first"], True), second, unpacked(row["docs"]).view(np.int64)))
@@ -133,45 +141,35 @@ def meet(sent: DataFrame, shards: int, wide: bool, least_only: bool) -> DataFram
             order = np.lexsort((docs, second, first)) if wide else np.lexsort((docs, first))
             first, second, docs = first[order], second[order], docs[order]
             at = split(first, second, docs, wide, least_only)[1]
-            out = list(by_document(first[at], second[at], docs[at], wide))
+            out = list(by_document(first[at], docs[at], wide))
             for i in range(0, len(out), 10_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[i : i + 10_000], strict=True), kinds, strict=True)], names=names)
 
     return to_shards(sent, shards).mapInArrow(answer, BACK)
 
 
-def with_hashes(docs: DataFrame, back: DataFrame, handle: Callable[[Iterator[tuple]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Documents meet what came back to them. ``handle`` gets ``doc_id, text, first, second`` by document."""
-    rows = docs.select("doc_id", "text", F.lit(None).cast("binary").alias("first"), F.lit(None).cast("binary").alias("second"), F.lit(1).alias("last")).unionByName(
-        back.select("doc_id", F.lit(None).cast("string").alias("text"), "first", "second", F.lit(0).alias("last"))
+def with_hashes(docs: DataFrame, back: DataFrame, wide: bool, handle: Callable[[Iterator[tuple]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Documents meet what came back to them. ``handle`` gets ``doc_id, text, hashes`` by document."""
+    rows = docs.select("doc_id", "text", F.lit(None).cast("binary").alias("hashes"), F.lit(1).alias("last")).unionByName(
+        back.select("doc_id", F.lit(None).cast("string").alias("text"), "hashes", F.lit(0).alias("last"))
     )
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        doc, first, second = None, [], []
+        doc, held = None, []
         for batch in batches:
-            for d, text, a, b, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for d, text, hashes, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if d != doc:
-                    doc, first, second = d, [], []
+                    doc, held = d, []
                 if last:
-                    yield d, text, np.frombuffer(b"".join(first), np.uint64), np.frombuffer(b"".join(second), np.uint64)
+                    yield d, text, np.frombuffer(b"".join(held), BACK_TYPES[wide])
                 else:
-                    first.append(a)
-                    second.append(b or b"")
+                    held.append(hashes)
 
     # A null doc_id can have no answer; its rows are dealt by their text.
     key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
     return rows.withColumn("x_key", key).repartition("x_key").sortWithinPartitions("doc_id", "last").drop("x_key").mapInArrow(lambda batches: handle(stream(batches)), schema)
 
 
-def listed(first: np.ndarray, second: np.ndarray, have: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Which of the hashes ``have`` are among ``first, second``."""
-    hit = np.isin(have[0], first)
-    pairs = set(zip(first.tolist(), second.tolist(), strict=True))
-    at = np.flatnonzero(hit)
-    hit[at] = [p in pairs for p in zip(have[0][at].tolist(), have[1][at].tolist(), strict=True)]
-    return hit
-
-
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_words, n_removed, kept_text``.
 
@@ -198,12 +196,12 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
 
     def ask_windows(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         held = Gathered(shards, wide=True, least_only=True)
-        for doc, text, shared, _ in rows:
+        for doc, text, shared in rows:
             if not len(shared):
                 continue
             words = word_hashes(words_of(text))
             at, found = anchors(words)
-            at = at[np.isin(found, shared)]
+            at = at[np.isin(shortened(found, False), shared)]
             n = len(words) - WINDOW + 1
             if n <= 0 or not len(at):
                 continue
@@ -211,7 +209,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
             np.add.at(near, np.clip(at - PERIOD + 1, 0, n), 1)
             np.add.at(near, np.clip(at + 1, 0, n), -1)
             start = np.flatnonzero(np.cumsum(near[:n]) > 0)
-            held.add(doc, window_hashes(words, WINDOW, 0)[start], window_hashes(words, WINDOW, 1)[start])
+            held.add(doc, window_hashes(words, WINDOW, 0)[start], window_hashes(words, WINDOW, 1)[start] >> SECOND_BITS)
             if held.n >= GATHER:
                 yield held.rows()
         if held.n:
@@ -227,12 +225,11 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
             out.clear()
             return made
 
-        for doc, text, first, second in rows:
+        for doc, text, lost in rows:
             words = words_of(text)
             kept = words
-            if len(first):
-                hashes = word_hashes(words)
-                gone = listed(first, second, (window_hashes(hashes, WINDOW, 0), window_hashes(hashes, WINDOW, 1)))
+            if len(lost):
+                gone = np.isin(window_hashes(word_hashes(words), WINDOW), lost)
                 cover = np.zeros(len(words) + 1, np.int64)
                 cover[: len(gone)] += gone
                 cover[WINDOW : WINDOW + len(gone)] -= gone
@@ -246,13 +243,16 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
         if out:
             yield batch()
 
-    sent = named.mapInArrow(ask_anchors, SENT)
-    shared = cut(meet(sent, shards, wide=False, least_only=False))
-    release(spark)
-    asked = with_hashes(named, shared, ask_windows, SENT)
-    lost = cut(meet(asked, shards, wide=True, least_only=True))
-    release(spark)
-    return with_hashes(docs, lost, remove, "doc_id long, n_words long, n_removed long, kept_text string")
+    shared = settled(lambda: named.mapInArrow(ask_anchors, SENT), shards, wide=False, least_only=False)
+    lost = settled(lambda: with_hashes(named, shared, False, ask_windows, SENT), shards, wide=True, least_only=True)
+    return with_hashes(docs, lost, True, remove, "doc_id long, n_words long, n_removed long, kept_text string")
+
+
+def settled(sent: Callable[[], DataFrame], shards: int, wide: bool, least_only: bool) -> DataFrame:
+    """What comes back, written to the shared folder. The step's frames end here, so its shuffles can be dropped."""
+    out = cut(meet(sent(), shards, wide, least_only))
+    release(out.sparkSession)
+    return out
 
 
 def digest(found: DataFrame) -> DataFrame:
