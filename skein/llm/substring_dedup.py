@@ -13,7 +13,7 @@ windows, wherever they stand, so share an anchor at one place inside both.
 
 Both meetings run on sorted arrays that each task has combined beforehand: of
 documents that share a hash within a task, one speaks for all. Documents and what
-comes back to them meet by ``doc_id`` in sorted partitions that are streamed.
+comes back to them meet in bins of documents; each bin is streamed, its answers first.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, release
-from .hashes import packed, runs, shard_of, shards_of, to_shards, unpacked, window_hashes, word_hashes
+from .hashes import bin_of_longs, packed, runs, shard_of, shards_of, to_shards, unpacked, window_hashes, word_hashes
 
 WINDOW = 13
 #: A difference cover: each remainder is a difference of two of its numbers.
@@ -37,10 +37,10 @@ PERIOD, COVER = 7, (1, 2, 4)
 ANCHOR = WINDOW - PERIOD + 1
 #: Hashes that a task gathers before it combines and sends them.
 GATHER = 1 << 21
-#: ``kind`` 0: hashes that ask for others, for a shard; 1: hashes of one document that are settled.
-SENT = "shard int, kind int, doc_id long, n long, first binary, second binary, docs binary"
-NAMES = ["shard", "kind", "doc_id", "n", "first", "second", "docs"]
-BACK = "doc_id long, hashes binary"
+#: ``kind`` 0: hashes that ask for others, for a shard of hashes; 1: settled hashes, for a bin of documents.
+SENT = "shard int, kind int, n long, first binary, second binary, docs binary"
+NAMES = ["shard", "kind", "n", "first", "second", "docs"]
+BACK = "bin int, hashes binary, docs binary"
 #: Words are compared by 96 bits of each window. What comes back to a document only tells its own windows
 #: apart, so 64 bits do there; and for anchors, which only name windows to try, 32.
 SECOND_BITS = np.uint64(32)
@@ -86,11 +86,11 @@ class Gathered:
         ends = np.searchsorted(shard_of(f, self.shards), np.arange(self.shards + 1))
         for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
             if a < b:
-                out.append((k, 0, None, b - a, packed(f[a:b], True), packed(s[a:b]) if self.wide else None, packed(d[a:b].view(np.uint64))))
-        for doc, a in by_document(first[settled], docs[settled], self.wide):
-            out.append((doc % self.shards, 1, doc, 0, a, None, None))
+                out.append((k, 0, b - a, packed(f[a:b], True), packed(s[a:b]) if self.wide else None, packed(d[a:b].view(np.uint64))))
+        for k, hashes, whose in by_bin(first[settled], docs[settled], self.wide, self.shards):
+            out.append((k, 1, 0, hashes, None, whose))
         columns = list(zip(*out, strict=True)) if out else [()] * len(NAMES)
-        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=NAMES)
 
 
@@ -115,23 +115,25 @@ def shortened(hashes: np.ndarray, wide: bool) -> np.ndarray:
     return hashes if wide else (hashes >> np.uint64(32)).astype(np.uint32)
 
 
-def by_document(first, docs, wide: bool) -> Iterator[tuple[int, bytes]]:
-    order = np.argsort(docs, kind="stable")
-    first, docs = shortened(first[order], wide), docs[order]
-    start = runs(docs)
+def by_bin(first, docs, wide: bool, bins: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """Hashes and whose they are, one row for each bin of documents that has any."""
+    home = bin_of_longs(docs, bins)
+    order = np.lexsort((docs, home))
+    first, docs, home = shortened(first[order], wide), docs[order].view(np.uint64), home[order]
+    start = runs(home)
     for a, b in zip(start.tolist(), [*start[1:].tolist(), len(docs)], strict=False):
-        yield int(docs[a]), first[a:b].tobytes()
+        yield int(home[a]), first[a:b].tobytes(), packed(docs[a:b], True)
 
 
 def meet(sent: DataFrame, shards: int, wide: bool, least_only: bool) -> DataFrame:
-    """``doc_id, hashes``: the settled hashes of documents, those that only the meeting settles included."""
+    """``bin, hashes, docs``: the settled hashes of documents, those that only the meeting settles included."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds, names = (pa.int64(), pa.binary()), ["doc_id", "hashes"]
+        kinds, names = (pa.int32(), pa.binary(), pa.binary()), ["bin", "hashes", "docs"]
         asked: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             settled = batch.filter(pc.equal(batch.column(1), 1))
-            yield pa.RecordBatch.from_arrays([settled.column(2), settled.column(4)], names=names)
+            yield pa.RecordBatch.from_arrays([settled.column(0), settled.column(3), settled.column(5)], names=names)
             for row in batch.filter(pc.equal(batch.column(1), 0)).to_pylist():
                 second = unpacked(row["second"]) if wide else np.zeros(row["n"], np.uint64)
                 asked.append((unpacked(row["first"], True), second, unpacked(row["docs"]).view(np.int64)))
@@ -141,33 +143,41 @@ def meet(sent: DataFrame, shards: int, wide: bool, least_only: bool) -> DataFram
             order = np.lexsort((docs, second, first)) if wide else np.lexsort((docs, first))
             first, second, docs = first[order], second[order], docs[order]
             at = split(first, second, docs, wide, least_only)[1]
-            out = list(by_document(first[at], docs[at], wide))
-            for i in range(0, len(out), 10_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[i : i + 10_000], strict=True), kinds, strict=True)], names=names)
+            for row in by_bin(first[at], docs[at], wide, shards):
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
 
     return to_shards(sent, shards).mapInArrow(answer, BACK)
 
 
-def with_hashes(docs: DataFrame, back: DataFrame, wide: bool, handle: Callable[[Iterator[tuple]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Documents meet what came back to them. ``handle`` gets ``doc_id, text, hashes`` by document."""
-    rows = docs.select("doc_id", "text", F.lit(None).cast("binary").alias("hashes"), F.lit(1).alias("last")).unionByName(
-        back.select("doc_id", F.lit(None).cast("string").alias("text"), "hashes", F.lit(0).alias("last"))
+def with_hashes(docs: DataFrame, back: DataFrame, bins: int, wide: bool, handle: Callable[[Iterator[tuple]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Documents meet what came back to them. ``handle`` gets ``doc_id, text, hashes`` by document.
+
+    Each bin holds its documents and what came back to any of them, which comes first.
+    """
+    # A null doc_id can have no answer; its rows are dealt by their text.
+    home = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(bins)).cast("int")
+    none = F.lit(None).cast("binary")
+    rows = docs.select(home.alias("bin"), F.lit(1).alias("last"), "doc_id", "text", none.alias("hashes"), none.alias("docs")).unionByName(
+        back.select("bin", F.lit(0).alias("last"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "hashes", "docs")
     )
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        doc, held = None, []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        whose = hashes = None
         for batch in batches:
-            for d, text, hashes, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if d != doc:
-                    doc, held = d, []
-                if last:
-                    yield d, text, np.frombuffer(b"".join(held), BACK_TYPES[wide])
-                else:
-                    held.append(hashes)
+            for last, doc, text, h, d in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                if not last:
+                    held.append((unpacked(d, True).view(np.int64), np.frombuffer(h, BACK_TYPES[wide])))
+                    continue
+                if whose is None:
+                    whose, hashes = (np.concatenate(c) for c in zip(*held, strict=True)) if held else (np.empty(0, np.int64), np.empty(0, BACK_TYPES[wide]))
+                    held.clear()
+                    order = np.argsort(whose, kind="stable")
+                    whose, hashes = whose[order], hashes[order]
+                a, b = (0, 0) if doc is None else (np.searchsorted(whose, doc, side) for side in ("left", "right"))
+                yield doc, text, hashes[a:b]
 
-    # A null doc_id can have no answer; its rows are dealt by their text.
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
-    return rows.withColumn("x_key", key).repartition("x_key").sortWithinPartitions("doc_id", "last").drop("x_key").mapInArrow(lambda batches: handle(stream(batches)), schema)
+    return to_shards(rows, bins, "bin").sortWithinPartitions("last").mapInArrow(lambda batches: handle(stream(batches)), schema)
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
@@ -244,8 +254,8 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
             yield batch()
 
     shared = settled(lambda: named.mapInArrow(ask_anchors, SENT), shards, wide=False, least_only=False)
-    lost = settled(lambda: with_hashes(named, shared, False, ask_windows, SENT), shards, wide=True, least_only=True)
-    return with_hashes(docs, lost, True, remove, "doc_id long, n_words long, n_removed long, kept_text string")
+    lost = settled(lambda: with_hashes(named, shared, shards, False, ask_windows, SENT), shards, wide=True, least_only=True)
+    return with_hashes(docs, lost, shards, True, remove, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def settled(sent: Callable[[], DataFrame], shards: int, wide: bool, least_only: bool) -> DataFrame:
