@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +12,11 @@ TOKEN = r"\b([a-z][a-z0-9_-]{2,})\b"
 LIGHT = r"(?U)[\w-]+"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, even where ``use`` has it inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def first_set(*columns: Column) -> Column:
     """The first that is neither null nor empty, else the empty string."""
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns], F.lit(""))
@@ -69,10 +74,13 @@ def ngrams(tokens: Column, n: int) -> Column:
     """Runs of n tokens, joined by a space."""
     if n == 1:
         return tokens
-    last = F.size(tokens) - (n - 1)
-    return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(
-        F.array().cast("array<string>")
-    )
+
+    def grams(t: Column) -> Column:
+        last = F.size(t) - (n - 1)
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(last > 0, runs).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens, grams)
 
 
 def event_sentences(text: Column, most: int = 80) -> Column:
@@ -102,12 +110,12 @@ def count_substring(text: Column, term: str) -> Column:
 
 def markers_in(text: Column, terms: Sequence[str]) -> Column:
     """Those of the terms, in their order, that lower-case ``text`` has anywhere."""
-    return F.filter(words(terms), lambda t: F.contains(text, t))
+    return let(text, lambda x: F.filter(words(terms), lambda t: F.contains(x, t)))
 
 
 def markers_as_words(text: Column, terms: Sequence[str]) -> Column:
     """Those of the terms, in their order, that lower-case ``text`` has as words."""
-    return F.filter(F.array(*[F.when(text.rlike(rf"(?U)\b{quoted(t.lower())}\b"), F.lit(t)) for t in terms]), lambda t: t.isNotNull())
+    return let(text, lambda x: F.filter(F.array(*[F.when(x.rlike(rf"(?U)\b{quoted(t.lower())}\b"), F.lit(t)) for t in terms]), lambda t: t.isNotNull()))
 
 
 def jaccard(a: Column, b: Column) -> Column:

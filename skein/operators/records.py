@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon
 from ..functions.keys import domain, record_custody_hash, record_text
-from ..functions.text import count_substring, count_word, first_set, fold, fold_squeeze, tokenize, words
+from ..functions.text import count_substring, count_word, first_set, fold, fold_squeeze, let, markers_in, tokenize, words
 
 MIN_PARTIAL_CHARS = 100
 
@@ -53,7 +53,7 @@ def localization(mexico: Sequence[str] = lexicon.MEXICO_TERMS, wider: Sequence[s
     """``localization, mexico_score, localization_evidence`` as a struct: marks of country, domain, scope and text add up."""
 
     def hits(terms):
-        return F.size(F.filter(words(sorted(terms)), lambda t: F.contains(text, t) | F.contains(plain, t)))
+        return let(F.array(text, plain), lambda x: F.size(F.filter(words(sorted(terms)), lambda t: F.contains(x[0], t) | F.contains(x[1], t))))
 
     def is_in(c, *names):
         return F.coalesce(F.lower(F.col(c)).isin(*names), F.lit(False))
@@ -143,7 +143,7 @@ def has_excluded_content(terms: Sequence[str], domains: Sequence[str]) -> Column
     for d in domains:
         by_host = by_host | host.endswith(d.lower()) | F.contains(F.lower(F.coalesce("medium", F.lit(""))), F.lit(d.lower()))
     hay = fold_squeeze(F.concat_ws(" ", "title", F.substring(record_text(), 1, 6000)))
-    return by_host | (F.size(F.filter(words([_plain(t) for t in terms]), lambda t: F.contains(hay, t))) > 0)
+    return by_host | (F.size(markers_in(hay, [_plain(t) for t in terms])) > 0)
 
 
 def in_region(scope: str, terms: Sequence[str], country_codes: Sequence[str], suffixes: Sequence[str]) -> Column:
@@ -155,7 +155,7 @@ def in_region(scope: str, terms: Sequence[str], country_codes: Sequence[str], su
     for s in suffixes:
         fits = fits | host.endswith(s)
     hay = fold_squeeze(F.concat_ws(" ", "title", F.substring(record_text(), 1, 4000)))
-    return fits | (F.size(F.filter(words([_plain(t) for t in terms]), lambda t: F.contains(hay, t))) > 0)
+    return fits | (F.size(markers_in(hay, [_plain(t) for t in terms])) > 0)
 
 
 def classify_source(url: Column, medium: Column, title: Column, indexed: Column | None = None) -> Column:
@@ -164,7 +164,7 @@ def classify_source(url: Column, medium: Column, title: Column, indexed: Column
     path = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1))
 
     def has(name):
-        return F.size(F.filter(words(lexicon.GENRE_MARKERS[name]), lambda m: F.contains(hay, m))) > 0
+        return F.size(markers_in(hay, lexicon.GENRE_MARKERS[name])) > 0
 
     def found(name, confidence, evidence):
         return F.struct(F.lit(name).alias("source_type"), F.lit(confidence).alias("confidence"), F.lit(evidence).alias("evidence"))
@@ -200,9 +200,17 @@ def access_policy(records: DataFrame, profiles: DataFrame, url: str = "url") ->
 def rubrics(groups: Mapping[str, Sequence[str]]) -> Column:
     """``rubrics, terms`` of a record: groups of which a term of three characters or more is anywhere in it."""
     hay = fold_squeeze(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("title", "text_clean", "medium", "url")]))
-    hits = {g: F.filter(words([t for t in terms if len(" ".join(_plain(t).split())) >= 3]), lambda t: F.contains(hay, fold_squeeze(t))) for g, terms in groups.items() if g not in {"núcleo", "nucleo"}}
-    names = F.filter(F.array(*[F.when(F.size(h) > 0, F.lit(g)) for g, h in hits.items()]), lambda g: g.isNotNull())
-    return F.struct(names.alias("rubrics"), F.array_distinct(F.flatten(F.array(*hits.values()))).alias("terms"))
+
+    def found(h: Column) -> Column:
+        hits = {}
+        for g, terms in groups.items():
+            if g not in {"núcleo", "nucleo"}:
+                long = [t for t in terms if len(" ".join(_plain(t).split())) >= 3]
+                hits[g] = F.filter(words(long), lambda t: F.contains(h, fold_squeeze(t)))
+        names = F.filter(F.array(*[F.when(F.size(x) > 0, F.lit(g)) for g, x in hits.items()]), lambda g: g.isNotNull())
+        return F.struct(names.alias("rubrics"), F.array_distinct(F.flatten(F.array(*hits.values()))).alias("terms"))
+
+    return let(hay, found)
 
 
 def traceability(records: DataFrame) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,23 +119,28 @@ def repeated_phrases(records: DataFrame, limit: int = 30, least: int = 2, stopwo
     return listed.unionByName(absorbed.select(F.col("term").alias("node"), F.lit("absorbed_ngram").alias("node_type"), "count", "absorbed_by"))
 
 
-def canonical_terms(tokens: Column, terms: Sequence[str], longest: int = 3) -> Column:
-    """Tokens as canonical terms, from left to right, the longest that fits first; what fits none is left out.
+def canonical_run(tokens: Sequence[str], terms: frozenset[str], longest: int = 3) -> list[str]:
+    """Tokens as canonical terms, from left to right, the longest that fits first; what fits none is left out."""
+    out, i = [], 0
+    while i < len(tokens):
+        fits = (n for n in range(min(longest, len(tokens) - i), 0, -1) if " ".join(tokens[i : i + n]) in terms)
+        n = next(fits, 0)
+        if n:
+            out.append(" ".join(tokens[i : i + n]))
+        i += n or 1
+    return out
 
-    A fold over positions: its state is the output and the first position that
-    the last term leaves free.
-    """
-    chosen = F.array(*[F.lit(t) for t in terms])
-
-    def step(state: Column, i: Column) -> Column:
-        take = F.lit(None).cast("struct<term:string,n:int>")
-        for n in range(1, longest + 1):
-            gram = F.array_join(F.slice(tokens, i, n), " ")
-            fits = F.array_contains(chosen, gram) & (i + (n - 1) <= F.size(tokens))
-            take = F.when(fits, F.struct(gram.alias("term"), F.lit(n).alias("n"))).otherwise(take)
-        done = F.struct(F.concat(state["out"], F.array(take["term"])).alias("out"), (i + take["n"]).alias("free"))
-        return F.when((i < state["free"]) | take.isNull(), state).otherwise(done)
-
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(1).alias("free"))
-    places = F.when(F.size(tokens) > 0, F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, start, step, lambda s: s["out"])
+
+def canonical_terms(records: DataFrame, terms: Sequence[str], stopwords: Sequence[str] = (), longest: int = 3) -> DataFrame:
+    """Adds ``terms``, the record in canonical terms. A fold in column functions would copy its output at every token."""
+    chosen = frozenset(terms)
+    rows = records.withColumn("terms", tokenize(record_text(), stopwords))
+    names = rows.columns
+    at = names.index("terms")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = pa.array([canonical_run(t.as_py() or (), chosen, longest) for t in batch.column(at)], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], done, *batch.columns[at + 1 :]], names=names)
+
+    return rows.mapInArrow(run, rows.schema)

@@ -15,7 +15,7 @@ ORACLES: dict[str, str] = {}
 FOLD = "translate(lower({}), 'áéíóúüñ', 'aeiouun')"
 USABLE = "(CASE WHEN status = 'ok' THEN text_normalized <> '' WHEN status = 'ok_partial' THEN length(text_normalized) >= 100 OR text_length >= 100 ELSE FALSE END)"
 SQUEEZE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
-TOKENS = r"regexp_extract_all(text_normalized, '\b([a-z][a-z0-9_-]{2,})\b', 1)"
+TOKENS = r"regexp_extract_all(lower(text_normalized), '\b([a-z][a-z0-9_-]{2,})\b', 1)"
 
 
 def query(oracle: str | None = None, records: bool = True):
