@@ -263,13 +263,13 @@ def dedup_duplicates(spark, sf_dir):
 
 
 @query(
-    r""", u AS (SELECT ord, 'a' AS s, 0 AS o, title FROM r WHERE ord % 3 < 2 UNION ALL SELECT ord, 'b', 1, title FROM r WHERE ord % 3 > 0),
+    r""", u AS (SELECT ord, 'a' AS s, 0 AS o, title FROM r WHERE language IN ('en', 'fr') UNION ALL SELECT ord, 'b', 1, title FROM r WHERE language IN ('en', 'de', 'es')),
 k AS (SELECT *, title AS k FROM u)
 SELECT first(ord ORDER BY o, ord) AS ord, string_agg(DISTINCT s, ', ' ORDER BY s) AS source_collections, count(*) AS copies FROM k GROUP BY k"""
 )
 def merge_sources(spark, sf_dir):
     rows = load(spark, sf_dir).withColumn("url", F.lit(""))
-    merged = dedup.merge_sources({"a": rows.filter("ord % 3 < 2"), "b": rows.filter("ord % 3 > 0")}, "url_or_title")
+    merged = dedup.merge_sources({"a": rows.filter("language IN ('en', 'fr')"), "b": rows.filter("language IN ('en', 'de', 'es')")}, "url_or_title")
     return merged.select("ord", "source_collections", "copies")
 
 
