@@ -121,8 +121,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
         .orderBy("x_at", "x_id", "x_label")
         .limit(sample_docs)
     )
-    text = F.substring("text", 1, sample_chars)
-    rows = docs.filter(F.col("text").isNotNull()).join(F.broadcast(drawn), F.col("doc_id") == F.col("x_id")).select("x_at", "x_id", "x_label", text.alias("x_text")).collect()
+    texts = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").alias("x_id"), F.substring("text", 1, sample_chars).alias("x_text"))
+    rows = texts.join(F.broadcast(drawn), "x_id").select("x_at", "x_id", "x_label", "x_text").collect()
     rows.sort()
     return fit([r[3] for r in rows], [r[2] for r in rows])
 
