@@ -293,3 +293,29 @@ def stream_quota(spark, sf_dir):
     path = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
     rows.write.parquet(path)
     return streams.run(streams.quota(spark.readStream.schema(rows.schema).parquet(path), 12))
+
+
+@query()
+def html_visible_text(spark, sf_dir):
+    from ..operators.html import clean_pages
+
+    return clean_pages(read(spark, sf_dir, "pages")).select("page_id", "text_visible")
+
+
+@query()
+def clean_article(spark, sf_dir):
+    from ..operators.html import clean_pages
+
+    return clean_pages(read(spark, sf_dir, "pages")).select("page_id", "text_clean", F.array_join("cleaning_notes", ", ").alias("cleaning_notes"), "word_count")
+
+
+@query("SELECT conv_id, turn, count(*) AS n, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY ALL", records=False)
+def forum_turns(spark, sf_dir):
+    return read(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("SELECT d.doc_id, d.source, coalesce(CASE WHEN l.quality = 1 THEN 'validated' WHEN l.quality = 0 THEN 'rejected' END, 'automatic') AS actor_status FROM documents d LEFT JOIN labels l USING (doc_id)", records=False)
+def validation_join(spark, sf_dir):
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    status = F.coalesce(F.when(F.col("quality") == 1, "validated").when(F.col("quality") == 0, "rejected"), F.lit("automatic"))
+    return docs.select("doc_id", "source").join(labels.select("doc_id", "quality"), "doc_id", "left").select("doc_id", "source", status.alias("actor_status"))
