@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,10 +39,13 @@ def release(spark: SparkSession) -> None:
 
     The cleaner acts on the driver's garbage collection only, which an idle
     driver rarely runs; without it every step's shuffle stays on disk. Frames
-    that Python still holds keep their shuffles.
+    that Python still holds keep their shuffles, and those that it has just
+    dropped are let go by a thread of the gateway: hence two rounds, and pauses.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.3)
+        spark.sparkContext._jvm.System.gc()
 
 
 def crc_fold(doc_id: Column, folds: int) -> Column:

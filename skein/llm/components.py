@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release
+from .common import cut
 
 #: Steps after which a graph of n nodes is done for certain are in the order of log(n) squared.
 MOST_STEPS = 200
@@ -58,7 +58,6 @@ def components(links: DataFrame) -> DataFrame:
         least = e.groupBy("a").agg(F.min("b").alias("m"))
         moved = e.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("x"), "m"), F.struct(F.col("a").alias("x"), "m"))).alias("s"))
         e = cut(moved.select(F.col("s.x").alias("a"), F.col("s.m").alias("b")).filter("a <> b").distinct())
-        release(e.sparkSession)
         now = state(e)
         if now == before:
             break
