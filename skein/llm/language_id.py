@@ -21,7 +21,7 @@ from .common import crc_fold
 #: The sample that dictionaries are cut from: documents of a language, characters of each, bytes in all.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 256, 4096, 64 * 1024
 #: zstandard's effort; matches of three bytes count, as syllables are short.
-LEVEL, MIN_MATCH = 5, 3
+LEVEL, MIN_MATCH = 7, 3
 #: The least margin, as a share of the runner-up's bytes, at which the winner is accepted.
 MARGIN = 0.01
 UNKNOWN = "und"
