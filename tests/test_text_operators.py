@@ -50,8 +50,8 @@ def test_events(make):  # noqa: F811
 
 
 def test_actors():
-    found = extract.actors_of("In Geneva Maria Lopez met the World Bank. Later Maria Lopez said that Maria Lopez agreed.")
-    assert found[0] == "Maria Lopez" and len(found) == len(set(found))
+    found = extract.actors_of("they say that Maria Lopez met the World Bank; later Maria Lopez said so")
+    assert found == ["Maria Lopez", "World Bank"]
     assert extract.is_noise("") and extract.is_noise("source: x")
 
 
