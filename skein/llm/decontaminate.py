@@ -162,7 +162,6 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, slice_words: int =
     empty = F.array().cast("array<int>"), F.array().cast("array<long>")
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.lit(0).cast("long").alias("n_words"), empty[0].alias("spans"), empty[1].alias("items"))
     schema = found.schema
-    indexes = list(slices(benchmark, slice_words)) or [BenchmarkIndex([])]
 
     def searcher(shared, last):
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,8 +183,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, slice_words: int =
 
         return search
 
-    for k, index in enumerate(indexes):
-        found = found.mapInArrow(searcher(sc.broadcast(index), k == len(indexes) - 1), schema)
+    # One slice is on the driver at a time, and the next to see whether it is the last.
+    made = slices(benchmark, slice_words)
+    index = next(made, None) or BenchmarkIndex([])
+    while index is not None:
+        following = next(made, None)
+        found = found.mapInArrow(searcher(sc.broadcast(index), following is None), schema)
+        index = following
     return found.drop("text")
 
 
