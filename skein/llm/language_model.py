@@ -69,6 +69,34 @@ def mapped(folder: str, name: str, columns: int) -> np.ndarray:
     return np.memmap(path, "<u8", "r").reshape(columns, -1)
 
 
+class Counts:
+    """Counts below 2 ** 40 in 5 bytes each: most are 1, and pairs are by far the most of a model's entries."""
+
+    def __init__(self, low: np.ndarray, high: np.ndarray):
+        self.low, self.high = low, high
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return self.low[at].astype(np.uint64) | (self.high[at].astype(np.uint64) << np.uint64(32))
+
+
+def save_pairs(folder: str, name: str, keys: np.ndarray, counts: np.ndarray) -> None:
+    if len(counts) and int(counts.max()) >> 40:
+        raise OverflowError("a pair of words is more frequent than the files can say")
+    own = f"{folder}/{name}.{uuid.uuid4().hex}"
+    with open(own, "wb") as out:
+        out.write(keys.astype("<u8").tobytes())
+        out.write(counts.astype("<u4").tobytes())
+        out.write((counts >> np.uint64(32)).astype(np.uint8).tobytes())
+    os.replace(own, f"{folder}/{name}")
+
+
+def mapped_pairs(folder: str, name: str) -> tuple[np.ndarray, Counts]:
+    path = f"{folder}/{name}"
+    n = os.path.getsize(path) // 13
+    raw = np.memmap(path, np.uint8, "r") if n else np.zeros(0, np.uint8)
+    return raw[: 8 * n].view("<u8"), Counts(raw[8 * n : 12 * n].view("<u4"), raw[12 * n :])
+
+
 def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the sorted ``keys`` hold each one wanted, and whether they do."""
     if not len(keys):
@@ -126,9 +154,9 @@ class KneserNey:
     def __getstate__(self):
         return self.__dict__ | {"_files": {}}
 
-    def file(self, name: str, columns: int) -> np.ndarray:
+    def file(self, name: str, columns: int) -> np.ndarray | tuple:
         if name not in self._files:
-            self._files[name] = mapped(self.folder, name, columns)
+            self._files[name] = mapped_pairs(self.folder, name) if name.startswith("pair-") else mapped(self.folder, name, columns)
         return self._files[name]
 
     def look_up(self, kind: str, columns: int, keys: np.ndarray, shard: np.ndarray, others: tuple[str, int] | None = None) -> list[np.ndarray]:
@@ -304,7 +332,7 @@ def train(docs: DataFrame) -> KneserNey:
         first, second, counts = first[start], second[start], (np.add.reduceat(counts, start) if len(start) else counts)
         key = pair_hash(first, second)
         order = np.argsort(key)
-        save(folder, f"pair-{k}", key[order], counts[order])
+        save_pairs(folder, f"pair-{k}", key[order], counts[order])
         follows = [(counts == 1).astype(np.uint64), (counts == 2).astype(np.uint64), (counts > 2).astype(np.uint64)]
         none = np.zeros(len(first), np.uint64)
         at_start = first == START
