@@ -143,7 +143,7 @@ class Rewritten:
 
 
 def disguised_spans(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Spans that only the rewritten text shows and that touch no plain span."""
+    """Spans that only the rewritten text shows and that no plain span contains."""
     odd, spelled, marked = ODD.search(text), SPELLED_RUN.search(text), TRIGGER.search(text)
     if not (odd or spelled or marked):
         return []
@@ -155,7 +155,7 @@ def disguised_spans(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[
     out = []
     for kind, start, end in plain_spans(new.text):
         source = new.starts[start], new.ends[end - 1]
-        if text[source[0] : source[1]] != new.text[start:end] and not any(s < source[1] and source[0] < e for s, e in taken):
+        if text[source[0] : source[1]] != new.text[start:end] and not any(s <= source[0] and source[1] <= e for s, e in taken):
             out.append((kind, *source))
     return out
 
@@ -172,7 +172,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
     A span has the kind, the code points where it starts and ends (exclusive)
     in the original text, and whether it was disguised. Plain spans of one kind
-    don't overlap; disguised spans touch no plain span. Null and empty texts have
+    don't overlap; no disguised span lies within a plain one. Null and empty texts have
     none. Repeated rows and other columns don't matter.
     """
 
