@@ -2,7 +2,7 @@
 
 Plain identifiers are found on the text as it stands. A transducer then rewrites
 the text: characters that look like ASCII become ASCII and invisible ones go,
-runs of spelled digits become digits, and words for ``@`` and ``.`` become these.
+spelled digits become digits, and words for ``@`` and ``.`` become these.
 It carries, for each character that it writes, the span of source characters
 that it stands for, so what the same detectors find on the rewritten text maps
 back to spans of the source.
@@ -40,19 +40,23 @@ INVISIBLE = frozenset("­​‌‍‎‏⁠﻿")
 SPELLED = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "fuenf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "une": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
 }
-#: Spelled digits in a row that are taken for a number.
-LEAST_SPELLED = 4
+
+#: Letters that a search without case takes for ASCII ones.
+FOLDED = str.maketrans("ſİıK", "siik")
 
 ODD = re.compile("[" + re.escape("".join(sorted({*LOOKALIKES, *INVISIBLE}))) + "！-～٠-٩۰-۹०-९⁰-⁹₀-₉①-⑨\U0001d400-\U0001d7ff]")
 ONE_SPELLED = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
-SPELLED_RUN = re.compile(rf"(?i)(?<![A-Za-z0-9]){ONE_SPELLED}(?:[\x20,-]{{1,2}}{ONE_SPELLED}){{{LEAST_SPELLED - 1},}}(?![A-Za-z0-9])")
+#: Of any length: whether it is a number is for the detectors to say.
+SPELLED_RUN = re.compile(rf"(?i)(?<![^\W_]){ONE_SPELLED}(?![^\W_])(?:[\x20,-]{{1,2}}{ONE_SPELLED}(?![^\W_]))*+")
 SPELLED_WORD = re.compile(rf"(?i){ONE_SPELLED}")
 PLUS = re.compile(r"(?i)(?<![A-Za-z0-9])plus\x20?(?=[0-9])")
 NEAR = r"[A-Za-z0-9-]"
 MARKED_AT = re.compile(rf"(?i)(?<={NEAR})\x20?(?:\(\x20?(?:at|@|arroba)\x20?\)|\[\x20?(?:at|@|arroba)\x20?\]|\{{\x20?(?:at|@|arroba)\x20?\}}|<\x20?at\x20?>|_at_)\x20?(?={NEAR})")
 MARKED_DOT = re.compile(rf"(?i)(?<={NEAR})\x20?(?:\(\x20?(?:dot|\.|punto|punkt)\x20?\)|\[\x20?(?:dot|\.|punto|punkt)\x20?\]|\{{\x20?(?:dot|\.|punto|punkt)\x20?\}}|<\x20?dot\x20?>|_dot_)\x20?(?={NEAR})")
-#: Bare words count only together: ``name at host dot domain``, or a dot within a number.
+#: Bare words count only together: ``name at host dot domain``, where the dot may be a marked one, or a dot within a number.
 BARE = re.compile(rf"(?i)(?<![A-Za-z0-9])[A-Za-z0-9._%+-]{{1,64}}(\x20(?:at|arroba)\x20|@)[A-Za-z0-9-]{{1,63}}(?:(?:\x20(?:dot|punto|punkt)\x20|\.)[A-Za-z0-9-]{{1,63}}){{1,8}}")
 BARE_DOT = re.compile(r"(?i)\x20(?:dot|punto|punkt)\x20")
 NUMBER_DOT = re.compile(r"(?i)(?<=[0-9])\x20?(?:dot|punto|punkt)\x20?(?=[0-9])")
@@ -125,7 +129,7 @@ class Rewritten:
         for m in SPELLED_RUN.finditer(self.text):
             at = m.start()
             for w in SPELLED_WORD.finditer(m[0]):
-                edits.append((at, m.start() + w.end(), SPELLED[w[0].lower()]))
+                edits.append((at, m.start() + w.end(), SPELLED[w[0].translate(FOLDED).lower()]))
                 at = m.start() + w.end()
         self.replace(edits)
         self.replace([(m.start(), m.end(), "+") for m in PLUS.finditer(self.text)])
@@ -137,7 +141,8 @@ class Rewritten:
         edits = []
         for m in BARE.finditer(self.text):
             dots = [(m.start() + d.start(), m.start() + d.end(), ".") for d in BARE_DOT.finditer(m[0], m.end(1) - m.start())]
-            if dots and len(m[1]) > 1 or dots and m[1] == "@":
+            marked = any(self.text[i] == "." and self.ends[i] - self.starts[i] > 1 for i in range(m.end(1), m.end()))
+            if dots or marked:
                 edits += [*([(m.start(1), m.end(1), "@")] if len(m[1]) > 1 else []), *dots]
         self.replace(edits)
 

@@ -15,3 +15,24 @@ def test_disguised_spans_with_a_plain_part():
         assert found(f"at {text}, now") == [(kind, text)], text
         assert found(f"at {text}, now", False) == [(kind, plain)], text
     assert found("write to john@example.com") == []
+
+
+def test_spelled_runs_of_any_length():
+    for text, kind in (
+        ("one nine two dot one six eight dot one dot two", "ip"),
+        ("+1 (five five five) one two three - four five six seven", "phone"),
+        ("plus vier neun drei null eins zwei drei vier fünf sechs", "phone"),
+        ("plus trois trois un deux trois quatre cinq six sept huit", "phone"),
+        ("vier eins eins eins - eins eins eins eins - eins eins eins eins - eins eins eins eins", None),
+    ):
+        assert found(f"see {text}.") == ([(kind, text)] if kind else []), text
+    for text in ("192.168.ſix.fİve", "192.168.one.7 one two threefold"):
+        assert [k for k, _ in found(text)] == ["ip"], text
+    for clean in ("one of the two, at least", "un deux trois", "sieben Zwerge und neun Wünsche", "null and void"):
+        assert pii.find_spans(clean) == []
+
+
+def test_a_marked_dot_counts_for_a_bare_at():
+    for text in ("john at example (dot) com", "john at example[dot]com"):
+        assert found(f"write {text} now") == [("email", text)], text
+    assert pii.find_spans("meet at example.com") == []
