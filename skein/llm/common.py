@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import time
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,10 +21,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set, as in tests."""
+    """The cluster's shared folder; one of our own only where none is set and the master is local, as in tests."""
     sc = spark.sparkContext
     there = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not there and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir isn't set, and executors elsewhere don't see a folder of the driver")
         sc.setCheckpointDir(there or tempfile.mkdtemp(prefix="skein-checkpoint-"))
     return there or sc.getCheckpointDir()
 
@@ -34,6 +37,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new name in the shared folder."""
+    return f"{ensure_checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Whatever file system it is on."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished, checkpointed steps.
 
@@ -48,6 +62,15 @@ def release(spark: SparkSession) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with as many ``x_`` before them as none of the columns of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    before = "x_"
+    while any(f"{before}{n}" in taken for n in names):
+        before += "x_"
+    return [before + n for n in names]
+
+
 def crc_fold(doc_id: Column, folds: int) -> Column:
     """``crc32(doc_id as text) mod folds``; null where ``doc_id`` is null."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(folds)

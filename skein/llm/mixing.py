@@ -10,6 +10,8 @@ A source's budget is then cut exactly: whole epochs first, the rest in key order
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,10 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     level is the words that a weight of 1 gets once all sources that it would
     take beyond their bound have stopped there: in order of bound by weight, the
     first level that the source at hand does not stop.
+
+    Dealing in turn needs a rank over all sources, and the level running sums
+    over them: both are done in one task, which spills. It holds a row of some
+    100 bytes per source and nothing that grows with the documents.
     """
     everything = Window.partitionBy(F.lit(0))
     in_turn = everything.orderBy(F.col("x_source").asc_nulls_last())
@@ -47,8 +53,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     return out.withColumn("x_target", F.least("x_most", F.coalesce(first * F.col("x_weight"), F.col("x_most")))).select("x_source", "x_size", "x_rows", "x_target")
 
 
-def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, size, source_size, target, taken, epochs``.
+def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED, slice_rows: int = SLICE_ROWS, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, size, source_size, target, taken, epochs``, then the columns in ``keep``.
 
     ``size`` counts the words of the text, ``taken`` the words that the mix
     takes of them, repeats counted; ``epochs`` is how many times the document
@@ -57,17 +63,23 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: fl
 
     Null text has no words. A null source is a source of its own, the last. A
     null ``doc_id`` takes the key of the empty string. Repeated rows are taken
-    one by one. Other columns are ignored; an empty table gives no rows.
+    one by one. Other columns are ignored; an empty table gives no rows. With
+    ``keep``, say the text, these columns go through the one shuffle by slice,
+    and words are counted anew in each pass instead of being checkpointed.
     """
+    clash = {"doc_id", "size", "source_size", "target", "taken", "epochs"} & set(keep)
+    if clash:
+        raise ValueError(f"columns of the result can't be kept: {sorted(clash)}")
     random = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))), 1, 15), 16, 10).cast("long")
-    sized = cut(
-        docs.select(
-            F.col("doc_id").alias("x_id"),
-            F.col("source").alias("x_source"),
-            F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("x_words"),
-            random.alias("x_key"),
-        )
+    carried = F.struct(*keep).alias("x_kept")
+    sized = docs.select(
+        F.col("doc_id").alias("x_id"),
+        F.col("source").alias("x_source"),
+        F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("x_words"),
+        random.alias("x_key"),
+        *([carried] if keep else []),
     )
+    sized = sized if keep else cut(sized)
     by_source = sized.groupBy("x_source").agg(F.sum("x_words").alias("x_size"), F.count(F.lit(1)).alias("x_rows"))
     goals = cut(targets(by_source, weights, share, most))
     # One row per source: Spark broadcasts it below its own size threshold, and joins by key beyond.
@@ -93,6 +105,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: fl
         F.col("x_target").alias("target"),
         (whole * F.col("x_words") + part).cast("long").alias("taken"),
         (whole + F.when(part > 0, 1).otherwise(0)).cast("long").alias("epochs"),
+        *(F.col("x_kept")[c].alias(c) for c in keep),
     )
 
 

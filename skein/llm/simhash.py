@@ -25,7 +25,9 @@ from .bitslice import spanning_links
 from .common import cut, release
 from .components import components
 
-SHINGLE, SEED, RADIUS, PIECES = 4, 42, 4, 6
+SHINGLE, SEED, RADIUS = 4, 42, 4
+#: Fingerprints that a bucket holds on average, at most, if their bits are even.
+CROWD = 4
 #: Fingerprints of a bucket, or of a chunk of one, that are compared in one group.
 BLOCK_ROWS = 8192
 #: Lanes that a worker gathers before it compares.
@@ -82,8 +84,21 @@ def bucket_keys(value: Column, radius: int, pieces: int) -> Column:
     return F.array(*keys)
 
 
-def near_links(nodes: DataFrame, radius: int = RADIUS, pieces: int = PIECES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def pieces_for(n: int, radius: int = RADIUS) -> int:
+    """The fewest pieces, and with them the fewest keys of a fingerprint, at which buckets don't grow with ``n``.
+
+    ``radius + 2`` pieces up to 8 million fingerprints (15 keys at radius 4), two
+    more up to 17 billion (70 keys of 32 bits), and so on.
+    """
+    pieces = radius + 2
+    while pieces < 64 and n > CROWD << (64 * (pieces - radius) // pieces):
+        pieces += 1
+    return pieces
+
+
+def near_links(nodes: DataFrame, radius: int = RADIUS, pieces: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``node, print`` with distinct prints -> ``a, b``: nodes whose prints link, a spanning forest for each bucket."""
+    pieces = pieces or pieces_for(nodes.count(), radius)
     rows = nodes.select("node", "print", F.explode(bucket_keys(F.col("print"), radius, pieces)).alias("key"))
     large = rows.groupBy("key").count().filter(F.col("count") > block_rows).select("key", F.ceil(F.col("count") / block_rows).cast("int").alias("chunks"))
     rows = rows.join(large, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
@@ -118,7 +133,7 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, pieces: int = PIECES, blo
     return rows.repartition("key", "pair").sortWithinPartitions("key", "pair", "print").mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, pieces: int = PIECES, block_rows: int = BLOCK_ROWS, size: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, pieces: int | None = None, block_rows: int = BLOCK_ROWS, size: int = SHINGLE) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, fingerprint, component_id``.
 
     The component is the least ``doc_id`` that links reach. Texts without words,
@@ -133,9 +148,3 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, pieces: int = PIECES,
     found = components(near_links(nodes, radius, pieces, block_rows))
     by_print = nodes.join(found, "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
     return prints.join(by_print, "print", "left").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component, the one with the least ``doc_id``; those without id stay."""
-    kept = near_duplicates(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("x_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["x_kept_id"]), "left_semi")

@@ -72,6 +72,49 @@ def test_exact_dedup_odd(docs_of, odd):
     assert kept.columns == docs_of([]).columns and sorted(r["doc_id"] for r in rows(kept)) == [3, 4, 5, 6, 8, 9]
 
 
+def test_one_row_of_each_text(docs_of):
+    """Against brute force, with digests that tell texts apart and ones that don't."""
+    dice = random.Random(4)
+    table = [(dice.choice([None, 1, 2, 3, 4]), dice.choice(["a b", "ab", "a  b", "c", " c", "", None, "d d"])) for _ in range(60)]
+    for digest in (exact_dedup.sha256, lambda c: F.lit("one").cast("binary"), lambda c: F.substring(F.md5(c), 1, 1).cast("binary")):
+        for part in (table, table[:7], [(7, "alpha"), (3, "beta"), (7, "beta"), (9, "gamma"), (9, "gamma")]):
+            best = {}
+            for d, t in part:
+                own = (-len(t or ""), d is None, d or 0)
+                bare = SPACE.sub("", t or "")
+                best[bare] = min(best.get(bare, own), own)
+            found = exact_dedup.drop_copies(docs_of(part), digest, salts=3)
+            assert found.columns == docs_of([]).columns
+            assert sorted((-len(r["text"] or ""), r["doc_id"] is None, r["doc_id"] or 0) for r in rows(found)) == sorted(best.values())
+            assert all(r["x_id"] == "x" and r["first"] == 7 for r in rows(found))
+
+
+def test_hot_text_meets_its_group_in_salts(docs_of, spark):
+    """A text that is most rows isn't one partition of the last join, with adaptive execution off."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = exact_dedup.exact_dedup(docs_of([(i, "hot" if i % 10 else f"t{i}") for i in range(4000)]))
+        sizes = [r["n"] for r in rows(found.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")))]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+    assert sum(sizes) == 4000 and max(sizes) < 2000
+
+
+def test_pieces_keep_buckets_small():
+    assert [simhash.pieces_for(n) for n in (0, 10**6, 10**8, 10**10)] == [6, 6, 7, 8]
+
+
+def test_mixing_keeps_columns(docs_of):
+    table = [(i, f"w{i} " * (i % 5), "en", "ab"[i % 2]) for i in range(50)] + [(None, None, "en", None)]
+    plain = rows(mixing.mix_sources(docs_of(table), slice_rows=8))
+    kept = rows(mixing.mix_sources(docs_of(table), slice_rows=8, keep=["text", "x_id"]))
+    order = lambda r: (r["doc_id"] is None, r["doc_id"] or 0)
+    assert [r | {"text": dict((t[0], t[1]) for t in table)[r["doc_id"]], "x_id": "x"} for r in sorted(plain, key=order)] == sorted(kept, key=order)
+
+
 def test_mixing(docs_of, odd):
     dice = random.Random(1)
     table = [(i, " ".join(["w"] * dice.randint(0, 30)), "en", dice.choice(["a", "b", "c", "é", None])) for i in range(300)] + [(r[0], r[1], "en", "big") for r in odd]
