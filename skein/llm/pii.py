@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,9 +45,19 @@ SPELLED = {
 }
 
 #: Letters that a search without case takes for ASCII ones.
-FOLDED = str.maketrans("ſİıK", "siik")
+FOLDED = {ord(a): b for a, b in zip("ſİıK", "siik", strict=True)}
 
 ODD = re.compile("[" + re.escape("".join(sorted({*LOOKALIKES, *INVISIBLE}))) + "！-～٠-٩۰-۹०-९⁰-⁹₀-₉①-⑨\U0001d400-\U0001d7ff]")
+
+
+def by_first_letter(words: Iterable[str]) -> str:
+    """An expression for any of the words that looks at a letter once."""
+    of: dict[str, list[str]] = {}
+    for w in sorted(words, key=len, reverse=True):
+        of.setdefault(w[0], []).append(w[1:])
+    return "(?:" + "|".join(f"{a}(?:{'|'.join(b)})" for a, b in of.items()) + ")"
+
+
 ONE_SPELLED = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
 #: Of any length: whether it is a number is for the detectors to say.
 SPELLED_RUN = re.compile(rf"(?i)(?<![^\W_]){ONE_SPELLED}(?![^\W_])(?:[\x20,-]{{1,2}}{ONE_SPELLED}(?![^\W_]))*+")
@@ -55,12 +65,24 @@ SPELLED_WORD = re.compile(rf"(?i){ONE_SPELLED}")
 PLUS = re.compile(r"(?i)(?<![A-Za-z0-9])plus\x20?(?=[0-9])")
 NEAR = r"[A-Za-z0-9-]"
 MARKED_AT = re.compile(rf"(?i)(?<={NEAR})\x20?(?:\(\x20?(?:at|@|arroba)\x20?\)|\[\x20?(?:at|@|arroba)\x20?\]|\{{\x20?(?:at|@|arroba)\x20?\}}|<\x20?at\x20?>|_at_)\x20?(?={NEAR})")
-MARKED_DOT = re.compile(rf"(?i)(?<={NEAR})\x20?(?:\(\x20?(?:dot|\.|punto|punkt)\x20?\)|\[\x20?(?:dot|\.|punto|punkt)\x20?\]|\{{\x20?(?:dot|\.|punto|punkt)\x20?\}}|<\x20?dot\x20?>|_dot_)\x20?(?={NEAR})")
+MARKED_DOT = re.compile(rf"(?i)(?<={NEAR})\x20?(?:\(\x20?(?:dot|\.|punto|punkt|point)\x20?\)|\[\x20?(?:dot|\.|punto|punkt|point)\x20?\]|\{{\x20?(?:dot|\.|punto|punkt|point)\x20?\}}|<\x20?dot\x20?>|_dot_)\x20?(?={NEAR})")
 #: Bare words count only together: ``name at host dot domain``, where the dot may be a marked one, or a dot within a number.
-BARE = re.compile(rf"(?i)(?<![A-Za-z0-9])[A-Za-z0-9._%+-]{{1,64}}(\x20(?:at|arroba)\x20|@)[A-Za-z0-9-]{{1,63}}(?:(?:\x20(?:dot|punto|punkt)\x20|\.)[A-Za-z0-9-]{{1,63}}){{1,8}}")
-BARE_DOT = re.compile(r"(?i)\x20(?:dot|punto|punkt)\x20")
-NUMBER_DOT = re.compile(r"(?i)(?<=[0-9])\x20?(?:dot|punto|punkt)\x20?(?=[0-9])")
-TRIGGER = re.compile(r"(?i)[(\[{<_]\x20?(?:at|@|arroba|dot|\.|punto|punkt)\x20?[)\]}>_]|\x20(?:dot|punto|punkt)\x20|[0-9]dot[0-9]|(?<![A-Za-z])plus\x20?[0-9]")
+BARE = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(\x20(?:at|arroba)\x20|@)[A-Za-z0-9-]++(?:(?:\x20(?:dot|punto|punkt|point)\x20|\.)[A-Za-z0-9-]++)++")
+BARE_DOT = re.compile(r"(?i)\x20(?:dot|punto|punkt|point)\x20")
+NUMBER_DOT = re.compile(r"(?i)(?<=[0-9])\x20?(?:dot|punto|punkt|point)\x20?(?=[0-9])")
+#: What a text in lower case has if anything in it is marked as ``@``, a dot or a plus ...
+TRIGGER = re.compile(r"[(\[{<_]\x20?(?:at|@|arroba|dot|\.|punto|punkt|point)\x20?[)\]}>_]|\x20(?:dot|punto|punkt|point)\x20|[0-9](?:dot|punto|punkt|point)[0-9]|plus\x20?[0-9]")
+#: ... or if a spelled digit belongs to a number: no identifier has a single digit, so another one, spelled or not, stands beside it.
+BETWEEN = r"(?:[\x20,().\[\]{}<>_+-]|dot|punto|punkt|point|plus)*+"
+SPELLED_NUMBER = re.compile(rf"[\W_]{by_first_letter(SPELLED)}(?![^\W_]){BETWEEN}(?:[0-9]|{ONE_SPELLED}(?![^\W_]))")
+NUMBER_SPELLED = re.compile(rf"[0-9]{BETWEEN}(?<![^\W_]){ONE_SPELLED}(?![^\W_])")
+
+
+def in_lower_case(text: str) -> str:
+    """As long as ``text``, with a letter that a search without case takes for an ASCII one as that."""
+    for odd, plain in FOLDED.items():
+        text = text.replace(chr(odd), plain)
+    return text.lower()
 
 
 def luhn(digits: str) -> bool:
@@ -147,22 +169,40 @@ class Rewritten:
         self.replace(edits)
 
 
+def is_disguised(text: str) -> bool:
+    """Whether rewriting can make an identifier: all texts are searched for this, few are rewritten."""
+    if not text.isascii() and ODD.search(text):
+        return True
+    low = " " + in_lower_case(text)
+    return any(p.search(low) for p in (TRIGGER, SPELLED_NUMBER, NUMBER_SPELLED))
+
+
+def not_within(spans: list[tuple[int, int]], others: list[tuple[int, int]]) -> Iterator[bool]:
+    """For each of ``spans``, in order of start, whether none of ``others``, in order of start, contains it: one sweep over both."""
+    reach, k = -1, 0
+    for start, end in spans:
+        while k < len(others) and others[k][0] <= start:
+            reach = max(reach, others[k][1])
+            k += 1
+        yield end > reach
+
+
 def disguised_spans(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans that only the rewritten text shows and that no plain span contains."""
-    odd, spelled, marked = ODD.search(text), SPELLED_RUN.search(text), TRIGGER.search(text)
-    if not (odd or spelled or marked):
+    if not is_disguised(text):
         return []
     new = Rewritten(text)
     new.look_alikes()
     new.spelled_digits()
     new.at_and_dot()
-    taken = sorted((s, e) for _, s, e in plain)
-    out = []
+    found = []
     for kind, start, end in plain_spans(new.text):
         source = new.starts[start], new.ends[end - 1]
-        if text[source[0] : source[1]] != new.text[start:end] and not any(s <= source[0] and source[1] <= e for s, e in taken):
-            out.append((kind, *source))
-    return out
+        if text[source[0] : source[1]] != new.text[start:end]:
+            found.append((*source, kind))
+    found.sort()
+    alone = not_within([s[:2] for s in found], sorted((s, e) for _, s, e in plain))
+    return [(kind, start, end) for (start, end, kind), free in zip(found, alone, strict=True) if free]
 
 
 def find_spans(text: str | None) -> list[tuple[str, int, int, bool]]:
@@ -191,7 +231,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 
 def digest_spans(found: DataFrame) -> DataFrame:
-    """Counts by kind over all spans, the plain spans' digest, and all spans as one string."""
+    """Counts by kind over all spans, the plain spans' digest, and all spans as one string; without spans zeros, the digest of the empty string, and that. Rows stay one by one, null ids too."""
 
     def listed(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
