@@ -1,7 +1,7 @@
 """Language identification by compression.
 
-For each language a raw-content zstandard dictionary is cut from a bounded
-sample of its training texts. A text is compressed with every dictionary; the
+For each language a raw-content zstandard dictionary is put together from a
+bounded sample of its training documents, a stretch of each. A text is compressed with every dictionary; the
 language whose dictionary leaves the fewest bytes wins. Narrow margins are
 rejected: ``accepted`` is false there.
 """
@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import crc_fold
 
-#: The sample that dictionaries are cut from: documents of a language, characters of each, bytes in all.
-SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 256, 4096, 64 * 1024
-#: zstandard's effort; matches of three bytes count, as syllables are short.
+#: The sample that dictionaries are made of: documents of a language, code points of the stretch that each gives.
+SAMPLE_DOCS, STRETCH = 512, 512
+#: zstandard's effort; matches of three bytes count, as syllables are short. Chosen on a part of the training fold.
 LEVEL, MIN_MATCH = 7, 3
 #: The least margin, as a share of the runner-up's bytes, at which the winner is accepted.
 MARGIN = 0.01
@@ -71,25 +71,32 @@ class LanguageModel:
         return self.compressors()[best][0], score, margin, margin >= self.margin
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, dict_bytes: int = DICT_BYTES) -> LanguageModel:
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, stretch: int = STRETCH) -> LanguageModel:
     """Dictionaries from the rows whose crc32(doc_id as text) mod 3 is not 1 and whose ``lang`` and ``text`` are there.
 
-    The counts of languages cover all these rows; what comes to the driver is a
-    row per language and, in hash order, about ``sample_docs`` documents of each,
-    ``sample_chars`` characters of each document at most.
+    The counts of languages cover all these rows. The sample is of the first
+    ``sample_docs`` rows of each language in the order of a hash of ``doc_id``,
+    and every one of them gives ``stretch`` code points, or all that it has, from
+    a place that hangs on the hash. Two jobs find it whatever the size of the
+    table; the driver gets one and a half times the sample at most, and a row
+    per language. Of a language with very many rows of few ids fewer may come.
     """
-    known = docs.filter((crc_fold(F.col("doc_id"), 3) != 1) & F.col("lang").isNotNull())
+    known = docs.filter((crc_fold(F.col("doc_id"), 3) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}
     if not counts:
         return LanguageModel({})
-    at = (F.xxhash64(F.col("doc_id"), F.lit("language")) / F.lit(float(1 << 64))) + F.lit(0.5)
-    wanted = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.5 * sample_docs / n))])
-    drawn: dict[str, list[tuple[float, str]]] = {k: [] for k in counts}
-    for lang, where, text in (
-        known.filter((at < wanted[F.col("lang")]) & F.col("text").isNotNull()).select("lang", at, F.substring("text", 1, sample_chars)).toLocalIterator()
-    ):
-        drawn[lang].append((where, text))
-    return LanguageModel({k: b"\n".join(folded(t) for _, t in sorted(v)[:sample_docs])[:dict_bytes] for k, v in drawn.items()})
+    hashed = F.xxhash64(F.col("doc_id"), F.lit("language"))
+    at = hashed / F.lit(float(1 << 64)) + F.lit(0.5)
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, (1.5 * sample_docs + 64) / n)])
+    begin = F.pmod(F.xxhash64(hashed), F.greatest(F.length("text") - F.lit(stretch - 1), F.lit(1))).cast("int") + 1
+    near = known.select("lang", at.alias("x_at"), F.col("text").substr(begin, F.lit(stretch)).alias("x_part")).filter(F.col("x_at") < share[F.col("lang")])
+    # The share makes about this many rows; the limit holds even if ids repeat.
+    rows = near.orderBy(F.col("x_at") / share[F.col("lang")], "lang", "x_part").limit(len(counts) * (2 * sample_docs + 64)).collect()
+    drawn: dict[str, list[str]] = {k: [] for k in counts}
+    for lang, _, part in rows:
+        if len(drawn[lang]) < sample_docs:
+            drawn[lang].append(part)
+    return LanguageModel({k: b"\n".join(map(folded, v)) for k, v in drawn.items()})
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
