@@ -1,9 +1,14 @@
 """Language, quality, URLs and personal data."""
 
+import math
 import random
 import re
+from collections import Counter
 from zlib import crc32
 
+import numpy as np
+import pytest
+import zstandard
 from skein.llm import language_id, pii, quality, queries, url_filter
 from skein.llm.common import read
 
@@ -50,7 +55,7 @@ def test_quality_held_out_accuracy(spark):
 
 
 def test_quality_odd_rows(spark, docs_of, odd):
-    model = quality.fit(["good words in order"] * 5 + ["BAD!! BAD!! BAD!!"] * 5, [1] * 5 + [0] * 5)
+    model = quality.fit([quality.features("good words in order")] * 5 + [quality.features("BAD!! BAD!! BAD!!")] * 5, [1] * 5 + [0] * 5)
     found = rows(quality.score_quality(docs_of(odd), model))
     assert len(found) == len(odd) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in found)
     assert model.score("good words in order") > 0.5 > model.score("BAD!! BAD!! BAD!!")
@@ -61,6 +66,118 @@ def test_quality_odd_rows(spark, docs_of, odd):
     assert quality.keep_good(docs_of([(1, "good words"), (2, "BAD!! BAD!! BAD!!")]), model).columns == docs_of([]).columns
 
 
+def test_language_classify_against_the_definition():
+    """Sizes by a compressor made anew for each text and dictionary."""
+    dice = random.Random(2)
+    dictionaries = {k: " ".join("".join(dice.choice(letters) for _ in range(5)) for _ in range(400)).encode() for k, letters in (("aa", "abcde"), ("bb", "defgh"), ("cc", "ghijk"))}
+    model = language_id.LanguageModel(dictionaries)
+    for _ in range(200):
+        text = " ".join("".join(dice.choice("abcdefghijk") for _ in range(5)) for _ in range(dice.randint(1, 40)))
+        sizes = {}
+        for lang, content in dictionaries.items():
+            how = zstandard.ZstdCompressionParameters.from_level(language_id.LEVEL, min_match=language_id.MIN_MATCH, write_content_size=0, write_checksum=0, write_dict_id=0)
+            own = zstandard.ZstdCompressor(compression_params=how, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+            sizes[lang] = len(own.compress(text.encode()))
+        best, second = sorted(sizes.values())[:2]
+        lang, score, margin, accepted = model.classify(text)
+        assert lang == min(sizes, key=lambda k: (sizes[k], k)) and margin == (second - best) / second and accepted == (margin >= language_id.MARGIN)
+        assert abs(score - 1 / sum(2.0 ** (best - s) for s in sizes.values())) < 1e-12
+
+
+def test_language_sample_gives_all_documents_to_the_dictionary(docs_of, spark):
+    own = [i for i in range(400) if crc32(str(i).encode()) % 3 != 1][:150]
+    table = [(i, f"start{i:04d} " * 200, "yes", "s") for i in own] + [(own[0], "again " * 9, "few", "s")] * 500
+    model = language_id.train(docs_of(table), sample_docs=60, stretch=40)
+    parts = model.dictionaries["yes"].split(b"\n")
+    assert len(parts) == 60 and len({re.search(rb"start(\d{4})", p)[1] for p in parts}) == 60 and all(len(p) == 40 for p in parts)
+    assert list(model.dictionaries) == ["few", "yes"]
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("sample", "")
+    language_id.train(docs_of(table).repartition(40), sample_docs=60)
+    assert len(jobs.getJobIdsForGroup("sample")) < 12  # not one for each partition
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def plain_features(text):
+    """Feature names, without hashing, word by word."""
+    words, out = (text or "").split(), Counter()
+    for w in words:
+        marked = f"<{w}>"
+        out.update([("word", marked), *((n, marked[i : i + n]) for n in (3, 4) for i in range(len(marked) - n + 1))])
+    out.update(("pair", a, b) for a, b in zip(words, words[1:], strict=False))
+    out["equal"] += sum(a == b for a, b in zip(words, words[1:], strict=False))
+    return out
+
+
+def test_quality_features_against_plain_ones(odd, monkeypatch):
+    """Each name has one bucket, and a text the buckets of its names, however it is cut."""
+    texts = [t for _, t in odd] + ["a a b", "  x\u00a0y\tz ", "\ud800 broken", "ñ ñ ñ", "one"]
+    bucket_of = {"equal": quality.EQUAL}
+    for t in ["a", "b", "a a", *texts]:
+        for name in plain_features(t):
+            if name[0] == "word":
+                bucket_of[name] = int(np.concatenate([b for b, _ in quality.hashed_features([name[1][1:-1]])][:1])[0])
+    for size in (1 << 18, 50):
+        monkeypatch.setattr(quality, "AT_ONCE", size)
+        got = [Counter() for _ in texts]
+        for buckets, of in quality.hashed_features(texts):
+            for b, i in zip(buckets.tolist(), of.tolist(), strict=True):
+                got[i][b] += 1
+        for t, g in zip(texts, got, strict=True):
+            names = plain_features(t)
+            assert sum(g.values()) == sum(names.values())
+            for name, n in names.items():
+                assert g[bucket_of[name]] >= n if name in bucket_of else True
+            at, counts = quality.features(t)
+            assert dict(zip(at.tolist(), counts.tolist(), strict=True)) == dict(g)
+
+
+def test_quality_gradient_and_scores(monkeypatch):
+    """Against finite differences, and a forward pass by the softmax itself."""
+    dice = np.random.default_rng(1)
+    vectors, out, bias = dice.normal(size=(50, 4)), dice.normal(size=(2, 4)), dice.normal(size=2)
+    at, counts = np.array([3, 7, 20]), np.array([1, 4, 2])
+
+    def loss():
+        hidden = (vectors[at] * counts[:, None]).sum(axis=0) / counts.sum()
+        odds = out @ hidden + bias
+        return np.log(np.exp(odds).sum()) - odds[1]
+
+    _, d_vectors, d_out, d_bias = quality.gradient(vectors, out, bias, at, counts, 1)
+    for values, found in ((vectors, {(i, j): d_vectors[k, j] for k, i in enumerate(at) for j in range(4)}), (out, dict(np.ndenumerate(d_out))), (bias, dict(np.ndenumerate(d_bias)))):
+        for where, d in found.items():
+            old = values[where]
+            values[where] = old + 1e-6
+            up = loss()
+            values[where] = old - 1e-6
+            down = loss()
+            values[where] = old
+            assert abs((up - down) / 2e-6 - d) < 1e-6
+    model = quality.QualityModel(dice.normal(size=quality.BUCKETS), 0.3)
+    texts = ["a b c", None, "", "long words " * 500, "x x"]
+    for t, s in zip(texts, model.scores(texts), strict=True):
+        at, counts = quality.features(t)
+        mean = (model.gain[at] * counts).sum() / counts.sum() if len(at) else 0.0
+        assert abs(s - 1 / (1 + math.exp(-mean - 0.3))) < 1e-9
+
+
+def test_quality_training_reads_whole_texts_and_bounded_rows(spark, docs_of):
+    own = [i for i in range(80) if crc32(str(i).encode()) % 3 != 1]
+    texts = [(i, "plain " * 5000 + ("good" if k % 2 else "BAD!!")) for k, i in enumerate(own)]
+    labels = spark.createDataFrame([(i, k % 2, 0, "t") for k, i in enumerate(own)], "doc_id long, quality int, toxic int, text string")
+    seen = []
+    fit = quality.fit
+    try:
+        quality.fit = lambda bags, wanted, **k: seen.append((bags, wanted)) or fit(bags, wanted, **k)
+        quality.train(docs_of([*texts, *[texts[0]] * 50]), labels, 20)
+    finally:
+        quality.fit = fit
+    bags, wanted = seen[0]
+    assert len(bags) == len(wanted) == 20
+    ends = [set(quality.features(w)[0].tolist()) for w in ("BAD!!", "good")]
+    assert all(ends[y] <= set(at.tolist()) for (at, _), y in zip(bags, wanted, strict=True))
+
+
 def test_url_filter(spark):
     bad = spark.createDataFrame(
         [(1, None), (2, "no scheme"), (3, "HTTP://WWW.Casino-win.Example.org/fr/1"), (4, "http://a.example.com/en/72?x#y"), (5, "http://a.example.com/en/8"), (6, "http://casinos.org/"), (7, "http://free-bets.org/x"),
@@ -77,6 +194,24 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(bad.limit(0)).count() == 0
 
 
+def test_url_weights(spark):
+    """Against sums over split words, for weights other than 1; and a vocabulary from a table."""
+    terms = spark.createDataFrame([("Bad", None), ("bad", 1.0), ("two", 2.0), ("half", 0.5), ("half", 0.25), ("one", 1.0), ("", 9.0), (None, 9.0)], "term string, weight double")
+    how = url_filter.UrlFilter.of_vocabulary(terms, soft_bound=2.5, rules=())
+    assert list(how.strict) == ["bad"] and dict(how.soft) == {"two": 2.0, "half": 0.5, "one": 1.0}
+    with pytest.raises(ValueError):
+        url_filter.UrlFilter.of_vocabulary(terms, most=2)
+    dice = random.Random(8)
+    for judge, strict, soft, bound in ((how, {"bad"}, dict(how.soft), 2.5), (url_filter.UrlFilter(rules=()), set(url_filter.STRICT), url_filter.SOFT, url_filter.SOFT_BOUND)):
+        for _ in range(500):
+            words = [dice.choice([*strict, *soft, "plain", "twofold"]) for _ in range(dice.randint(0, 3))]
+            url = "http://h.test/" + dice.choice("-/_.").join(words)
+            found = set(re.findall("[a-z0-9]+", url))
+            want = "block" if found & strict or sum(w for t, w in soft.items() if t in found) >= bound else "allow"
+            assert judge.judge(url)[3] == want, url
+    assert max(url_filter.SOFT.values()) < url_filter.SOFT_BOUND
+
+
 def luhn(d):
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
 
