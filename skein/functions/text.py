@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ACCENTED, PLAIN = "áéíóúüñ", "aeiouun"
@@ -17,6 +17,11 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def worked_out(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are worked out once a row: a generator of one row, into which no later projection is merged."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def first_set(*columns: Column) -> Column:
     """The first that is neither null nor empty, else the empty string."""
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns], F.lit(""))
@@ -103,6 +108,15 @@ def count_word(text: Column, term: str) -> Column:
     return F.regexp_count(text, F.lit(rf"(?U)\b{quoted(term.lower())}\b"))
 
 
+def count_words(text: Column, terms: Sequence[str]) -> Column:
+    """An array of :func:`count_word` of each term. Terms without signs are found in one pass, as no two of them share a place."""
+    single = sorted({t.lower() for t in terms if t and all(c.isalnum() or c == "_" for c in t)})
+    rest = [t for t in terms if t.lower() not in single]
+    found = F.regexp_extract_all(text, F.lit(rf"(?U)\b(?:{'|'.join(single)})\b"), 0) if single else words(())
+    one = [lambda v, t=t: count_word(v["x"], t) if t in rest else F.size(F.filter(v["f"], lambda w: w == t.lower())) for t in terms]
+    return let(F.struct(text.alias("x"), found.alias("f")), lambda v: F.array(*[f(v) for f in one])) if terms else F.array().cast("array<int>")
+
+
 def count_substring(text: Column, term: str) -> Column:
     """How often ``term`` is in ``text``, without overlap."""
     return ((F.length(text) - F.length(F.replace(text, F.lit(term), F.lit("")))) / len(term)).cast("int")

@@ -2,27 +2,53 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 AXES = ("u1", "u2", "u3")
 
 
+def undominated(points: np.ndarray) -> np.ndarray:
+    """Which of distinct points no other dominates. In falling order only earlier ones can, and only those on the front so far need to be asked."""
+    order = np.lexsort(tuple(-points[:, k] for k in reversed(range(points.shape[1]))))
+    front = np.empty_like(points)
+    kept, n = np.zeros(len(points), bool), 0
+    for i in order:
+        if not n or not (front[:n] >= points[i]).all(axis=1).any():
+            front[n] = points[i]
+            n += 1
+            kept[i] = True
+    return kept
+
+
+def thinned(points: DataFrame, axes: Sequence[str]) -> DataFrame:
+    """The front of each partition: what is dominated there is dominated at all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty((0, len(axes)))
+        for batch in batches:
+            held = np.unique(np.concatenate([held, np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])]), axis=0)
+            held = held[undominated(held)]
+        yield pa.RecordBatch.from_arrays([pa.array(held[:, k], pa.float64()) for k in range(len(axes))], names=list(axes))
+
+    return points.mapInArrow(run, ", ".join(f"`{x}` double" for x in axes))
+
+
 def skyline(points: DataFrame, axes: Sequence[str] = AXES) -> DataFrame:
-    """Points that no other dominates. Points are first thinned within partitions by their own cell's best, then compared.
+    """Points that no other dominates; repeated ones all stay, ones with a null coordinate go.
 
-    Meant for fronts of a bounded number of distinct points: the comparison is by inequalities, so equal points are compared once.
+    Each partition keeps its own front, then a few partitions those of several,
+    then one task that of all: it reads fronts, not points. What meets the points
+    again is one row per place on the front.
     """
-    distinct = points.select(*axes).distinct()
-    a, b = distinct.alias("a"), distinct.alias("b")
-    no_worse, better = F.lit(True), F.lit(False)
-    for x in axes:
-        no_worse = no_worse & (F.col(f"b.{x}") >= F.col(f"a.{x}"))
-        better = better | (F.col(f"b.{x}") > F.col(f"a.{x}"))
-    front = a.join(b, no_worse & better, "left_anti")
-    return points.join(front, list(axes), "left_semi")
+    known = points.select(*[F.col(x).cast("double").alias(x) for x in axes]).dropna()
+    some = max(1, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+    front = thinned(thinned(thinned(known, axes).repartition(some, *axes), axes).repartition(1), axes)
+    return points.join(front, [points[x].cast("double") == front[x] for x in axes], "left_semi")
 
 
 def hypervolume(points: DataFrame) -> DataFrame:

@@ -53,18 +53,20 @@ def normalize(graph: Graph) -> Graph:
 
 def weight_stats(graph: Graph) -> DataFrame:
     """One row on the distribution of a normalised graph's weights and degrees. Quantiles are the values at the nearest rank."""
-    edges = graph.edges.select(F.col("weight_norm").alias("w"))
+    # Normalised weights are rounded, so a graph of any size has a bounded number of distinct ones; ranks are running counts of these.
+    edges = graph.edges.groupBy(F.col("weight_norm").alias("w")).agg(F.count(F.lit(1)).alias("c"))
     order, whole = Window.partitionBy(F.lit(0)).orderBy("w"), Window.partitionBy(F.lit(0))
-    ranked = edges.withColumns({"k": F.row_number().over(order) - 1, "n": F.count(F.lit(1)).over(whole)})
+    ranked = edges.withColumns({"k": F.sum("c").over(order), "n": F.sum("c").over(whole)})
 
     def at(q: float, name: str) -> Column:
-        return F.max(F.when(F.col("k") == F.bround((F.col("n") - 1) * q).cast("int"), F.col("w"))).alias(name)
+        return F.min(F.when(F.col("k") > F.bround((F.col("n") - 1) * q).cast("long"), F.col("w"))).alias(name)
 
     tenth = F.greatest(F.lit(1), F.ceil(F.col("n") * 0.1))
+    mean = F.sum(F.col("w") * F.col("c")) / F.sum("c")
     e = ranked.agg(
-        F.round(F.min("w"), 6).alias("edge_weight_min"), F.round(F.max("w"), 6).alias("edge_weight_max"), F.round(F.avg("w"), 6).alias("edge_weight_mean"),
-        F.round(F.var_pop("w"), 6).alias("edge_weight_variance"), at(0.25, "edge_weight_q25"), at(0.5, "edge_weight_q50"), at(0.75, "edge_weight_q75"),
-        F.round(F.try_divide(F.sum(F.when(F.col("k") >= F.col("n") - tenth, F.col("w"))), F.sum("w")), 6).alias("top_10pct_edge_weight_share"), F.count(F.lit(1)).alias("x_e"),
+        F.round(F.min("w"), 6).alias("edge_weight_min"), F.round(F.max("w"), 6).alias("edge_weight_max"), F.round(mean, 6).alias("edge_weight_mean"),
+        F.round(F.greatest(F.lit(0.0), F.sum(F.col("w") * F.col("w") * F.col("c")) / F.sum("c") - mean * mean), 6).alias("edge_weight_variance"), at(0.25, "edge_weight_q25"), at(0.5, "edge_weight_q50"), at(0.75, "edge_weight_q75"),
+        F.round(F.try_divide(F.sum(F.col("w") * F.greatest(F.lit(0), F.least(F.col("c"), F.col("k") - F.col("n") + tenth))), F.sum(F.col("w") * F.col("c"))), 6).alias("top_10pct_edge_weight_share"), F.coalesce(F.sum("c"), F.lit(0)).alias("x_e"),
     )
     n = graph.nodes.agg(
         F.round(F.avg("weight_norm"), 6).alias("node_weight_mean"), F.round(F.var_pop("weight_norm"), 6).alias("node_weight_variance"),

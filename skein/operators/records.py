@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon
 from ..functions.keys import domain, record_custody_hash, record_text
-from ..functions.text import count_substring, count_word, first_set, fold, fold_squeeze, let, markers_in, tokenize, words
+from ..functions.text import count_substring, count_word, first_set, fold, fold_squeeze, let, markers_in, squeeze, tokenize, words, worked_out
 
 MIN_PARTIAL_CHARS = 100
 
@@ -228,15 +231,16 @@ def local_search(records: DataFrame, query: str, stopwords: Sequence[str] = (),
     """The best ``limit`` records for a query: mentions of its tokens, each as often as the query has it, and 3 for the whole phrase."""
     spark = records.sparkSession
     asked = spark.range(1).select(tokenize(F.lit(query), stopwords).alias("t")).first()["t"]
-    text = F.concat_ws(" ", "title", "medium", first_set(F.col("text_normalized"), F.col("text_clean")))
-    tokens = tokenize(text, stopwords)
-    score = F.aggregate(tokens, F.lit(0), lambda n, t: n + F.size(F.filter(words(asked), lambda a: a == t)))
-    bonus = F.when(F.contains(fold_squeeze(text), F.lit(" ".join(_plain(query).split()))), 3).otherwise(0)
-    return (
-        records.select((score + bonus).cast("int").alias("score"), "year", genre().alias("source_type"), "medium", "title", "status", "url")
-        .filter("score > 0")
-        .orderBy(F.desc("score"), "year", "medium", "url")
-        .limit(limit)
-        if asked
-        else records.select(F.lit(0).alias("score"), "year", genre().alias("source_type"), "medium", "title", "status", "url").limit(0)
-    )
+    shown = [F.col(c) for c in ("year", "medium", "title", "status", "url")]
+    rows = records.select(*shown, genre().alias("source_type"), F.concat_ws(" ", "title", "medium", first_set(F.col("text_normalized"), F.col("text_clean"))).alias("x_text"))
+    columns = ["score", "year", "source_type", "medium", "title", "status", "url"]
+    if not asked:
+        return rows.withColumn("score", F.lit(0)).select(columns).limit(0)
+    rows = worked_out(rows, x_plain=fold("x_text"))
+    plain, phrase = F.col("x_plain"), " ".join(_plain(query).split())
+    # A token or the phrase is a piece of the folded text: what has none of them needs no tokens.
+    rows = rows.filter(reduce(or_, [F.contains(plain, F.lit(t)) for t in sorted({*asked, *phrase.split()[:1]})]))
+    often = Counter(asked)
+    score = F.aggregate(tokenize("x_plain"), F.lit(0), lambda n, t: n + F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in often.items() for x in p]), t), F.lit(0)))
+    bonus = F.when(F.contains(squeeze("x_plain"), F.lit(phrase)), 3).otherwise(0)
+    return worked_out(rows, score=(score + bonus).cast("int")).filter("score > 0").select(columns).orderBy(F.desc("score"), "year", "medium", "url").limit(limit)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import record_text
-from ..functions.text import count_word, ngrams, tokenize
+from ..functions.text import count_words, ngrams, tokenize, worked_out
 
 
 def term_counts(records: DataFrame, n: int = 1, stopwords: Sequence[str] = ()) -> DataFrame:
@@ -39,38 +39,44 @@ def stopword_candidates(records: DataFrame, limit: int = 50, stopwords: Sequence
     return fresh.orderBy(F.desc("count"), "x_first").limit(limit).select("term", F.col("count").alias("raw_count"))
 
 
-def group_hits(groups: Mapping[str, Sequence[str]]) -> Column:
-    """An array of ``group, term, hits``: word-bounded mentions of each term in a record; no row is multiplied."""
-    text = F.lower(record_text())
-    return F.array(*[F.struct(F.lit(g).alias("group"), F.lit(t).alias("term"), F.lit(i).alias("place"), count_word(text, t).alias("hits")) for g, terms in groups.items() for i, t in enumerate(terms)])
+def mentions(records: DataFrame, groups: Mapping[str, Sequence[str]], *keep: str) -> DataFrame:
+    """``keep`` and ``hits``: an array of the word-bounded mentions of each term of each group, in their order."""
+    rows = worked_out(records.select(*keep, record_text().alias("x_text")), x_low=F.lower("x_text"))
+    terms = [t for ts in groups.values() for t in ts]
+    return worked_out(rows, hits=count_words(F.col("x_low"), terms)).select(*keep, "hits")
 
 
 def group_counts(records: DataFrame, groups: Mapping[str, Sequence[str]], by: Sequence[str] = (), top: int = 5) -> DataFrame:
-    """Mentions of each group, documents that have one, their share, and the commonest terms."""
-    keys = [F.col(c) for c in by]
-    rows = records.select(*keys, "ord", group_hits(groups).alias("h"))
-    totals = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("documents"))
-    hits = rows.select(*keys, "ord", F.explode("h").alias("h")).select(*keys, "ord", "h.*")
-    # Sums by document first, where each document is one row of its own input: no shuffle is needed for the distinct count.
-    per = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(g).alias("group"), F.aggregate(F.filter("h", _of(g)), F.lit(0), lambda a, x: a + x["hits"]).alias("n")) for g in groups])).alias("d"))
-    docs = per.groupBy(*by, F.col("d.group").alias("group")).agg(F.sum("d.n").alias("keyword_hits"), F.count_if(F.col("d.n") > 0).alias("documents_with_group"))
-    terms = hits.groupBy(*by, "group", "term", "place").agg(F.sum("hits").alias("n")).filter("n > 0")
-    rank = Window.partitionBy(*by, "group").orderBy(F.desc("n"), "place")
-    best = terms.withColumn("k", F.row_number().over(rank)).filter(F.col("k") <= top).groupBy(*by, "group").agg(F.array_sort(F.collect_list(F.struct("k", "term"))).alias("t"))
-    best = best.select(*by, "group", F.array_join(F.transform("t", lambda x: x["term"]), ", ").alias("top_terms"))
-    out = docs.join(best, [*by, "group"], "left")
-    out = out.join(totals, list(by)) if by else out.crossJoin(totals)  # totals: one row
-    return out.select(*by, "group", "keyword_hits", "documents_with_group", F.round(F.col("documents_with_group") / F.greatest(F.lit(1), F.col("documents")), 4).alias("document_share"), F.coalesce("top_terms", F.lit("")).alias("top_terms"))
-
-
-def _of(group: str):
-    return lambda x: x["group"] == F.lit(group)
+    """Mentions of each group, documents that have one, their share, and the commonest terms.
+
+    One aggregation over one scan: each record gives a row for each group and one
+    for each of its terms that it has. What is left is as small as the dictionary.
+    """
+    each, at = [], 0
+    for g, terms in groups.items():
+        own = [F.struct(F.lit(g).alias("group"), F.lit(i).alias("place"), F.lit(t).alias("term"), F.get("hits", F.lit(at + i)).alias("n")) for i, t in enumerate(terms)]
+        total = sum((x["n"] for x in own), F.lit(0))
+        each += [F.struct(F.lit(g).alias("group"), F.lit(-1).alias("place"), F.lit("").alias("term"), total.alias("n")), *own]
+        at += len(terms)
+    rows = mentions(records, groups, *by).select(*by, F.explode(F.filter(F.array(*each), lambda x: (x["n"] > 0) | (x["place"] < 0))).alias("x"))
+    sums = rows.groupBy(*by, "x.group", "x.place", "x.term").agg(F.sum("x.n").alias("n"), F.count_if(F.col("x.n") > 0).alias("with"), F.count(F.lit(1)).alias("documents"))
+    whole = F.col("place") < 0
+    best = F.slice(F.array_sort(F.collect_list(F.when(~whole, F.struct((-F.col("n")).alias("n"), "place", "term")))), 1, top)
+    return sums.groupBy(*by, "group").agg(
+        F.max(F.when(whole, F.col("n"))).alias("keyword_hits"),
+        F.max(F.when(whole, F.col("with"))).alias("documents_with_group"),
+        F.round(F.max(F.when(whole, F.col("with"))) / F.greatest(F.lit(1), F.max(F.when(whole, F.col("documents")))), 4).alias("document_share"),
+        F.array_join(F.transform(best, lambda x: x["term"]), ", ").alias("top_terms"),
+    )
 
 
 def group_matrix(records: DataFrame, groups: Mapping[str, Sequence[str]]) -> DataFrame:
     """A column of mentions for each group and record."""
-    text = F.lower(record_text())
-    return records.select("ord", *[sum((count_word(text, t) for t in terms), F.lit(0)).cast("int").alias(g) for g, terms in groups.items()])
+    ends = [0]
+    for terms in groups.values():
+        ends.append(ends[-1] + len(terms))
+    found = mentions(records, groups, "ord")
+    return found.select("ord", *[sum((F.get("hits", F.lit(i)) for i in range(a, b)), F.lit(0)).cast("int").alias(g) for g, a, b in zip(groups, ends, ends[1:], strict=False)])
 
 
 def dimension_matrix(records: DataFrame, dimension: str, limit: int = 20, n: int = 1, stopwords: Sequence[str] = ()) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions.text import canon
+from .storage import table as read
 
 _LIST = T.ArrayType(T.StringType())
 _COUNTS = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("count", T.IntegerType())]))
@@ -26,10 +27,6 @@ RECORD = T.StructType([T.StructField(f, _KINDS.get(f, T.StringType())) for f in
 GENRE_OF = ("news", "forum", "institutional_report", "scientific_article", "industry_report", "other")
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
 def records_from_documents(docs: DataFrame) -> DataFrame:
     """Documents as records. Year, genre, title, status and address are derived; they are synthetic."""
     genre = F.array(*[F.lit(g) for g in GENRE_OF])

@@ -1,4 +1,4 @@
-"""Cutting lineage in the folder that a cluster shares."""
+"""Reading tables, and cutting lineage in the folder that a cluster shares."""
 
 from __future__ import annotations
 
@@ -7,11 +7,28 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of a table's files between which it may be one row group that a single core would read.
+SMALL = 4 << 20, 64 << 20
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A Parquet table, one that is too small for as many row groups as there are cores dealt to all of them.
+
+    Larger tables have row groups enough and are left as they lie: nothing of any size is shuffled here.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if cores > 1 and SMALL[0] <= size < SMALL[1] else df
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder of our own where none is set, as in tests."""
+    """``spark.checkpoint.dir``, or a folder of our own where none is set and the master is local, as in tests."""
     sc = spark.sparkContext
     there = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not there and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir isn't set, and executors elsewhere don't see a folder of the driver")
         sc.setCheckpointDir(there or tempfile.mkdtemp(prefix="skein-checkpoint-"))
     return there or sc.getCheckpointDir()
 
