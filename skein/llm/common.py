@@ -3,43 +3,26 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import cut, shared_folder
+from ..storage import table as read
+
+__all__ = ["bare_text", "crc_fold", "cut", "read", "release", "remove", "shared_folder", "shared_path", "unused"]
+
 #: ASCII white space: U+0020 and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 #: A word, as Java's and RE2's regular expressions write it.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set and the master is local, as in tests."""
-    sc = spark.sparkContext
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        if not there and not sc.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir isn't set, and executors elsewhere don't see a folder of the driver")
-        sc.setCheckpointDir(there or tempfile.mkdtemp(prefix="skein-checkpoint-"))
-    return there or sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint, so a lost executor costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def shared_path(spark: SparkSession, kind: str) -> str:
     """A new name in the shared folder."""
-    return f"{ensure_checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
 def remove(spark: SparkSession, path: str) -> None:

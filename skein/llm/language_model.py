@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, cut, ensure_checkpoint_dir, release
+from .common import crc_fold, cut, shared_folder, release
 from .hashes import mixed, packed, runs, shard_of, shards_of, to_shards, unpacked, word_hashes
 
 BASE_ADD = 0.1
@@ -221,7 +221,7 @@ class KneserNey:
 
 
 def model_folder(spark) -> str:
-    where = ensure_checkpoint_dir(spark)
+    where = shared_folder(spark)
     path = where.removeprefix("file://") if where.startswith("file://") else where.removeprefix("file:")
     if "://" in path:
         raise ValueError(f"a model is mapped into memory and needs a mounted folder; spark.checkpoint.dir is {where}")
