@@ -149,12 +149,6 @@ FRAME_PARTS = {
     ),
 }
 
-#: Labels of relations between narratives.
-RELATIONS = (
-    "APOYA_A", "ATACA_A", "CONTRADICE_A", "AMPLIFICA_A", "DESINFORMA_SOBRE", "VERIFICA_A", "DEPENDE_DE", "ANTECEDE_A", "CAUSA_A", "PREVIENE_A",
-    "JUSTIFICA_A", "CUESTIONA_A", "IGNORA_A", "ECO_DE", "NARRATIVA_ALTERNATIVA_DE",
-)
-
 #: Stage of a narrative event -> markers.
 EVENT_STAGES = {
     "initial_event": (
@@ -245,7 +239,7 @@ GENRE_MARKERS = {
     "forum": (
         "reddit.com", "quora.com", "stackexchange.com", "stackoverflow.com", "forum", "forums.", "/forum/", "/forums/", "community.",
         "/community/", "groups.google.com", "discourse.", "tapatalk.com", "medium.com", "substack.com", "wordpress.com", "blogspot.com",
-        "tumblr.com", "dev.to", "news.ycombinator.com", "tattoo.com", "tattooing101.com", "tattoodo.com", "inkppl.com", "tattooers.net",
+        "tumblr.com", "dev.to", "news.ycombinator.com",
     ),
     "news": (
         "/news/", "/noticias/", "/world/", "/politics/", "/society/", "/science/", "/salud/", "/opinion/", "news", "times", "post", "journal",
@@ -256,14 +250,14 @@ GENRE_MARKERS = {
 #: Words that no actor's name holds.
 ACTOR_NOISE = (
     "abstract", "article", "articles", "articulo", "articulos", "artículos", "body", "case", "city", "conclusion", "conclusiones", "conclusions",
-    "discusion", "discussion", "english", "figure", "figures", "global", "introduccion", "introduction", "journal", "kota", "method", "methods",
-    "metodo", "metodos", "objective", "objectives", "objetivo", "resultados", "results", "revista", "source", "study", "table", "tattoo",
-    "tattoos", "tatuaje", "tatuajes", "title", "unknown",
+    "discusion", "discussion", "english", "figure", "figures", "global", "introduccion", "introduction", "journal", "method", "methods",
+    "metodo", "metodos", "objective", "objectives", "objetivo", "resultados", "results", "revista", "source", "study", "table", 
+    "title", "unknown",
 )
 
 #: Phrases that no actor's name holds.
 ACTOR_NOISE_PHRASES = (
-    "area metropolitana", "conclusion the", "global unclear", "metropolitan area", "source international", "source journal", "source piel",
+    "area metropolitana", "conclusion the", "global unclear", "metropolitan area", "source international", "source journal",
 )
 
 #: Capitalised words that are no actors.

@@ -88,15 +88,19 @@ def ngrams(tokens: Column, n: int) -> Column:
     return let(tokens, grams)
 
 
-def event_sentences(text: Column, most: int = 80) -> Column:
-    """Sentences of 45 to 500 characters; one ends before a capital or a digit."""
+def first_of(parts: Column, most: int | None) -> Column:
+    return parts if most is None else F.slice(parts, 1, most)
+
+
+def event_sentences(text: Column, most: int | None = 80) -> Column:
+    """The first ``most`` sentences of 45 to 500 characters, all with ``None``; one ends before a capital or a digit."""
     parts = F.split(squeeze(text), r"(?<=[.!?¿¡])\s+(?=[A-ZÁÉÍÓÚÑ0-9¿¡])")
-    return F.slice(F.filter(parts, lambda s: F.length(s).between(45, 500)), 1, most)
+    return first_of(F.filter(parts, lambda s: F.length(s).between(45, 500)), most)
 
 
-def sentences(text: Column, most: int = 80) -> Column:
-    """Sentences of 25 characters and more."""
-    return F.slice(F.filter(F.split(squeeze(text), r"(?<=[.!?¿¡])\s+"), lambda s: F.length(s) >= 25), 1, most)
+def sentences(text: Column, most: int | None = 80) -> Column:
+    """The first ``most`` sentences of 25 characters and more, all with ``None``."""
+    return first_of(F.filter(F.split(squeeze(text), r"(?<=[.!?¿¡])\s+"), lambda s: F.length(s) >= 25), most)
 
 
 def quoted(term: str) -> str:

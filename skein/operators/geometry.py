@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 AXES = ("u1", "u2", "u3")
@@ -94,3 +94,61 @@ def numeric_summary(rows: DataFrame, value: str, by: Sequence[str]) -> DataFrame
         F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.median(value), 6).alias("median"),
         F.min(value).alias("minimum"), F.max(value).alias("maximum"), F.round(F.var_samp(value), 6).alias("variance"),
     ).join(modes, list(by))
+
+
+def accepted(points: DataFrame, least_size: int, least_weight: float, most_removed: float) -> DataFrame:
+    """Solutions with nodes enough, weight enough and not too much removed; missing figures count as the worst."""
+    size, weight, removed = F.coalesce("solution_size", F.lit(0)), F.coalesce("node_weight_ratio", F.lit(0.0)), F.coalesce("removed_weight_ratio", F.lit(1.0))
+    return points.filter((size >= least_size) & (weight >= least_weight) & (removed <= most_removed))
+
+
+def union_of_fronts(points: DataFrame) -> DataFrame:
+    """Fronts of several methods as one list: a set of nodes once for each method, the one of least ``pareto_rank``; with the three utilities and a score of compromise.
+
+    ``method, pareto_rank, ids`` (an array) and the ratios ``nodes_ratio, node_weight_ratio, removed_weight_ratio``. Empty sets go.
+    """
+    keyed = points.filter(F.size("ids") > 0).withColumn("x_ids", F.array_sort("ids"))
+    others = [c for c in points.columns if c != "method"]
+    one = keyed.groupBy("method", "x_ids").agg(F.min_by(F.struct(*others), "pareto_rank").alias("x")).select("method", "x.*")
+
+    def unit(c: Column) -> Column:
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+
+    compact, kept, weight = unit(1.0 - F.col("nodes_ratio")), unit(1.0 - F.col("removed_weight_ratio")), F.col("node_weight_ratio")
+    return one.withColumns(
+        {
+            "u1": F.round(compact, 5), "u2": F.round(weight, 5), "u3": F.round(kept, 5), "normalized_sum": F.round(compact + weight + kept, 5),
+            "compromise_score": F.round(weight / (F.col("nodes_ratio") + F.col("removed_weight_ratio") + 1e-9), 6),
+        }
+    )
+
+
+def front_summary(points: DataFrame) -> DataFrame:
+    """One row per method: points, points on its own front and on that of all, the best of each axis and the mean sum."""
+    whole = skyline(points.select(*AXES).distinct())
+    own = thinned_by(points.select("method", *AXES), "method")
+    best = own.join(whole.withColumn("x_global", F.lit(True)), list(AXES), "left").groupBy("method").agg(F.count(F.lit(1)).alias("front_points"), F.count_if(F.coalesce("x_global", F.lit(False))).alias("global_nondominated_points"))
+    sums = points.groupBy("method").agg(
+        F.count(F.lit(1)).alias("generated_points"), *[F.round(F.max(x), 5).alias(f"max_{x}") for x in AXES], F.round(F.avg(sum((F.col(x) for x in AXES), F.lit(0.0))), 5).alias("mean_normalized_sum")
+    )
+    return sums.join(best, "method")
+
+
+def thinned_by(points: DataFrame, by: str) -> DataFrame:
+    """The front of each group, repeated points once each place. A group is thinned in each partition before it meets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            keys = np.array(batch.column(0).to_pylist(), object)
+            values = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]])
+            for k in set(keys.tolist()):
+                both = np.unique(np.concatenate([held.get(k, values[:0]), values[keys == k]]), axis=0)
+                held[k] = both[undominated(both)]
+        names = [k for k, v in held.items() for _ in v]
+        rest = np.concatenate([*held.values(), np.empty((0, len(AXES)))])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array(rest[:, i], pa.float64()) for i in range(len(AXES))]], names=[by, *AXES])
+
+    schema = f"`{by}` string, " + ", ".join(f"{x} double" for x in AXES)
+    rows = points.select(F.col(by).cast("string").alias(by), *[F.col(x).cast("double").alias(x) for x in AXES]).dropna()
+    return rows.mapInArrow(run, schema).repartition(by).mapInArrow(run, schema)

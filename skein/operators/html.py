@@ -1,9 +1,7 @@
-"""Web pages: their visible text, and articles without what surrounds them."""
+"""Web pages: the text that is seen, by lines."""
 
 from __future__ import annotations
 
-import html
-import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -11,79 +9,65 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Tags whose content is not seen, tags that break a line, marks of what follows an article.
-HIDDEN = frozenset(("script", "style", "noscript", "svg", "canvas", "nav", "footer", "header"))
-BREAKS = frozenset(("p", "br", "div", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6", "li", "tr", "blockquote"))
-TAIL = ("related articles", "read more", "you may also like", "te puede interesar", "notas relacionadas", "lee tambien", "mas noticias")
-BOILERPLATE = re.compile(r"(?i)^(?:share|compartir|advertisement|publicidad|subscribe\b.*|suscribete\b.*|follow us.*|siguenos.*|all rights reserved.*|cookies?\b.*|\d{1,2}[/-]\d{1,2}[/-]\d{2,4})$")
-FOLD = str.maketrans("áéíóúüñÁÉÍÓÚÜÑ", "aeiouunAEIOUUN")
+from . import articles
 
+# Elements that are not seen, and where a line ends: before an element, after it.
+UNSEEN = frozenset(("canvas", "footer", "header", "nav", "noscript", "script", "style", "svg"))
+LINE_BEFORE = frozenset(("article", "br", "div", "h1", "h2", "h3", "li", "p", "section"))
+LINE_AFTER = frozenset(("article", "div", "li", "p", "section"))
 
-class _Seen(HTMLParser):
-    def __init__(self):
+
+class Events(HTMLParser):
+    """What stands in a page, in order: ``open``, ``close`` and ``text`` with a name or the text."""
+
+    def __init__(self, page: str):
         super().__init__(convert_charrefs=True)
-        self.parts, self.hidden = [], 0
+        self.found: list[tuple[str, str]] = []
+        self.feed(page)
+        self.close()
 
     def handle_starttag(self, tag, attrs):
-        self.hidden += tag in HIDDEN
-        if tag in BREAKS:
-            self.parts.append("\n")
+        self.found.append(("open", tag))
 
     def handle_endtag(self, tag):
-        self.hidden = max(0, self.hidden - (tag in HIDDEN))
-        if tag in BREAKS:
-            self.parts.append("\n")
+        self.found.append(("close", tag))
 
     def handle_data(self, data):
-        if not self.hidden:
-            self.parts.append(data)
+        self.found.append(("text", data))
 
 
 def visible_text(page: str | None) -> str:
-    """Lines of a page that are seen, a blank line between them; the title is one of them."""
-    seen = _Seen()
-    seen.feed(page or "")
-    seen.close()
-    return "\n\n".join(t for t in (" ".join(line.split()) for line in "".join(seen.parts).split("\n")) if t)
-
-
-def compare(text: str) -> str:
-    return " ".join(re.sub(r"[^a-z0-9\s]", " ", text.lower().translate(FOLD)).split())
-
-
-def clean_article(text: str | None, title: str | None = "") -> tuple[str, list[str]]:
-    """The article's blocks without boilerplate, repeats, the title's repeats at the top and what follows the article; and notes on what went."""
-    blocks = [b for b in (" ".join(html.unescape(p).split()) for p in re.split(r"\n+", text or "")) if b]
-    notes, kept, seen = [], [], set()
-    name = compare(title or "")
-    for i, block in enumerate(blocks):
-        plain = compare(block)
-        if any(t in plain for t in TAIL):
-            notes.append("tail_cut")
-            break
-        if len(block) <= 2 or BOILERPLATE.match(block.translate(FOLD)):
-            notes.append("boilerplate")
-        elif i < 5 and name and (plain == name or plain in name):
-            notes.append("title_repeated")
-        elif plain in seen:
-            notes.append("repeated_block")
-        else:
-            kept.append(block)
-            seen.add(plain)
-    return "\n\n".join(kept), sorted(set(notes))
+    """Lines of a page that are seen, a blank line between them; the title is one of them.
+
+    Unseen elements are a stack of those that are open. One that is closed takes
+    those with it that were opened inside it and never closed; an end without a
+    beginning ends nothing.
+    """
+    lines, unseen = [""], []
+    for kind, value in Events(page or "").found:
+        if kind == "text":
+            if not unseen:
+                first, *more = value.split("\n")
+                lines[-1] += first
+                lines += more
+            continue
+        if value in (LINE_BEFORE if kind == "open" else LINE_AFTER):
+            lines.append("")
+        if kind == "open" and value in UNSEEN:
+            unseen.append(value)
+        elif kind == "close" and value in unseen:
+            while unseen.pop() != value:
+                pass
+    return "\n\n".join(line for line in (" ".join(x.split()) for x in lines) if line)
 
 
 def clean_pages(pages: DataFrame) -> DataFrame:
-    """``page_id, url, text_visible, text_clean, cleaning_notes, word_count``."""
+    """``page_id, url, text_visible`` and the columns of :func:`articles.clean`, with the first line as the title."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = [visible_text(p.as_py()) for p in batch.column(2)]
-            done = [clean_article(t, t.split("\n", 1)[0]) for t in seen]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(seen, pa.string()), pa.array([t for t, _ in done], pa.string()), pa.array([n for _, n in done], pa.list_(pa.string()))],
-                names=["page_id", "url", "text_visible", "text_clean", "cleaning_notes"],
-            )
-
-    out = pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "page_id long, url string, text_visible string, text_clean string, cleaning_notes array<string>")
-    return out.withColumn("word_count", F.size(F.filter(F.split("text_clean", r"\s+"), lambda w: w != "")))
+            seen = pa.array([visible_text(p.as_py()) for p in batch.column(2)], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), seen], names=["page_id", "url", "text_visible"])
+
+    seen = pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "page_id long, url string, text_visible string")
+    return articles.clean(seen.withColumn("title", F.split("text_visible", "\n", 2)[0]), "text_visible").drop("title")

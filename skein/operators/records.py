@@ -52,8 +52,16 @@ def flow_stage(source_type: Column) -> Column:
     return from_map({k: v[1] for k, v in lexicon.FLOW.items()}, F.lower(F.trim(source_type)))
 
 
-def localization(mexico: Sequence[str] = lexicon.MEXICO_TERMS, wider: Sequence[str] = lexicon.LATAM_TERMS) -> Column:
-    """``localization, mexico_score, localization_evidence`` as a struct: marks of country, domain, scope and text add up."""
+def _head(text: Column, most: int | None) -> Column:
+    return text if most is None else F.substring(text, 1, most)
+
+
+def localization(mexico: Sequence[str] = lexicon.MEXICO_TERMS, wider: Sequence[str] = lexicon.LATAM_TERMS, most_chars: int | None = 5000, geographic_terms: Column | None = None) -> Column:
+    """``localization, mexico_score, localization_evidence`` as a struct: marks of country, domain, scope and text add up.
+
+    ``geographic_terms``: an array of declared places, read like the scope.
+    ``most_chars`` of the text are searched, all of it with ``None``.
+    """
 
     def hits(terms):
         return let(F.array(text, plain), lambda x: F.size(F.filter(words(sorted(terms)), lambda t: F.contains(x[0], t) | F.contains(x[1], t))))
@@ -62,10 +70,12 @@ def localization(mexico: Sequence[str] = lexicon.MEXICO_TERMS, wider: Sequence[s
         return F.coalesce(F.lower(F.col(c)).isin(*names), F.lit(False))
 
     medium, scope = F.lower(F.coalesce("medium", F.lit(""))), F.lower(F.coalesce("geographic_scope", F.lit("")))
-    text = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.substring(record_text(), 1, 5000)))
+    text = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), _head(record_text(), most_chars)))
     plain = fold(text)
     country = is_in("country", "mx", "mexico", "méxico")
     host = medium.endswith(".mx") | medium.contains(".com.mx") | medium.contains(".gob.mx") | medium.contains(".edu.mx")
+    if geographic_terms is not None:
+        scope = F.concat_ws(" ", scope, F.lower(F.array_join(F.coalesce(geographic_terms, F.array().cast("array<string>")), " ")))
     declared = scope.contains("mexico") | scope.contains("méxico")
     near, far = hits(mexico), hits(wider)
     far = F.when(near == 0, far).otherwise(0)
@@ -85,7 +95,7 @@ def localization(mexico: Sequence[str] = lexicon.MEXICO_TERMS, wider: Sequence[s
 def enrich(records: DataFrame) -> DataFrame:
     """Adds language, flow and localisation."""
     out = records.withColumns({"source_type": genre(), "analysis_language": language_name(F.col("language"))})
-    out = out.withColumns({"narrative_flow_order": flow_order(F.col("source_type")), "narrative_flow_stage": flow_stage(F.col("source_type")), "x_where": localization()})
+    out = out.withColumns({"narrative_flow_order": flow_order(F.col("source_type")), "narrative_flow_stage": flow_stage(F.col("source_type")), "x_where": localization(geographic_terms=F.col("geographic_terms") if "geographic_terms" in records.columns else None)})
     return out.withColumns({c: F.col(f"x_where.{c}") for c in ("localization", "mexico_score", "localization_evidence")}).drop("x_where")
 
 
@@ -100,9 +110,9 @@ def filter_records(records: DataFrame, **facets: Sequence) -> DataFrame:
     return out
 
 
-def exclude(records: DataFrame, terms: Sequence[str], media: Sequence[str]) -> DataFrame:
-    """Adds ``exclusion_reason``, empty for what stays: the medium's name goes before a term found anywhere."""
-    short = [F.substring(F.coalesce(c, F.lit("")), 1, 8000) for c in ("text_clean", "text_normalized")]
+def exclude(records: DataFrame, terms: Sequence[str], media: Sequence[str], most_chars: int | None = 8000) -> DataFrame:
+    """Adds ``exclusion_reason``, empty for what stays: the medium's name goes before a term found in the first ``most_chars`` of a text, or in all of it with ``None``."""
+    short = [_head(F.coalesce(c, F.lit("")), most_chars) for c in ("text_clean", "text_normalized")]
     hay = fold_squeeze(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("medium", "title", "url")], *short))
     keys = [" ".join(_plain(t).split()) for t in terms if t.strip()]
     first = F.coalesce(*[F.when(F.contains(hay, F.lit(k)), F.lit(f"excluded_term:{k}")) for k in keys], F.lit("")) if keys else F.lit("")
@@ -139,17 +149,17 @@ def by_topic(records: DataFrame, terms: Sequence[str], minimum: int) -> DataFram
     return records.withColumns({"topical_relevance_score": score, "exclusion_reason": F.when(low, F.concat(F.lit("low_topical_relevance:"), score.cast("string"))).otherwise("")})
 
 
-def has_excluded_content(terms: Sequence[str], domains: Sequence[str]) -> Column:
+def has_excluded_content(terms: Sequence[str], domains: Sequence[str], most_chars: int | None = 6000) -> Column:
     """The address or medium is of an excluded domain, or the start of the text has an excluded term."""
     host = domain(F.col("url"))
     by_host = F.lit(False)
     for d in domains:
         by_host = by_host | host.endswith(d.lower()) | F.contains(F.lower(F.coalesce("medium", F.lit(""))), F.lit(d.lower()))
-    hay = fold_squeeze(F.concat_ws(" ", "title", F.substring(record_text(), 1, 6000)))
+    hay = fold_squeeze(F.concat_ws(" ", "title", _head(record_text(), most_chars)))
     return by_host | (F.size(markers_in(hay, [_plain(t) for t in terms])) > 0)
 
 
-def in_region(scope: str, terms: Sequence[str], country_codes: Sequence[str], suffixes: Sequence[str]) -> Column:
+def in_region(scope: str, terms: Sequence[str], country_codes: Sequence[str], suffixes: Sequence[str], most_chars: int | None = 4000) -> Column:
     """A record fits a region by its country, the end of its domain, or a term in the start of its text; a global scope takes all."""
     if scope.lower() in {"", "global", "all"}:
         return F.lit(True)
@@ -157,7 +167,7 @@ def in_region(scope: str, terms: Sequence[str], country_codes: Sequence[str], su
     fits = F.coalesce(F.lower(F.col("country")).isin(*[c.lower() for c in country_codes]), F.lit(False))
     for s in suffixes:
         fits = fits | host.endswith(s)
-    hay = fold_squeeze(F.concat_ws(" ", "title", F.substring(record_text(), 1, 4000)))
+    hay = fold_squeeze(F.concat_ws(" ", "title", _head(record_text(), most_chars)))
     return fits | (F.size(markers_in(hay, [_plain(t) for t in terms])) > 0)
 
 

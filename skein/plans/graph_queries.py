@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import actors as actor_names
 from ..operators import cover, extract, folds, geometry, graph, terms
 from ..operators.records import flow_stage, usable
 from ..schema import read, records as load
@@ -126,7 +127,7 @@ def event_graph(spark, sf_dir):
 @query()
 def event_graph_actors(spark, sf_dir):
     rows = load(spark, sf_dir)
-    found = extract.narrative_events(rows, tq.EVENTS).join(extract.actors(rows).select("ord", "actors"), "ord")
+    found = extract.narrative_events(rows, tq.EVENTS).join(actor_names.actors(rows).select("ord", "actors"), "ord")
     return graph.event_graph(found, tuple(tq.EVENTS), emphasis=True).edges
 
 
@@ -246,10 +247,22 @@ def bootstrap_ci(spark, sf_dir):
     return cover.bootstrap(_points(spark, sf_dir).withColumn("g", F.col("id") % 3), "u2", "g")
 
 
-@query()
+@query(
+    """WITH RECURSIVE w(n, ways) AS (SELECT 0, [1.0::DOUBLE] UNION ALL SELECT n + 1, list_transform(range(1, len(ways) + n + 2), lambda i: coalesce(ways[i], 0) + CASE WHEN i > n + 1 THEN ways[i - n - 1] ELSE 0 END) FROM w WHERE n < 50),
+p AS (SELECT p_brand, p_size, avg(p_retailprice) AS a FROM part GROUP BY ALL), q AS (SELECT p_size, avg(p_retailprice) AS b FROM part GROUP BY ALL),
+d AS (SELECT p_brand, a - b AS d FROM p JOIN q USING (p_size)),
+r AS (SELECT *, rank() OVER (PARTITION BY p_brand ORDER BY abs(d)) AS r FROM d WHERE abs(d) > 1e-12),
+s AS (SELECT p_brand, count(*) AS n, coalesce(sum(CASE WHEN d > 0 THEN r END), 0) AS plus FROM r GROUP BY ALL),
+t AS (SELECT p_brand, count(*) AS n_pairs, round(median(d), 6) AS median_difference FROM d GROUP BY ALL),
+e AS (SELECT p_brand, n, least(plus, n * (n + 1) / 2 - plus) AS stat FROM s)
+SELECT p_brand, n_pairs, median_difference, round(stat::DOUBLE, 6) AS wilcoxon_statistic, round(least(1.0::DOUBLE, 2 * list_sum(ways[1:(stat + 1)::INT]) / 2.0::DOUBLE ** n), 6) AS p_value, 'exact' AS status
+FROM e JOIN t USING (p_brand) JOIN w USING (n)""",
+    records=False,
+)
 def wilcoxon(spark, sf_dir):
-    rows = read(spark, sf_dir, "part").groupBy("p_brand").agg(F.avg("p_size").alias("a"), (F.avg("p_retailprice") / 50).alias("b")).orderBy("p_brand").collect()
-    return spark.createDataFrame([cover.wilcoxon([r.a for r in rows], [r.b for r in rows])])
+    part = read(spark, sf_dir, "part")
+    own = part.groupBy("p_brand", "p_size").agg(F.avg("p_retailprice").alias("a"))
+    return cover.wilcoxon(own.join(part.groupBy("p_size").agg(F.avg("p_retailprice").alias("b")), "p_size"), "a", "b", "p_brand")
 
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL", records=False)
@@ -314,8 +327,18 @@ def forum_turns(spark, sf_dir):
     return read(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-@query("SELECT d.doc_id, d.source, coalesce(CASE WHEN l.quality = 1 THEN 'validated' WHEN l.quality = 0 THEN 'rejected' END, 'automatic') AS actor_status FROM documents d LEFT JOIN labels l USING (doc_id)", records=False)
+@query(
+    """SELECT d.doc_id, d.source, CASE WHEN l.quality = 1 THEN 'Checked Name ' || l.doc_id ELSE 'Found Name' END AS actors, coalesce(CASE WHEN l.quality = 1 THEN 'validated' WHEN l.quality = 0 THEN 'rejected' END, 'automatic') AS actor_status
+FROM documents d LEFT JOIN labels l USING (doc_id)""",
+    records=False,
+)
 def validation_join(spark, sf_dir):
-    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    status = F.coalesce(F.when(F.col("quality") == 1, "validated").when(F.col("quality") == 0, "rejected"), F.lit("automatic"))
-    return docs.select("doc_id", "source").join(labels.select("doc_id", "quality"), "doc_id", "left").select("doc_id", "source", status.alias("actor_status"))
+    """Labels as people's validations: an older one of each is overruled, one without names changes the status only."""
+    key = F.col("doc_id").cast("string").alias("doc_key")
+    events = read(spark, sf_dir, "documents").select("doc_id", key, "source", F.array(F.lit("Found Name")).alias("actors"))
+    names = F.when(F.col("quality") == 1, F.array(F.concat(F.lit("Checked Name "), F.col("doc_id").cast("string")))).otherwise(F.array().cast("array<string>"))
+    status = F.when(F.col("quality") == 1, "validated").otherwise("rejected").alias("status")
+    last = read(spark, sf_dir, "labels").select(key, names.alias("validated_actors"), status, F.lit("b").alias("validator"), F.lit(2).alias("validated_at"))
+    first = last.withColumns({"validated_actors": F.array(F.lit("Overruled")), "status": F.lit("draft"), "validated_at": F.lit(1)})
+    out = actor_names.apply_validations(events, last.unionByName(first))
+    return out.select("doc_id", "source", F.array_join("actors", ", ").alias("actors"), "actor_status")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lexicon, text
+from ..operators import actors as actor_names
 from ..operators import extract, terms
 from ..schema import records as load
 from .catalog import SQUEEZE, TOKENS, query
@@ -294,13 +295,13 @@ def sentiment_year(spark, sf_dir):
 
 @query()
 def actors(spark, sf_dir):
-    found = extract.actors(load(spark, sf_dir))
+    found = actor_names.actors(load(spark, sf_dir))
     return found.select("ord", "doc_key", F.array_join("actors", ", ").alias("actors"))
 
 
 @query()
 def actor_counts(spark, sf_dir):
-    return extract.actor_counts(extract.actors(load(spark, sf_dir)))
+    return actor_names.actor_counts(actor_names.actors(load(spark, sf_dir)))
 
 
 @query()

@@ -58,9 +58,46 @@ def test_statistics():
     low, high = cover.bootstrap_mean([0.1, 0.4, 0.35, 0.8])
     assert low <= 0.4125 <= high and cover.bootstrap_mean([0.1, 0.4, 0.35, 0.8]) == (low, high)
     assert cover.bootstrap_mean([]) == (0.0, 0.0) and cover.bootstrap_mean([2.0]) == (2.0, 2.0)
-    assert cover.wilcoxon([1, 2, 3], [1, 2, 3])["p_value"] == 1.0
-    w = cover.wilcoxon([5, 6, 7, 8, 9, 10], [1, 2, 3, 4, 5, 6])
-    assert w["wilcoxon_statistic"] == 0 and w["p_value"] < 0.05
+    nothing = cover.bootstrap_mean([None, float("nan")])
+    assert nothing == (0.0, 0.0)
+
+
+def test_signed_ranks(spark):
+    """Exact p-values against all signs of the ranks; shared ranks and zeros by the normal approximation."""
+    dice = random.Random(3)
+    groups = {f"g{k}": [(dice.random(), dice.random()) for _ in range(k)] for k in (1, 2, 5, 9)}
+    groups |= {"same": [(1.0, 1.0), (2.0, 2.0)], "ties": [(2.0, 1.0), (4.0, 3.0), (1.0, 3.0), (7.0, 7.0)], "none": [(None, 1.0), (float("nan"), 2.0)]}
+    rows = spark.createDataFrame([(g, a, b) for g, pairs in groups.items() for a, b in pairs], "g string, a double, b double")
+    got = {r.g: r for r in cover.wilcoxon(rows, "a", "b", "g").collect()}
+    assert set(got) == set(groups) - {"none"}
+    for g, pairs in groups.items():
+        if not g.startswith("g"):
+            continue
+        order = sorted((a - b for a, b in pairs), key=abs)
+        n, plus = len(order), sum(i + 1 for i, d in enumerate(order) if d > 0)
+        least = min(plus, n * (n + 1) / 2 - plus)
+        sums = [sum(i + 1 for i in range(n) if mask >> i & 1) for mask in range(1 << n)]
+        assert got[g].status == "exact" and got[g].wilcoxon_statistic == least
+        assert got[g].p_value == pytest.approx(min(1.0, 2 * sum(s <= least for s in sums) / len(sums)), abs=1e-6)
+    assert (got["same"].p_value, got["same"].status, got["same"].wilcoxon_statistic) == (1.0, "no differences", 0.0)
+    ties = got["ties"]  # sizes 1, 1, 2: ranks 1.5, 1.5, 3, of which the last is negative
+    assert ties.status == "normal approximation" and ties.wilcoxon_statistic == 3.0 and ties.n_pairs == 4 and ties.p_value == 1.0
+
+
+def test_fronts_by_partition(spark):
+    dice = random.Random(2)
+    rows = [(f"m{dice.randrange(3)}", *(dice.randrange(12) / 12 for _ in range(3))) for _ in range(600)]
+    table = spark.createDataFrame(rows, "method string, u1 double, u2 double, u3 double").repartition(7)
+
+    def front(points):
+        return {p for p in points if not any(q != p and all(x >= y for x, y in zip(q, p, strict=True)) for q in points)}
+
+    whole = front({r[1:] for r in rows})
+    assert sorted(map(tuple, geometry.skyline(table).collect())) == sorted(r for r in rows if r[1:] in whole)
+    for r in geometry.front_summary(table).collect():
+        own = front({x[1:] for x in rows if x[0] == r.method})
+        assert (r.front_points, r.global_nondominated_points) == (len(own), len(own & whole))
+    assert geometry.skyline(table.limit(0)).count() == 0
 
 
 def test_graph_measures(spark):
@@ -127,11 +164,15 @@ def test_sinks(spark, make, tmp_path):  # noqa: F811
     assert got.columns == ["frame_id", "current", "previous_frame_id"] and sorted(map(tuple, got.collect()))[1] == ("y", "2", "x")
 
 
-def test_pages():
+def test_pages(spark):
     page = "<html><head><title>Title here</title><script>x()</script></head><body><nav>menu<nav>deep</nav>still</nav><p>One &amp; two</p><p>One &amp; two</p><div>Publicidad</div><p>Related articles</p><p>gone</p></body></html>"
     assert pages.visible_text(page) == "Title here\n\nOne & two\n\nOne & two\n\nPublicidad\n\nRelated articles\n\ngone"
-    assert pages.clean_article(pages.visible_text(page), "Title here") == ("One & two", ["boilerplate", "repeated_block", "tail_cut", "title_repeated"])
-    assert pages.visible_text(None) == "" and pages.clean_article(None) == ("", [])
+    assert pages.visible_text(None) == "" and pages.visible_text("<header>a<nav>b</header>c</nav>d") == "cd"
+    table = spark.createDataFrame([(1, "u", page), (2, "u", None)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in pages.clean_pages(table).collect()}
+    # The last block is cut to nothing before boilerplate is counted: "Related articles" is a mark inside a block, too.
+    assert got[1].text_clean == "One & two\n\ngone" and sorted(got[1].cleaning_notes) == ["removed_boilerplate_blocks:1", "removed_duplicate_blocks:1", "removed_repeated_title_blocks:1"]
+    assert got[2].text_clean == "" and got[2].cleaning_notes == [] and got[2].word_count == 0
 
 
 def test_entry_point(spark):

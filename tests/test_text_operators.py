@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from skein.operators import extract, folds, terms
+from skein.operators import actors, articles, extract, folds, infer, records, terms
 from tests.test_records import make  # noqa: F401
 
 
@@ -49,10 +49,79 @@ def test_events(make):  # noqa: F811
     assert e.conflict.startswith("A dispute") and e.conflict_markers == "crisis, dispute" and e.resolution == "" and e.narrative_completeness == 0.5
 
 
-def test_actors():
-    found = extract.actors_of("they say that Maria Lopez met the World Bank; later Maria Lopez said so")
-    assert found == ["Maria Lopez", "World Bank"]
-    assert extract.is_noise("") and extract.is_noise("source: x")
+def test_actors(make, spark):  # noqa: F811
+    cases = {
+        "they say that Maria Lopez met the World Bank; later Maria Lopez said so": ["Maria Lopez", "World Bank"],
+        "the UN-HABITAT office and Banco de la Nación with Ana Ruiz y Pedro Paz": ["Ana Ruiz", "Pedro Paz"],
+        "OMS and UNAM spoke. The Group of Seven, AI": ["UNAM", "OMS", "AI"],
+        "Source: Maria Lopez": ["Maria Lopez"],
+        "Unknown Person, Journal Methods, Müller Straße Nord, x": [],
+        "One Two Three Four Five Six Seven Eight nine": ["One Two Three Four Five Six", "Seven Eight"],
+        "New-York Times-": ["New-York Times"],
+        "": [],
+    }
+    rows = make(*({"title": "", "text_clean": t, "url": f"u{i}"} for i, t in enumerate(cases)), {"title": None, "text_clean": None, "url": "none"})
+    got = {r.ord: r.actors for r in actors.actors(rows).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values()) and got[len(cases)] == []
+    noise = {"": True, "source: x": True, "Maria Lopez": False, "The": True, "Lopez": True, "hiv": False, "AREA METROPOLITANA Sur": True, "ABCD": True}
+    table = spark.createDataFrame([(n,) for n in noise], "n string").select("n", actors.no_actor(F.col("n")).alias("x"))
+    assert {r.n: r.x for r in table.collect()} == noise
+
+
+def test_acronyms_and_names_of_a_text():
+    assert list(actors.acronyms("The WHO, ABC-12 and AB-C-DEF; aBC X ABC-12x ÑU_X")) == ["WHO", "ABC-12", "AB-C", "DEF", "ABC"]
+    assert list(actors.capitalised("(Maria Lopez) de Maria de la Cruz and of Bob Stone, Joe\nDoe & Son")) == ["Maria Lopez", "Bob Stone", "Joe Doe"]  # one small word between two at most
+
+
+def clean(make, title, *lines):  # noqa: F811
+    out = articles.clean(make({"title": title, "text_clean": "\n".join(lines)}).withColumnRenamed("text_clean", "raw"), "raw").first()
+    return out.text_clean.split("\n\n") if out.text_clean else [], out.cleaning_notes
+
+
+def test_articles(make):  # noqa: F811
+    many = "and then many more words follow so that the block is long enough for it"
+    assert clean(make, "A Tale - The Paper", "A Tale", f"A Tale {many}", "end") == ([many, "end"], ["removed_repeated_title_blocks:2"])
+    assert clean(make, "A Tale", f"A Tale a tale {many}") == ([f"a tale {many}"], ["removed_repeated_title_blocks:1"])
+    assert clean(make, "A Tale | Paper", f"A Tale A TALE News March 3, 2020 {many}")[0] == [many]
+    assert clean(make, "A Tale - Paper", f"A Tale, Paper {many}")[0] == [f", Paper {many}"]
+    assert clean(make, "", "A", "text of it", "text of it!") == (["text of it"], ["removed_boilerplate_blocks:1", "removed_duplicate_blocks:1"])
+    assert clean(make, "t x", "one here", "two here", "three by the author", "four") == (["one here", "two here"], ["cut_author_bio_tail"])
+    long = "w " * 150 + "the author wrote it"
+    kept, notes = clean(make, "t x", long, "gone")
+    assert notes == ["cut_author_bio_tail"] and len(kept) == 1 and kept[0] == long[: long.index("author") - 20].strip()
+    assert clean(make, None) == ([], [])
+    own = articles.clean(make({"title": "", "text_clean": "a b c\nour own end here\nlost"}).withColumns({"raw": F.col("text_clean"), "marks": F.array(F.lit("own end"))}), "raw", "marks").first()
+    assert own.text_clean == "a b c" and own.cleaning_notes == ["cut_after_related_content"]
+    assert articles.clean(make().withColumn("raw", F.col("text_clean")), "raw").count() == 0
+
+
+def test_limits_can_be_lifted(make):  # noqa: F811
+    text = " ".join(f"This is the sentence number {i} of a very long text." for i in range(200))
+    rows = make({"title": "t", "text_clean": text + " The zzmark stands at the very end of it.", "text_normalized": text + " The zzmark stands at the very end of it.", "url": "u"})
+    assert extract.propositions(rows).count() == 40 and extract.propositions(rows, most=None).count() >= 200
+    assert extract.argument_frames(rows, None, {"p": ("zzmark",)}).first().p != "" and extract.argument_frames(rows, parts={"p": ("zzmark",)}).first().p == ""
+    assert extract.narrative_events(rows, {"s": ("199",)}, None).first().s != "" and extract.narrative_events(rows, {"s": ("199",)}).first().s == ""
+    assert records.exclude(rows, ["zzmark"], []).first().exclusion_reason == "" and records.exclude(rows, ["zzmark"], [], None).first().exclusion_reason != ""
+    near = [rows.select(records.localization(("zzmark",), (), n).alias("x")).first().x.mexico_score for n in (5000, None)]
+    assert near == [0, 1]
+
+
+def test_declared_places(make):  # noqa: F811
+    rows = make({"title": "t"}).withColumn("geographic_terms", F.array(F.lit("Mexico")))
+    got = records.enrich(rows).first()
+    assert (got.mexico_score, got.localization) == (2, "Mexico-mentioned") and "declared_mexico_scope" in got.localization_evidence
+
+
+def test_dates(spark):
+    cases = {"20200102T": 2020, "Tue, 31 Dec 2019 23:30:00 -0100": 2020, "Tue, 31 Dec 2019 23:30:00 GMT": 2019, "no date": 7, "": 7, None: 7}
+    table = spark.createDataFrame([(k,) for k in cases], "d string")
+    assert {r.d: r.y for r in table.select("d", infer.year([F.col("d")], F.lit(7)).alias("y")).collect()} == cases
+    seeds = {"03/02/2021": "2021-02-03", "2021-2-3": "2021-02-03", "20210203": "2021-02-03", "2021/02/03": "2021-02-03", "Wed, 3 Feb 2021 10:00:00 +0000": "2021-02-03", "31/02/2021": None, "x": None}
+    got = spark.createDataFrame([(k,) for k in seeds], "d string").select("d", infer.seed_date(F.col("d")).cast("string").alias("s")).collect()
+    assert {r.d: r.s for r in got} == seeds
+    titles = {"https://a.b/x/my-long_title/": "my long title", "https://a.b": "https://a.b", "": ""}
+    got = spark.createDataFrame([(k,) for k in titles], "u string").select("u", infer.title_from_url(F.col("u")).alias("t")).collect()
+    assert {r.u: r.t for r in got} == titles
 
 
 def echoes(frames, threshold):
