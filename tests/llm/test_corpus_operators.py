@@ -191,11 +191,15 @@ def test_decontaminate_odd(spark, docs_of, odd):
     none = spark.createDataFrame([], "item_id long, text string")
     assert {r["n_hit"] for r in rows(decontaminate.digest_contamination(decontaminate.find_contamination(docs_of(odd), none)))} == {0}
     bench = spark.createDataFrame([(None, odd[3][1]), (2, "same text here")], "item_id long, text string")
-    found = rows(decontaminate.digest_contamination(decontaminate.find_contamination(docs_of(odd), bench)))
-    assert len(found) == len(odd)
-    by = {r["doc_id"]: r for r in found}
-    assert by[4]["n_hit"] == 30_000 and by[4]["n_items"] == 0 and by[6]["n_items"] == 1 and by[1]["n_words"] == 0
-    assert decontaminate.find_contamination(docs_of([]), bench).count() == 0
+    for words_of_an_index in (decontaminate.INDEX_WORDS, 1):
+        found = rows(decontaminate.digest_contamination(decontaminate.find_contamination(docs_of(odd), bench, words_of_an_index)))
+        assert len(found) == len(odd)
+        by = {r["doc_id"]: r for r in found}
+        assert by[4]["n_hit"] == 30_000 and by[4]["n_items"] == 0 and by[6]["n_items"] == 1 and by[1]["n_words"] == 0
+        assert sorted((r["n_hit"] for r in found if r["doc_id"] in (None, 7))) == [0, 3, 3, 3]
+        assert decontaminate.find_contamination(docs_of([]), bench, words_of_an_index).count() == 0
+        kept = decontaminate.drop_contaminated(docs_of(odd), bench, words_of_an_index)
+        assert kept.columns == docs_of([]).columns and sorted(str(r["doc_id"]) for r in rows(kept)) == ["1", "2", "3", "8", "9", "None"]
 
 
 def test_winnowing_keeps_a_hash_of_every_window():
