@@ -70,6 +70,11 @@ def tokenize(text: Column, stopwords: Sequence[str] = ()) -> Column:
     return F.filter(found, lambda t: ~t.isin(*sorted(stops)))
 
 
+def tokenize_plain(text: Column, stopwords: Sequence[str] = ()) -> Column:
+    """Like :func:`tokenize`, but of the comparison key: hyphens and underscores part words."""
+    return tokenize(compare_key(text), stopwords)
+
+
 def tokenize_light(text: Column) -> Column:
     """Lower-case words of three characters and more, hyphens within."""
     return F.filter(F.transform(F.regexp_extract_all(text, F.lit(LIGHT), 0), F.lower), lambda t: F.length(t) > 2)

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, text
 from ..operators import actors as actor_names
-from ..operators import articles, dedup, extract, geometry, infer, records, reports
+from ..operators import articles, dedup, extract, geometry, infer, planning, records, reports
 from ..schema import read
 from ..schema import records as load
+from ..streaming import streams
 from . import text_queries as tq
 from .catalog import FOLD, SQUEEZE, TOKENS, USABLE, query
 from .graph_queries import POINTS, _points
@@ -351,3 +352,60 @@ def merge_url_first(spark, sf_dir):
     rows = _addressed(spark, sf_dir).filter("url <> ''")
     merged = dedup.merge_sources({"all": rows}, "url_last")
     return merged.select("ord", keys.url_key(F.col("url")).alias("url_key"), "copies")
+
+
+@query(
+    """WITH y AS (SELECT unnest(range(2019, 2022))::INTEGER AS year), l AS (SELECT 'news' AS layer, unnest(range(1, 13))::INTEGER AS month UNION ALL SELECT 'academic', 0),
+t AS (SELECT DISTINCT p_brand || ' ware' AS term FROM part), g AS (SELECT *, row_number() OVER (PARTITION BY year, month, layer ORDER BY md5('7:' || year || ':' || month || ':' || layer || ':' || term), term)::INTEGER AS place FROM y, l, t)
+SELECT year, month, layer, term, place, '"' || term || '"' AS query FROM g WHERE place <= 5""",
+    records=False,
+)
+def search_plan(spark, sf_dir):
+    terms = [r[0] for r in read(spark, sf_dir, "part").select(F.concat("p_brand", F.lit(" ware"))).distinct().collect()]
+    return planning.search_plan(spark, range(2019, 2022), {"news": range(1, 13), "academic": planning.YEARLY}, sorted(terms), 5, 7)
+
+
+@query(
+    r"""SELECT page_id, '((art OR "body art")) (Mexico) (domain:' || replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), 'www.', '') || ') -"free beer" -domain:spam.org' AS q FROM (SELECT page_id, url FROM pages)""".replace("((art OR \"body art\")) (Mexico)", "(((art OR \"body art\")) (Mexico))"),
+    records=False,
+)
+def index_query(spark, sf_dir):
+    def a(*x):
+        return F.array(*map(F.lit, x)) if x else F.array().cast("array<string>")
+
+    made = planning.index_query(a("art", "body art", " Árt "), a("Mexico", "", "México"), F.array("url"), a("free beer"), a("https://www.spam.org/x"))
+    return read(spark, sf_dir, "pages").select("page_id", made.alias("q"))
+
+
+@query(
+    r"""WITH d AS (SELECT DISTINCT replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), 'www.', '') AS domain FROM pages)
+SELECT domain, CASE WHEN contains(domain, 'blog') THEN 4 WHEN contains(domain, 'm.') AND contains(domain, '.org') THEN CASE WHEN contains(domain, '.org') THEN 0 END WHEN contains(domain, '.org') THEN 0 WHEN contains(domain, '.net') THEN 1 WHEN contains(domain, 'shop') THEN 2 ELSE 3 END::INTEGER AS priority
+FROM d ORDER BY priority, domain LIMIT 12""",
+    records=False,
+)
+def domain_priority(spark, sf_dir):
+    return planning.by_priority(read(spark, sf_dir, "pages").select(F.col("url").alias("domain")), [(".org",), (".net",), ("shop",)], ("blog",), 12)
+
+
+@query(
+    r""", t AS (SELECT ord, list_filter(regexp_extract_all(regexp_replace(lower(text_normalized), '[^a-z0-9\s]', ' ', 'g'), '\b([a-z][a-z0-9_-]{2,})\b', 1), lambda t: t NOT IN ('the', 'and', 'der')) AS t FROM r) SELECT ord, len(t) AS tokens, sha256(array_to_string(t, ' ')) AS digest FROM t"""
+)
+def tokens_plain(spark, sf_dir):
+    made = text.tokenize_plain(F.col("text_normalized"), tq.STOPS)
+    return load(spark, sf_dir).select("ord", F.size(made).cast("long").alias("tokens"), F.sha2(F.array_join(made, " "), 256).alias("digest"))
+
+
+@query(
+    """WITH d AS (SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL), w AS (SELECT day AS start, event_type, n FROM d UNION ALL SELECT day - INTERVAL 1 DAY, event_type, n FROM d)
+SELECT start::TIMESTAMP AS start, event_type, sum(n)::BIGINT AS n FROM w GROUP BY ALL""",
+    records=False,
+)
+def stream_sliding(spark, sf_dir):
+    out = streams.run(streams.sliding_counts(streams.events(spark, sf_dir)), "complete")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query(f", d AS (SELECT *, row_number() OVER (PARTITION BY source_type, medium ORDER BY ord) AS k FROM r WHERE {USABLE}) SELECT year, source_type, medium, count(*) AS n FROM d GROUP BY ALL ORDER BY year, source_type, medium")
+def canonical_order(spark, sf_dir):
+    rows = load(spark, sf_dir).filter(records.usable())
+    return rows.groupBy("year", "source_type", "medium").agg(F.count(F.lit(1)).alias("n")).orderBy("year", "source_type", "medium")

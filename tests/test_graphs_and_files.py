@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from skein.operators import cover, geometry, graph
+from skein.operators import cover, geometry, graph, planning
 from skein.operators import html as pages
 from skein.plans import QUERIES
 from skein.schema import RECORD
@@ -175,6 +175,46 @@ def test_pages(spark):
     assert got[2].text_clean == "" and got[2].cleaning_notes == [] and got[2].word_count == 0
 
 
+def test_plans(spark, tmp_path):
+    plan = planning.search_plan(spark, [2020], {"news": [1, 2], "academic": planning.YEARLY}, ["a b", "c", "d"], 2)
+    got = plan.collect()
+    assert len(got) == 6 and {r.place for r in got} == {1, 2} and all(r.query == ('"a b"' if r.term == "a b" else r.term) for r in got)
+    planning.write_plan(plan, str(tmp_path / "plan"))
+    assert sorted(map(tuple, planning.read_plan(spark, str(tmp_path / "plan")).select(plan.columns).collect())) == sorted(map(tuple, got))
+    assert planning.search_plan(spark, [2020], {"news": [1]}, []).count() == 0
+    groups = planning.groups_of_lines("my group!: a, b,,c\nno line\n: x\nempty:\nbase: z", {"base": ["y"], "kept": ["k"]})
+    assert groups == {"base": ["z"], "kept": ["k"], "my_group": ["a", "b", "c"]} and planning.groups_of_lines(planning.lines_of_groups(groups)) == groups
+    rows = spark.createDataFrame([(1, "About Códing"), (2, None), (3, "body art")], "ord long, title string")
+    marks = {"art": ("body art",), "code": ("coding",)}
+    assert [planning.domain_profile(rows, marks), planning.domain_profile(rows, marks, 1), planning.domain_profile(rows.limit(0), marks)] == ["art", "code", "generic"]
+    one = spark.range(1).select(planning.ordered_distinct(F.array(*map(F.lit, ["Ár", "", "ar", " b ", "B"]))).alias("x")).first().x
+    assert one == ["Ár", "b"]
+
+
+def test_stream_ends_early_and_counts_late_rows(spark, tmp_path):
+    for k, days in enumerate(([1, 2], [20], [21], [3, 22])):
+        spark.createDataFrame([(d, f"2024-01-{d:02d} 00:00:00") for d in days], "n long, at string").selectExpr("n", "timestamp(at) AS ts", "'e' AS event_type", "1.0D AS value").coalesce(1).write.mode("append").parquet(str(tmp_path / f"in{k}"))
+    schema = spark.read.parquet(str(tmp_path / "in0")).schema
+
+    def stream():
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in*"))
+
+    import os
+
+    for k in range(4):
+        for f in (tmp_path / f"in{k}").glob("*.parquet"):
+            os.utime(f, (1_700_000_000 + k * 100,) * 2)
+    assert sorted(r.n for r in streams.run_until(stream(), lambda df: df.count() >= 3).collect()) == [1, 2, 20]
+    assert streams.run_until(stream(), lambda df: False, lambda: True).count() == 0
+    counted = streams.period_counts(stream(), "1 day", "5 days").writeStream.format("noop").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    counted.awaitTermination()
+    assert streams.late_rows(counted) == 1  # the third day, after the twentieth; a batch takes the watermark of the one before
+    breaker = streams.Breaker(2)
+    assert not breaker.open()
+    breaker.refused()
+    assert [breaker.open() for _ in range(3)] == [True, True, False]
+
+
 def test_entry_point(spark):
     import __spark_entry__
 
