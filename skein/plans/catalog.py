@@ -18,13 +18,13 @@ SQUEEZE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 TOKENS = r"regexp_extract_all(lower(text_normalized), '\b([a-z][a-z0-9_-]{2,})\b', 1)"
 
 
-def query(oracle: str | None = None, records: bool = True):
+def query(oracle: str | None = None, records: bool = True, recursive: bool = False):
     """Registers a query under its function's name; ``oracle`` may use the view ``r`` of records."""
 
     def register(f):
         QUERIES[f.__name__] = f
         if oracle is not None:
-            ORACLES[f.__name__] = f"WITH {RECORDS_SQL}{oracle if oracle.lstrip().startswith(',') else ' ' + oracle}" if records else oracle
+            ORACLES[f.__name__] = f"WITH {'RECURSIVE ' * recursive}{RECORDS_SQL}{oracle if oracle.lstrip().startswith(',') else ' ' + oracle}" if records else oracle
         return f
 
     return register

@@ -14,9 +14,11 @@ from ..streaming import streams
 from . import text_queries as tq
 from .catalog import TOKENS, query
 
-VOCABULARY = ("with", "from", "that", "for", "was", "are", "des", "die", "que", "und", "den", "nicht")
-QUOTED = tq.quoted(VOCABULARY)
-PAIRS = f""", k AS (SELECT ord, list_filter({TOKENS}, lambda t: t IN {QUOTED}) AS t FROM r),
+#: The commonest terms of the corpus that a network is made of.
+NETWORK_TERMS = 50
+PAIRS = f""", u AS (SELECT ord, unnest({TOKENS}) AS t, generate_subscripts({TOKENS}, 1) AS p FROM r),
+vocabulary AS (SELECT t FROM u WHERE {tq.NOT_STOP} GROUP BY t ORDER BY count(*) DESC, min(ord * 1000000000 + p) LIMIT {NETWORK_TERMS}),
+k AS (SELECT ord, list(t ORDER BY p) AS t FROM u WHERE t IN (SELECT t FROM vocabulary) GROUP BY ord),
 i AS (SELECT t, unnest(range(1, len(t))) AS p FROM k WHERE len(t) > 1), o AS (SELECT t[p] AS a, unnest(t[p + 1:p + 4]) AS b FROM i),
 e AS (SELECT least(a, b) AS source, greatest(a, b) AS target, count(*) AS weight FROM o WHERE a <> b GROUP BY ALL HAVING count(*) >= 2),
 n AS (SELECT id, count(*) AS count FROM (SELECT unnest(t) AS id FROM k) GROUP BY id)"""
@@ -24,8 +26,10 @@ BOTH = "(SELECT source AS id, weight FROM e UNION ALL SELECT target, weight FROM
 
 
 def _words(spark, sf_dir):
-    rows = load(spark, sf_dir).select(text.tokenize(F.col("text_normalized")).alias("terms"))
-    return graph.cooccurrence(rows, VOCABULARY)
+    """The network of the commonest terms; as many as a display holds come to the driver."""
+    rows = load(spark, sf_dir)
+    chosen = [r["term"] for r in terms.top_terms(rows, 1, NETWORK_TERMS, 1, tq.STOPS).collect()]
+    return graph.cooccurrence(rows.select(text.tokenize(F.col("text_normalized")).alias("terms")), chosen)
 
 
 @query(f"{PAIRS} SELECT source, target, weight FROM e")
@@ -158,7 +162,28 @@ def echo_frames(spark, sf_dir):
     return found.select("ord", "frame_id", "echo_status", "echo_of_frame_id", "echo_similarity", "relation_type", "storage_decision")
 
 
-@query()
+def tok(p):
+    return rf"list_distinct(list_filter(list_transform(regexp_extract_all({p}, '[\p{{L}}\p{{N}}\p{{M}}_-]+'), lambda t: lower(t)), lambda t: length(t) > 2))"
+
+
+def share(a, b):
+    return f"(CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b})))::DOUBLE END)"
+
+
+CHANGED = "concat_ws(', ', " + ", ".join(f"CASE WHEN {share(f'n.x_{p}', f'l.x_{p}')} < 0.82 THEN '{p}' END" for p in tq.PARTS) + ")"
+
+
+@query(
+    f"""{tq.FRAME_ROWS}, h AS (SELECT ord, {tq.HASH} AS record_hash FROM r),
+s AS (SELECT medium, year, substring(sha1(record_hash || ':frame'), 1, 16) AS frame_id, {", ".join(f"{tok(p)} AS x_{p}" for p in (*tq.PARTS, "frame_terms"))} FROM f JOIN h USING (ord)),
+n AS (SELECT *, row_number() OVER (PARTITION BY medium ORDER BY year, frame_id) AS k FROM s),
+d(medium, k, last, year, frame_id, previous_frame_id, delta_type, similarity_to_previous, changed_fields, storage_decision) AS (
+  SELECT medium, k, k, year, frame_id, NULL::VARCHAR, 'baseline', NULL::DOUBLE, '{", ".join(tq.PARTS)}', 'store_structural_frame' FROM n WHERE k = 1
+  UNION ALL SELECT medium, k, CASE WHEN c <> '' THEN k ELSE last END, year, frame_id, previous, CASE WHEN c <> '' THEN 'change' ELSE 'stable_repetition' END, sim, c, CASE WHEN c <> '' THEN 'store_delta' ELSE 'timestamp_counter_only' END
+  FROM (SELECT n.medium, n.k, d.last, n.year, n.frame_id, l.frame_id AS previous, round({share("n.x_frame_terms", "l.x_frame_terms")}, 5) AS sim, {CHANGED} AS c FROM d JOIN n ON n.medium = d.medium AND n.k = d.k + 1 JOIN n l ON l.medium = d.medium AND l.k = d.last))
+SELECT medium, year, frame_id, previous_frame_id, delta_type, similarity_to_previous, changed_fields, storage_decision FROM d""",
+    recursive=True,
+)
 def frame_deltas(spark, sf_dir):
     return folds.frame_deltas(extract.argument_frames(load(spark, sf_dir), parts=tq.PARTS), parts=tuple(tq.PARTS))
 

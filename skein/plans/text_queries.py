@@ -304,7 +304,16 @@ def actor_counts(spark, sf_dir):
     return actor_names.actor_counts(actor_names.actors(load(spark, sf_dir)))
 
 
-@query()
+def counted(n: int) -> str:
+    return f"c{n} AS (SELECT term, {n} AS size, count(*) AS count, min(ord * 1000000000 + p) AS f FROM (SELECT ord, p, array_to_string(t[p:p + {n - 1}], ' ') AS term FROM (SELECT *, unnest(range(1, len(t) - {n - 2})) AS p FROM kept WHERE len(t) >= {n})) GROUP BY term), t{n} AS (SELECT * FROM (SELECT * FROM c{n} ORDER BY count DESC, f LIMIT 30) WHERE count >= 2)"
+
+
+@query(
+    f""", kept AS (SELECT ord, {KEPT} AS t FROM r), {counted(1)}, {counted(2)}, {counted(3)}, phrases AS (SELECT * FROM t3 UNION ALL SELECT * FROM t2), small AS (SELECT * FROM c1 UNION ALL SELECT * FROM c2),
+absorbed AS (SELECT s.term, s.count, first(p.term ORDER BY p.size DESC, p.count DESC, p.f) AS absorbed_by FROM small s JOIN phrases p ON s.size < p.size AND contains(' ' || p.term || ' ', ' ' || s.term || ' ') WHERE s.count >= 2 AND p.count / s.count::DOUBLE >= 0.8 GROUP BY ALL)
+SELECT term AS node, 'trigram' AS node_type, count, '' AS absorbed_by FROM t3 UNION ALL SELECT term, 'bigram', count, '' FROM t2 UNION ALL SELECT term, 'monogram', count, '' FROM t1 WHERE term NOT IN (SELECT term FROM absorbed)
+UNION ALL SELECT term, 'absorbed_ngram', count, absorbed_by FROM absorbed"""
+)
 def phrase_composition(spark, sf_dir):
     return terms.repeated_phrases(load(spark, sf_dir), stopwords=STOPS)
 
