@@ -213,6 +213,45 @@ def _concept_links(kind: str) -> Column:
     return F.transform("c", lambda x: F.struct(F.col(kind).alias("source"), x.alias("target"), F.lit(f"{kind}_concept").alias("edge_type")))
 
 
+def marginals(graph: Graph, chosen: DataFrame, weight: str = "score") -> DataFrame:
+    """What each of the ``chosen`` nodes (``id, rank``) adds to those before it: its weight, and the edges that none of them touches.
+
+    An edge is first touched at the lesser rank of its ends, so nothing is
+    compared with all before it: one aggregation by rank, then running sums over
+    as many rows as were chosen.
+    """
+    ranks = chosen.select("id", "rank")
+    a, b = ranks.select(F.col("id").alias("source"), F.col("rank").alias("ra")), ranks.select(F.col("id").alias("target"), F.col("rank").alias("rb"))
+    first = graph.edges.join(a, "source", "left").join(b, "target", "left").withColumn("rank", F.least("ra", "rb"))
+    added = first.filter("rank IS NOT NULL").groupBy("rank").agg(F.count(F.lit(1)).alias("new_edges"), F.sum("weight").alias("new_edge_weight"))
+    own = ranks.join(graph.nodes.select("id", F.col(weight).alias("node_weight")), "id").join(added, "rank", "left").fillna(0, ["new_edges", "new_edge_weight"])
+    totals = graph.edges.agg(F.sum("weight").alias("x_e")).crossJoin(graph.nodes.agg(F.sum(weight).alias("x_n")))  # one row each
+    so_far = Window.partitionBy(F.lit(0)).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    running = {f"cumulative_{c}": F.sum(c).over(so_far) for c in ("node_weight", "new_edges", "new_edge_weight")}
+    out = own.withColumns(running).crossJoin(totals)
+    return out.select(
+        "rank", "id", F.round("node_weight", 6).alias("node_weight"), "new_edges", F.round("new_edge_weight", 6).alias("new_edge_weight"),
+        F.col("cumulative_new_edges").alias("edges_touched"), F.round(F.try_divide("cumulative_node_weight", "x_n"), 6).alias("node_weight_share"), F.round(F.try_divide("cumulative_new_edge_weight", "x_e"), 6).alias("edge_weight_share"),
+    )
+
+
+def topics(nodes: DataFrame, members: DataFrame, most: int = 12, terms: int = 12, kinds: Sequence[str] = ("monogram", "bigram", "trigram")) -> DataFrame:
+    """``topic_group, central_ngram, size, terms`` of the ``most`` largest groups of ``members`` (``id, component``), the least first of equals.
+
+    Terms are nodes of the given kinds, by weighted degree and count, of equals
+    by id; a group without any is named by its number.
+    """
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size")).orderBy(F.desc("size"), "component").limit(most)
+    numbered = sizes.withColumn("k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("size"), "component")))
+    own = members.join(nodes.filter(F.col("node_type").isin(*kinds)), "id")
+    best = own.groupBy("component").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("weighted_degree")).alias("d"), (-F.col("count")).alias("c"), "id", "label"))), 1, terms).alias("t"))
+    central = F.coalesce(F.get("t", F.lit(0))["label"], F.concat(F.lit("group_"), F.col("k").cast("string")))
+    return numbered.join(best, "component", "left").select(
+        F.concat(F.lit("topic_"), F.col("k").cast("string"), F.lit("_"), F.substring(F.replace(central, F.lit(" "), F.lit("_")), 1, 40)).alias("topic_group"), central.alias("central_ngram"), "size",
+        F.coalesce(F.array_join(F.transform("t", lambda x: x["label"]), ", "), F.lit("")).alias("terms"),
+    )
+
+
 def visible(graph: Graph, limit: int = 50) -> Graph:
     """The best nodes by score and the edges among them; ``limit`` bounds what is broadcast."""
     nodes = graph.nodes.orderBy(F.desc("score"), "id").limit(limit)

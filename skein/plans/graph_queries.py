@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -89,6 +90,35 @@ def components(spark, sf_dir):
     return graph.connected_components(edges)
 
 
+@query(
+    f"""{NORM}, sc AS (SELECT id, round((c + v) / 2, 6) AS score FROM nn), ch AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id)::INTEGER AS rank FROM sc QUALIFY rank <= 10),
+fe AS (SELECT least(a.rank, b.rank) AS rank, w FROM en LEFT JOIN ch a ON a.id = en.source LEFT JOIN ch b ON b.id = en.target WHERE a.rank IS NOT NULL OR b.rank IS NOT NULL), ad AS (SELECT rank, count(*) AS new_edges, sum(w) AS nw FROM fe GROUP BY rank)
+SELECT rank, id, round(score, 6) AS node_weight, coalesce(new_edges, 0)::BIGINT AS new_edges, round(coalesce(nw, 0), 6) AS new_edge_weight, (sum(coalesce(new_edges, 0)) OVER o)::BIGINT AS edges_touched,
+  round(sum(score) OVER o / (SELECT sum(score) FROM sc), 6) AS node_weight_share, round(sum(coalesce(nw, 0)) OVER o / (SELECT sum(w) FROM en), 6) AS edge_weight_share FROM ch LEFT JOIN ad USING (rank) WINDOW o AS (ORDER BY rank ROWS UNBOUNDED PRECEDING)"""
+)
+def cover_marginals(spark, sf_dir):
+    g = graph.normalize(_words(spark, sf_dir))
+    best = g.nodes.orderBy(F.desc("score"), "id").limit(10)
+    chosen = best.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "id")))
+    return graph.marginals(g, chosen)
+
+
+@query(
+    f"""{PAIRS}, x AS (SELECT source, target FROM e WHERE weight >= 3 AND abs(ascii(source) - ascii(target)) <= 2), y AS (SELECT source AS id, target AS o FROM x UNION SELECT target, source FROM x),
+w(id, c) AS (SELECT id, id FROM y UNION SELECT y.id, w.c FROM w JOIN y ON y.o = w.id), m AS (SELECT id, min(c) AS component FROM w GROUP BY id), d AS (SELECT id, sum(weight) AS wd FROM {BOTH} GROUP BY id),
+z AS (SELECT component, count(*) AS size FROM m GROUP BY component), q AS (SELECT *, row_number() OVER (ORDER BY size DESC, component) AS k FROM z),
+t AS (SELECT component, first(id ORDER BY wd DESC, count DESC, id) AS central, array_to_string((list(id ORDER BY wd DESC, count DESC, id))[1:12], ', ') AS terms FROM m JOIN n USING (id) JOIN d USING (id) GROUP BY component)
+SELECT 'topic_' || k || '_' || substring(central, 1, 40) AS topic_group, central AS central_ngram, size, terms FROM q JOIN t USING (component) WHERE k <= 12""",
+    recursive=True,
+)
+def adaptive_topics(spark, sf_dir):
+    """Groups of the network whose links are strong and whose ends begin alike, so that there are several."""
+    g = _words(spark, sf_dir)
+    alike = g.edges.filter((F.col("weight") >= 3) & (F.abs(F.ascii("source") - F.ascii("target")) <= 2))
+    nodes = g.nodes.join(graph.degrees(g.edges).select("id", "weighted_degree"), "id").withColumn("node_type", F.lit("monogram"))
+    return graph.topics(nodes, graph.connected_components(alike.select("source", "target", "weight")))
+
+
 @query()
 def louvain(spark, sf_dir):
     g = graph.visible(graph.normalize(_words(spark, sf_dir)), 50)
