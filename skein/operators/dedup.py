@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +57,34 @@ def merge_sources(sources: dict[str, DataFrame], policy: str = "url_first") -> D
     return keyed.join(found, ["dedup_key", "x_place"]).drop("x_place", "x_source", "source_collection")
 
 
+def merge_report(sources: dict[str, DataFrame], policy: str = "url_first") -> DataFrame:
+    """One row per source of a merge: its rows, those that stay, and those that give way to a row of another source or of its own."""
+    rows = None
+    for k, (name, df) in enumerate(sources.items()):
+        part = df.select(F.lit(name).alias("source_collection"), F.lit(k).alias("x_source"), "ord", dedup_key(policy).alias("dedup_key"))
+        rows = part if rows is None else rows.unionByName(part)
+    by_source = rows.groupBy("dedup_key", "source_collection", "x_source").agg(F.count(F.lit(1)).alias("n"))
+    keys = by_source.groupBy("dedup_key").agg(F.min_by("source_collection", "x_source").alias("x_winner"))
+    own = F.col("x_winner") == F.col("source_collection")
+    return by_source.join(keys, "dedup_key").groupBy("source_collection").agg(
+        F.sum("n").alias("rows"), F.count_if(own).alias("kept"), F.sum(F.when(own, F.col("n") - 1).otherwise(0)).alias("own_copies"), F.sum(F.when(~own, F.col("n")).otherwise(0)).alias("copies_of_others")
+    )
+
+
+def provenance(rows: DataFrame, columns: Sequence[str], order: str = "ord") -> DataFrame:
+    """One row per ``dedup_key``: in each of the columns all values of its copies, lists parted at commas, each once, the first seen first."""
+    each = []
+    for c in columns:
+        parts = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda v: F.trim(v)), lambda v: v != "")
+        each.append(rows.select("dedup_key", F.lit(c).alias("c"), order, F.posexplode(parts).alias("p", "v")))
+    long = each[0]
+    for e in each[1:]:
+        long = long.unionByName(e)
+    first = long.groupBy("dedup_key", "c", "v").agg(F.min(F.struct(order, "p")).alias("f"))
+    lists = first.groupBy("dedup_key").pivot("c", list(columns)).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("f", "v"))), lambda x: x["v"]), ", "))
+    return rows.select("dedup_key").distinct().join(lists, "dedup_key", "left").fillna("", list(columns))
+
+
 def quota(records: DataFrame, cap: int = 100) -> DataFrame:
     """Rows accepted under a cap of usable records for each year and genre, in input order.
 

@@ -196,18 +196,21 @@ def classify_source(url: Column, medium: Column, title: Column, indexed: Column
 
 
 def access_policy(records: DataFrame, profiles: DataFrame, url: str = "url") -> DataFrame:
-    """Adds ``access, profile_domain`` of the first profile, by ``ord``, that the domain ends with.
+    """Adds ``access, profile_domain`` of the first profile (``ord, domain, access``), by ``ord``, that the domain ends with.
 
-    Profiles are a small catalogue (``ord, domain, access``): they are looked up
-    as one array in each row, so rows are neither multiplied nor shuffled.
+    A catalogue of any size meets the domains by equality: each distinct domain
+    stands once for each length that a profile has, by its end of that length.
+    Of the records only the domain is looked up afterwards. Lengths of names are
+    all that comes to the driver.
     """
-    known = [(r["domain"].lower(), r["access"]) for r in profiles.orderBy("ord").select("domain", "access").collect()]
-    host = domain(F.col(url))
-    fits = F.lit(None).cast("struct<access:string,profile_domain:string>")
-    for name, access in reversed(known):
-        fits = F.when(host.endswith(name), F.struct(F.lit(access).alias("access"), F.lit(name).alias("profile_domain"))).otherwise(fits)
-    none = F.struct(F.lit("unknown").alias("access"), host.alias("profile_domain"))
-    return records.withColumn("x_policy", F.coalesce(fits, none)).withColumns({"access": F.col("x_policy.access"), "profile_domain": F.col("x_policy.profile_domain")}).drop("x_policy")
+    known = profiles.select(F.lower("domain").alias("x_end"), F.col("access").alias("x_access"), F.col("ord").alias("x_ord")).filter("x_end <> ''")
+    lengths = sorted(r[0] for r in known.select(F.length("x_end")).distinct().collect())
+    ends = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("x_host")) if lengths else F.array().cast("array<int>")
+    hosts = records.select(domain(F.col(url)).alias("x_host")).distinct().select("x_host", F.explode(F.transform(ends, lambda n: F.right(F.col("x_host"), n))).alias("x_end"))
+    fits = hosts.join(known, "x_end").groupBy("x_host").agg(F.min_by(F.struct(F.col("x_access").alias("access"), F.col("x_end").alias("profile_domain")), "x_ord").alias("x_policy"))
+    rows = records.withColumn("x_host", domain(F.col(url))).join(fits, "x_host", "left")
+    found = {"access": F.coalesce("x_policy.access", F.lit("unknown")), "profile_domain": F.coalesce("x_policy.profile_domain", "x_host")}
+    return rows.withColumns(found).drop("x_policy", "x_host")
 
 
 def rubrics(groups: Mapping[str, Sequence[str]]) -> Column:

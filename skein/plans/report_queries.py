@@ -409,3 +409,21 @@ def stream_sliding(spark, sf_dir):
 def canonical_order(spark, sf_dir):
     rows = load(spark, sf_dir).filter(records.usable())
     return rows.groupBy("year", "source_type", "medium").agg(F.count(F.lit(1)).alias("n")).orderBy("year", "source_type", "medium")
+
+
+@query(
+    """, a AS (SELECT 'first' AS s, 0 AS o, ord, language AS lang FROM r WHERE ord % 2 = 0 UNION ALL SELECT 'second', 1, ord, language FROM r WHERE ord % 3 = 0), k AS (SELECT s, o, 'site.org/a/' || (ord // 9) AS k, count(*) AS n FROM a GROUP BY ALL), w AS (SELECT *, first(s) OVER (PARTITION BY k ORDER BY o) AS w FROM k)
+SELECT s AS source_collection, sum(n)::BIGINT AS rows, count_if(s = w)::BIGINT AS kept, sum(CASE WHEN s = w THEN n - 1 ELSE 0 END)::BIGINT AS own_copies, sum(CASE WHEN s <> w THEN n ELSE 0 END)::BIGINT AS copies_of_others FROM w GROUP BY s"""
+)
+def merge_report(spark, sf_dir):
+    rows = load(spark, sf_dir).withColumn("url", F.concat(F.lit("https://www.site.org/a/"), F.floor(F.col("ord") / 9).cast("string"), F.lit("#x")))
+    return dedup.merge_report({"first": rows.filter("ord % 2 = 0"), "second": rows.filter("ord % 3 = 0")}, "url_last")
+
+
+@query(
+    """, k AS (SELECT ord // 9 AS k, ord, unnest([medium, language, medium]) AS v, unnest([0, 1, 2]) AS p FROM r), f AS (SELECT k, v, min(ord * 10 + p) AS f FROM k GROUP BY ALL)
+SELECT k::VARCHAR AS dedup_key, string_agg(v, ', ' ORDER BY f) AS collections FROM f GROUP BY k"""
+)
+def provenance(spark, sf_dir):
+    rows = load(spark, sf_dir).select("ord", F.floor(F.col("ord") / 9).cast("string").alias("dedup_key"), F.concat_ws(" , ", "medium", "language", "medium").alias("collections"))
+    return dedup.provenance(rows, ["collections"])

@@ -33,14 +33,14 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType = RECORD, str
     return reader.json(path) if path.endswith(".jsonl") else reader.option("multiLine", True).json(path)
 
 
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """A file, or a folder: the first of its usual files, else all its JSON files; in the order of year, medium and title."""
+def read_corpus(spark: SparkSession, path: str, in_order: bool = False) -> DataFrame:
+    """A file, or a folder: the first of its usual files, else all its JSON files. ``in_order``: of year, medium and title, which sorts the whole corpus."""
     if path.endswith((".json", ".jsonl")):
         found = read_json(spark, path)
     else:
         name = next((f for f in CORPUS_FILES if _exists(spark, f"{path}/{f}")), None)
         found = read_json(spark, f"{path}/{name}") if name else spark.read.schema(RECORD).option("mode", "DROPMALFORMED").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
-    return found.orderBy("year", "medium", "title")
+    return found.orderBy("year", "medium", "title") if in_order else found
 
 
 def broken_lines(spark: SparkSession, path: str, schema: T.StructType = RECORD) -> DataFrame:
