@@ -270,10 +270,17 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 
 def train(docs: DataFrame) -> KneserNey:
-    """A model of all rows of ``docs`` (null text: empty), whatever else they hold."""
-    spark = docs.sparkSession
-    shards, folder = shards_of(spark), model_folder(spark)
-    model = KneserNey(folder, shards)
+    """A model of all rows of ``docs`` (null text: empty), whatever else they hold. Its files go if training fails."""
+    model = KneserNey(model_folder(docs.sparkSession), shards_of(docs.sparkSession))
+    try:
+        return trained(model, docs)
+    except BaseException:
+        model.delete()
+        raise
+
+
+def trained(model: KneserNey, docs: DataFrame) -> KneserNey:
+    spark, shards, folder = docs.sparkSession, model.shards, model.folder
     texts = docs.select("text")
     every = spark.range(0, shards, 1, shards).select(F.col("id").cast("int").alias("shard"), F.lit(0).cast("long").alias("n"), F.lit(b"").alias("first"), F.lit(b"").alias("second"), F.lit(b"").alias("counts"))
 
@@ -386,6 +393,7 @@ def score_texts(docs: DataFrame, model: KneserNey) -> DataFrame:
     Tokens are the words of the text in lower case (A-Z) and one end. ``score``
     is the model's log10 probability of all of them, ``base_score`` that of the
     tokens by themselves with additive smoothing; ``perplexity`` is of ``score``.
+    Words and pairs are equal if their 64-bit hashes are.
     Null text is empty: its only token is the end. Without any training text
     all tokens are equally likely. A null ``doc_id`` is not held out; repeated
     rows get equal scores; other columns are ignored.
