@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-# Changing one changes results.
-
 #: Function words that analyses leave out; a short list, meant to be replaced or extended by the corpus at hand.
 STOPWORDS = (
     "about", "after", "all", "also", "and", "are", "been", "but", "can", "como", "con", "cual", "cuando", "del", "desde", "donde", "each", "ella",
@@ -13,7 +11,7 @@ STOPWORDS = (
     "where", "which", "who", "will", "with", "would", "you", "your",
 )
 
-#: Genre -> rank of evidence and its label.
+#: Genre -> rank of evidence and its label.
 EVIDENCE = {
     "scientific_article": ("peer_reviewed_or_academic_highest", 4),
     "institutional_report": ("government_or_institutional_public_record", 3),
@@ -23,7 +21,7 @@ EVIDENCE = {
     "other": ("unclear_low", 0),
 }
 
-#: Genre -> place in the flow of a narrative and its label.
+#: Genre -> place in the flow of a narrative and its label.
 FLOW = {
     "forum": (1, "individual_dialogue"),
     "news": (2, "news_media"),
@@ -33,10 +31,10 @@ FLOW = {
     "other": (6, "other_or_unclear_derivation"),
 }
 
-#: Genres in the order of tables.
+#: Genres in the order of tables.
 GENRES = ("news", "forum", "institutional_report", "scientific_article", "industry_report", "other")
 
-#: Hints at the premise that a sentence leaves out.
+#: Hints at the premise that a sentence leaves out.
 PREMISE_CAUSE = "Supone una relación causal que debe verificarse con evidencia externa."
 PREMISE_NORM = "Supone una norma implícita sobre lo que debe hacerse o evitarse."
 PREMISE_VALUE = "Supone una valoración compartida que puede no ser universal."
@@ -49,14 +47,14 @@ PROSE_MARKERS = {"first": ("the", "der"), "second": ("that", "que"), "third": ("
 PROSE_VERBS = ("is", "was", "are", "es", "ist")
 
 
-#: Phrases that claim a cause.
+#: Phrases that claim a cause.
 CAUSAL = (
     "because", "due to", "as a result", "therefore", "caused", "causes", "causing", "leads to", "led to", "results in", "provokes", "prevents",
     "blocks", "porque", "debido a", "por lo tanto", "como resultado", "causa", "causó", "causo", "provoca", "provocó", "provoco", "genera",
     "generó", "genero", "produce", "impide", "evita", "deriva", "derivó", "derivo", "lleva a",
 )
 
-#: Speech act -> markers; the first act with a marker in the sentence counts.
+#: Speech act -> markers; the first act with a marker in the sentence counts.
 SPEECH_ACTS = {
     "assertive": (
         "afirma", "afirmó", "dice", "dijo", "señala", "señaló", "reporta", "reportó", "sostiene", "asegura", "confirma", "indica", "claims",
@@ -79,7 +77,7 @@ SPEECH_ACTS = {
     ),
 }
 
-#: Fallacy -> markers.
+#: Fallacy -> markers.
 FALLACIES = {
     "ad_hominem": (
         "corrupto", "ignorante", "estúpido", "idiota", "criminal", "vendido", "stupid", "idiot", "corrupt", "criminal", "liar",
@@ -105,7 +103,7 @@ FALLACIES = {
     ),
 }
 
-#: Vector of disinformation -> markers.
+#: Vector of disinformation -> markers.
 VECTORS = {
     "emotional_overflow": (
         "escándalo", "escandalo", "indignante", "terrible", "horror", "pánico", "panic", "outrage", "shocking", "terrible", "horrific",
@@ -124,14 +122,14 @@ VECTORS = {
     ),
 }
 
-#: Words that count as the verb of a sentence.
+#: Words that count as the verb of a sentence.
 VERBS = (
     "es", "son", "fue", "será", "sera", "tiene", "tienen", "hace", "hacen", "causa", "provoca", "genera", "impide", "permite", "rechaza", "apoya",
     "acusa", "afirma", "dice", "anuncia", "recomienda", "exige", "promete", "is", "are", "was", "were", "will", "has", "have", "causes",
     "generates", "prevents", "allows", "rejects", "supports", "accuses", "claims", "says", "announces", "recommends", "demands", "promises",
 )
 
-#: Part of an argument frame -> markers.
+#: Part of an argument frame -> markers.
 FRAME_PARTS = {
     "problem": (
         "problema", "riesgo", "crisis", "conflicto", "daño", "peligro", "prejuicio", "estigma", "ilegal", "infección", "infeccion", "alergia",
@@ -149,7 +147,7 @@ FRAME_PARTS = {
     ),
 }
 
-#: Stage of a narrative event -> markers.
+#: Stage of a narrative event -> markers.
 EVENT_STAGES = {
     "initial_event": (
         "began", "started", "announced", "reported", "launched", "introduced", "emerged", "inició", "inicio", "comenzó", "comenzo", "anunció",
@@ -176,21 +174,21 @@ EVENT_STAGES = {
     ),
 }
 
-#: Terms of localisation.
+#: Terms of localisation.
 MEXICO_TERMS = (
     "cdmx", "ciudad de mexico", "ciudad de méxico", "conacyt", "conahcyt", "edomex", "estado de mexico", "estado de méxico", "guadalajara", "ipn",
     "mexican", "mexicana", "mexicanas", "mexicano", "mexicanos", "mexico", "monterrey", "méxico", "puebla", "queretaro", "querétaro",
     "tec de monterrey", "uam", "uanl", "unam",
 )
 
-#: Terms of the wider region.
+#: Terms of the wider region.
 LATAM_TERMS = (
     "america latina", "américa latina", "argentina", "bolivia", "brasil", "brazil", "chile", "colombia", "costa rica", "ecuador", "el salvador",
     "guatemala", "honduras", "latam", "latin america", "latinoamerica", "latinoamérica", "panama", "panamá", "paraguay", "peru", "perú",
     "uruguay", "venezuela",
 )
 
-#: Terms of approval.
+#: Terms of approval.
 POSITIVE = (
     "acceptance", "accepted", "aceptacion", "aceptación", "aceptado", "admiracion", "admiración", "admiration", "alegria", "alegría", "apoyo",
     "atractivo", "autonomia", "autonomy", "autonomía", "beautiful", "beauty", "belleza", "beneficio", "benefit", "bienestar", "care",
@@ -200,7 +198,7 @@ POSITIVE = (
     "reconocimiento", "respect", "respeto", "safe", "seguro", "solidaridad", "solidarity", "trust", "valioso", "valor", "valuable", "wellbeing",
 )
 
-#: Terms of disapproval.
+#: Terms of disapproval.
 NEGATIVE = (
     "abuse", "abuso", "alarm", "alarma", "alergia", "allergy", "amenaza", "arrepentimiento", "attack", "castigo", "concern", "conflict",
     "conflicto", "contagio", "controversia", "controversy", "crime", "crimen", "critica", "criticism", "crítica", "damage", "danger", "daño",
@@ -210,17 +208,17 @@ NEGATIVE = (
     "risk", "sancion", "sanción", "stigma", "threat", "violence", "violencia", "vulnerabilidad", "vulnerability",
 )
 
-#: Words that invert the next terms.
+#: Words that invert the next terms.
 NEGATIONS = (
     "never", "ni", "no", "not", "nunca", "sin", "without",
 )
 
-#: Words that strengthen the next terms.
+#: Words that strengthen the next terms.
 INTENSIFIERS = (
     "altamente", "bastante", "extremely", "muy", "really", "sumamente", "very",
 )
 
-#: Genre -> marks of its addresses and titles, in the order in which they are tried.
+#: Genre -> marks of its addresses and titles, in the order in which they are tried.
 GENRE_MARKERS = {
     "scientific_article": (
         "doi.org", "pubmed.ncbi.nlm.nih.gov", "ncbi.nlm.nih.gov/pmc", "sciencedirect.com", "springer.com", "link.springer.com", "tandfonline.com",
@@ -247,7 +245,7 @@ GENRE_MARKERS = {
     ),
 }
 
-#: Words that no actor's name holds.
+#: Words that no actor's name holds.
 ACTOR_NOISE = (
     "abstract", "article", "articles", "articulo", "articulos", "artículos", "body", "case", "city", "conclusion", "conclusiones", "conclusions",
     "discusion", "discussion", "english", "figure", "figures", "global", "introduccion", "introduction", "journal", "method", "methods",
@@ -255,12 +253,12 @@ ACTOR_NOISE = (
     "title", "unknown",
 )
 
-#: Phrases that no actor's name holds.
+#: Phrases that no actor's name holds.
 ACTOR_NOISE_PHRASES = (
     "area metropolitana", "conclusion the", "global unclear", "metropolitan area", "source international", "source journal",
 )
 
-#: Capitalised words that are no actors.
+#: Capitalised words that are no actors.
 GENERIC_ACTORS = (
     "A", "An", "And", "Article", "Articulo", "Artículo", "As", "At", "But", "By", "Como", "Con", "DE", "DEL", "EL", "EN", "El", "En", "Esta",
     "Estas", "Este", "Estos", "For", "From", "In", "LA", "LAS", "LOS", "La", "Las", "Los", "News", "Noticias", "On", "PARA", "POR", "Para", "Por",
@@ -268,7 +266,7 @@ GENERIC_ACTORS = (
     "With",
 )
 
-#: Short names that are actors.
+#: Short names that are actors.
 SHORT_ACTORS = (
     "ai", "hcv", "hiv", "ia", "ipn", "oms", "uam", "unam", "ux", "who",
 )

@@ -36,7 +36,7 @@ TAILS = (
 BIOS = ("i strive to", "in addition to my work", "i was previously", "prior to joining", "author")
 #: Blocks in which the title is looked for; the words of a block that may hold more than it; blocks in which a note on the author is only cut off, and from where.
 TOP, WORDS, OPENING, BIO_FROM, BIO_BACK = 5, 12, 2, 250, 20
-#: A date line that may stand between a title and its text.
+#: Fixed value: a date line that may stand between a title and its text.
 DATE_LINE = r"^\s*(?:\|\s*)?[A-Za-z0-9 ._-]{0,50}\s*(?:News|Noticias)?\s*[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+\s+\d{1,2},\s+\d{4}\s+(?:[A-ZÁÉÍÓÚÑ][A-Za-zÁÉÍÓÚÑáéíóúñ._-]+\s*){0,5}(?:News|Noticias)?\s*"
 
 NO_TEXTS = "array<string>"

@@ -75,7 +75,11 @@ class Solution:
         return tuple(min(1.0, max(0.0, v)) for v in (1 - self.size_share, self.node_share, 1 - self.removed_share))
 
 
-def evaluate(p: Problem, chosen: Iterable[str], node_weight=1.0, edge_weight=1.0, coverage_weight=0.2, size_penalty=0.05) -> Solution:
+# How the scalar value weighs node weight, removed edge weight, edges left and each node.
+NODE_WEIGHT, EDGE_WEIGHT, COVERAGE_WEIGHT, SIZE_PENALTY = 1.0, 1.0, 0.2, 0.05
+
+
+def evaluate(p: Problem, chosen: Iterable[str], node_weight=NODE_WEIGHT, edge_weight=EDGE_WEIGHT, coverage_weight=COVERAGE_WEIGHT, size_penalty=SIZE_PENALTY) -> Solution:
     """Shares of nodes, of node weight and of removed edge weight, what limits are broken by, and one scalar value."""
     asked = [c for c in chosen if c]
     ids = tuple(dict.fromkeys(asked))

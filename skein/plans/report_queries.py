@@ -427,3 +427,21 @@ SELECT k::VARCHAR AS dedup_key, string_agg(v, ', ' ORDER BY f) AS collections FR
 def provenance(spark, sf_dir):
     rows = load(spark, sf_dir).select("ord", F.floor(F.col("ord") / 9).cast("string").alias("dedup_key"), F.concat_ws(" , ", "medium", "language", "medium").alias("collections"))
     return dedup.provenance(rows, ["collections"])
+
+
+FLOW_SQL = "CASE source_type WHEN 'forum' THEN 'individual_dialogue' WHEN 'news' THEN 'news_media' WHEN 'institutional_report' THEN 'institutional_authority' WHEN 'industry_report' THEN 'technical_or_industry_derivation' WHEN 'scientific_article' THEN 'research' ELSE 'other_or_unclear_derivation' END"
+
+
+@query(f"SELECT ord, 'year=' || year || '; source=' || medium || '; type=' || source_type || '; flow=' || {FLOW_SQL} || '; language=' || CASE language WHEN 'en' THEN 'English' WHEN 'es' THEN 'Spanish' ELSE language END AS context FROM r")
+def situation(spark, sf_dir):
+    return load(spark, sf_dir).select("ord", records.situation().alias("context"))
+
+
+@query(
+    rf"""SELECT ord, CASE WHEN ord % 4 = 0 THEN TRUE WHEN ord % 4 = 1 THEN TRUE ELSE contains(trim(regexp_replace({FOLD.format("title || ' ' || substring(text_normalized, 1, 4000)")}, '\s+', ' ', 'g')), 'erinan') END AS inside FROM r"""
+)
+def region_filter(spark, sf_dir):
+    """By country, by domain, by text."""
+    o = F.col("ord") % 4
+    rows = load(spark, sf_dir).withColumns({"country": F.when(o == 0, "MX").otherwise(""), "url": F.when(o == 1, "https://a.gob.mx/x").otherwise("https://a.org/x")})
+    return rows.select("ord", records.in_region("mexico", ("erinan",), ("MX",), (".mx",)).alias("inside"))

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from skein.operators import cover, geometry, graph, planning
 from skein.operators import html as pages
 from skein.plans import QUERIES
+from skein.plans.nucleus import nucleus
 from skein.schema import RECORD
+from skein.schema import records as load
 from skein.sources import readers, sinks
 from skein.streaming import streams
 from tests.test_records import make  # noqa: F401
@@ -150,6 +152,30 @@ def test_readers(spark, tmp_path):
     assert [(r.query, r.month, r.url) for r in got] == [("q", "2021-02", "u")]
 
 
+def test_works_of_other_indexes(spark):
+    cross = spark.createDataFrame(
+        [("10.1/AB", "t", "<p>An <i>abstract</i>\n here</p>", [("u.html", "text/html"), ("u.pdf", "application/PDF")], 2020), ("10.2/c", "t", None, None, 2021)],
+        "DOI string, title string, abstract string, link array<struct<URL: string, `content-type`: string>>, year int",
+    )
+    assert sorted(map(tuple, readers.crossref_records(cross).collect())) == [("10.1/ab", "t", 2020, "An abstract here", "u.pdf"), ("10.2/c", "t", 2021, "", "")]
+    works = spark.createDataFrame([("12", "t", " a  b ", 2020), ("", "u", None, 2021), ("13", "v", "x", 2019)], "cveArticulo string, titulo string, resumen string, anio int")
+    assert sorted(map(tuple, readers.redalyc_records(works, [2020, 2021]).collect())) == [("t", 2020, "a b", "https://www.redalyc.org/pdf/12.pdf"), ("u", 2021, "", "")]
+    lines = spark.createDataFrame([("see https://a.b/c. and (http://d.e/f), https://a.b/c",), ("none",), (None,)], "value string")
+    assert sorted(r.url for r in readers.seeds_from_text(lines).collect()) == ["http://d.e/f", "https://a.b/c"]
+
+
+def test_export_and_nucleus(spark, tmp_path):
+    rows = load(spark, "/root/testdata/sf0.001")
+    layers = nucleus(rows, ["und"], {"problem": ("the",), "solution": ("und",)})
+    core = {r.source for r in layers["sources"].collect() if r.pareto_core}
+    frames = layers["frames"].collect()
+    assert core and {r.medium for r in frames} == core and len(frames) == rows.filter(F.col("medium").isin(*core)).count()
+    assert layers["deltas"].count() == len(frames) and layers["silences"].first().expected_topic == "und"
+    sinks.write_export(str(tmp_path / "e"), {"sources": layers["sources"], "deltas": layers["deltas"]}, {"made": "now"})
+    assert json.loads(spark.read.text(str(tmp_path / "e/manifest")).first().value) == {"made": "now", "tables": ["deltas", "sources"]}
+    assert spark.read.json(str(tmp_path / "e/deltas")).count() == len(frames)
+
+
 def test_sinks(spark, make, tmp_path):  # noqa: F811
     rows = make({"url": "a", "year": 2020, "title": "t", "medium": "m", "status": "ok", "text_clean": "x", "source_type": "news"})
     m = sinks.manifest(rows, {"b": 1, "a": 2})
