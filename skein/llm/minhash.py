@@ -43,6 +43,8 @@ BATCH, MISS = 16, 1e-6
 BLOCK = 1 << 19
 #: Shingles that go through the permutations in one go.
 PERMUTED = 1 << 9
+#: Hashes of rows that are told apart before texts are shuffled.
+SLOTS = 1 << 20
 MULTIPLIERS = np.array([xxhash.xxh64_intdigest(b"minhash %d" % i) | 1 for i in range(ROWS * BANDS)], np.uint64)
 
 
@@ -57,8 +59,9 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
-def band_keys(least: np.ndarray) -> list[int]:
-    return [xxhash.xxh64_intdigest(band.tobytes(), b) - (1 << 63) for b, band in enumerate(least.reshape(-1, ROWS))]
+def band_keys(prints: Column) -> Column:
+    """A key for each ``ROWS`` hashes of a signature."""
+    return F.array(*(F.xxhash64(F.substring(prints, 1 + 4 * ROWS * b, 4 * ROWS), F.lit(b)) for b in range(BANDS)))
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -169,14 +172,13 @@ def links_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
 def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingle_set(t.as_py()) for t in batch.column(2)]
-        prints = [signature(s) for s in sets]
-        columns = [batch.column(0), batch.column(1), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([p.tobytes() for p in prints], pa.binary()), pa.array([band_keys(p) for p in prints], pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["x_id", "x_row", "digest", "size", "print", "keys"])
+        columns = [batch.column(0), batch.column(1), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s).tobytes() for s in sets], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["x_id", "x_row", "digest", "size", "print"])
 
 
 def only_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([shingle_set(t.as_py()).tobytes() for t in batch.column(3)], pa.binary())], names=["node", "size", "print", "shingles"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([shingle_set(t.as_py()).tobytes() for t in batch.column(2)], pa.binary())], names=["node", "print", "shingles"])
 
 
 MET = ["x", "y", "z", "role", "node", "comp", "main", "print", "shingles"]
@@ -215,32 +217,55 @@ def blocked(members: DataFrame, block: int) -> DataFrame:
     return held.unionByName(probes)
 
 
+def texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows ``w_id, w_row`` of ``wanted``, with their texts.
+
+    Before texts are shuffled, those whose hash, of ``SLOTS``, no wanted row has
+    are left out: what is broadcast is that many numbers at most.
+    """
+    slot = lambda *c: F.pmod(F.xxhash64(*c), F.lit(SLOTS))
+    some = F.broadcast(wanted.select(slot("w_id", "w_row").alias("slot")).distinct())
+    near = rows.withColumn("slot", slot("x_id", "x_row")).join(some, "slot", "left_semi")
+    return near.join(wanted, near["x_id"].eqNullSafe(wanted["w_id"]) & (near["x_row"] == wanted["w_row"]))
+
+
 def similar_sets(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Each row's ``x_id, digest, size``, and for each digest of a set that isn't empty the node and component that it belongs to."""
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("x_id"), row_key().alias("x_row"), "text")
-    prints = cut(rows.mapInArrow(printed, "x_id long, x_row binary, digest binary, size long, print binary, keys array<long>"))
-    one = prints.filter("size > 0").groupBy("digest").agg(F.min(F.struct("x_id", "x_row")).alias("x_of"), F.first("size").alias("size"), F.first("print").alias("print"), F.first("keys").alias("keys"))
+    prints = cut(rows.mapInArrow(printed, "x_id long, x_row binary, digest binary, size long, print binary"))
+    known = cut(prints.select("x_id", "digest", "size"))
+    one = prints.filter("size > 0").groupBy("digest").agg(F.min(F.struct("x_id", "x_row")).alias("x_of"), F.first("size").alias("size"), F.first("print").alias("print"))
     nodes = cut(one.withColumn("node", F.monotonically_increasing_id()))
-    release(docs.sparkSession)
-    keyed = nodes.select("node", "size", F.explode("keys").alias("key"))
+    del prints, one
+    release(spark)
+    keyed = nodes.select("node", "size", F.explode(band_keys(F.col("print"))).alias("key"))
     # Near copies share most of their keys: of keys with the same documents, by 128 bits of their hashes, one is enough.
     who = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"who{k}") for k in (0, 1)]
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *who).filter("n > 1").groupBy("n", "who0", "who1").agg(F.min("key").alias("key"))
-    members = cut(keyed.join(shared.select("key"), "key").select("key", "node", "size", F.col("node").alias("comp")))
-    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "size", "print", F.col("x_of.x_id").alias("w_id"), F.col("x_of.x_row").alias("w_row"))
-    texts = rows.join(wanted, rows["x_id"].eqNullSafe(wanted["w_id"]) & (rows["x_row"] == wanted["w_row"])).select("node", "size", "print", "text")
-    sets = texts.mapInArrow(only_sets, "node long, size long, print binary, shingles binary").dropDuplicates(["node"]).drop("size")
-    found = cut(links(led(members, F.xxhash64("node"), block), sets))
-    for groups in (lambda m: led(m, F.xxhash64("node", "key"), block), lambda m: blocked(m, block)):
-        release(docs.sparkSession)
+    shared = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *who).filter("n > 1").groupBy("n", "who0", "who1").agg(F.min("key").alias("key")).select("key"))
+    release(spark)
+    members = cut(keyed.join(shared, "key").select("key", "node", "size", F.col("node").alias("comp")))
+    release(spark)
+    wanted = cut(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "print", F.col("x_of.x_id").alias("w_id"), F.col("x_of.x_row").alias("w_row")))
+    of = cut(nodes.select("node", "digest"))
+    del nodes, keyed, shared
+    texts = texts_of(rows, wanted).select("node", "print", "text")
+    sets = cut(texts.mapInArrow(only_sets, "node long, print binary, shingles binary").dropDuplicates(["node"]))
+    release(spark)
+    every, by_key = F.xxhash64("node"), F.xxhash64("node", "key")
+    found = cut(links(led(members, every, block), sets))
+    for before, groups in ((every, lambda m: led(m, by_key, block)), (by_key, lambda m: blocked(m, block))):
+        release(spark)
         comp = components(found)
-        leaders = members.groupBy("key").agg(F.min_by("node", F.struct(F.xxhash64("node"), "node")).alias("node"))
+        leaders = members.groupBy("key").agg(F.min_by("node", F.struct(before, "node")).alias("node"))  # they have met all others of the key
         left = members.drop("comp").join(comp.select("node", F.col("component").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(leaders, ["key", "node"], "left_anti")
         split = left.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("key")
         members = cut(left.join(split, "key", "left_semi").select("key", "node", "size", "comp"))
+        if members.isEmpty():
+            break
         found = cut(found.unionByName(links(groups(members), sets)))
-    release(docs.sparkSession)
-    return prints.select("x_id", "digest", "size"), nodes.join(components(found), "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    release(spark)
+    return known, of.join(components(found), "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:

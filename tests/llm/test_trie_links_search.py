@@ -177,6 +177,20 @@ def test_links_of_empty_tables(docs_of):
     assert sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in found), key=repr) == [(1, 1, True), (1, 1, True), (2, 2, True), (None, None, False)]
 
 
+def test_leaders_go_once_they_have_met_all(docs_of):
+    """Many families of texts that share keys but link only within: whoever leads, no family loses a link."""
+    dice = random.Random(9)
+    base = [f"b{i}" for i in range(60)]
+    table = []
+    for family in range(12):
+        own = [w if dice.random() > 0.25 else f"f{family}{w}" for w in base]
+        for k in range(8):
+            table.append((family * 10 + k, " ".join(f"v{k}{w}" if dice.random() < 0.03 else w for w in own)))
+    found = rows(minhash.near_duplicates(docs_of(table)))
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found), key=repr) == brute_links(table)
+    assert 12 <= len({r["component_id"] for r in found}) < 60
+
+
 def test_blocks_join_what_leaders_miss(spark):
     """Groups in which each document outside the largest component meets all others, whatever the block."""
     members = spark.createDataFrame([(1, n, 10, 0 if n < 20 else n) for n in range(30)], "key long, node long, size long, comp long")
