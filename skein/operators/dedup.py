@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import document_key, url_key, url_path_key
+from ..functions.keys import document_key, url_path_key
 from ..functions.text import compare_key, first_set
 from .records import genre, usable
 
@@ -23,12 +23,12 @@ def dedup_key(policy: str) -> Column:
         return first_set(key, F.col("url"), F.col("title"), whole)
     if policy == "url_first":
         title = compare_key(F.coalesce("title", F.lit("")))
-        by_title = F.when(title != "", F.concat_ws(":", F.lit("title"), F.coalesce(F.col("year").cast("string"), F.lit("")), compare_key(F.coalesce("medium", F.lit(""))), title))
+        by_title = F.when(title != "", F.concat_ws(":", F.lit("title"), F.coalesce(F.nullif(F.col("year").cast("string"), F.lit("0")), F.lit("")), compare_key(F.coalesce("medium", F.lit(""))), title))
         return first_set(url_path_key(F.col("url")), by_title, whole)
     if policy == "url_or_title":
         return first_set(F.col("url"), F.col("title"), whole)
     if policy == "url_last":
-        return first_set(url_key(F.col("url")), whole)
+        return first_set(F.col("url"), whole)
     raise ValueError(f"no such policy: {policy}")
 
 
@@ -46,25 +46,43 @@ def dedup(records: DataFrame, policy: str = "document") -> DataFrame:
     return keyed.join(best, ["dedup_key", "ord"], "left_semi")
 
 
-def merge_sources(sources: dict[str, DataFrame], policy: str = "url_first") -> DataFrame:
-    """Several corpora as one: of each key the first row stays, by source in the given order and ``ord``, and lists all sources that had it."""
+def _together(sources: dict[str, DataFrame], policy: str) -> DataFrame:
+    """All rows with their key and ``x_place``: by source in the given order, then ``ord``."""
     rows = None
     for k, (name, df) in enumerate(sources.items()):
-        part = df.withColumns({"source_collection": F.lit(name), "x_source": F.lit(k)})
+        own = F.lit(name)
+        if "source_collection" in df.columns:
+            listed = F.filter(F.transform(F.split(F.coalesce("source_collection", F.lit("")), ","), lambda v: F.trim(v)), lambda v: v != "")
+            own = F.array_join(F.array_distinct(F.concat(listed, F.array(F.lit(name)))), ", ")
+        part = df.withColumns({"source_collection": own, "x_name": F.lit(name), "x_source": F.lit(k)})
         rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
-    keyed = rows.withColumns({"dedup_key": dedup_key(policy), "x_place": F.struct("x_source", "ord")})
-    found = keyed.groupBy("dedup_key").agg(F.min("x_place").alias("x_place"), F.array_join(F.array_sort(F.collect_set("source_collection")), ", ").alias("source_collections"), F.count(F.lit(1)).alias("copies"))
-    return keyed.join(found, ["dedup_key", "x_place"]).drop("x_place", "x_source", "source_collection")
+    return rows.withColumns({"dedup_key": dedup_key(policy), "x_place": F.struct("x_source", "ord")})
+
+
+def merge_sources(sources: dict[str, DataFrame], policy: str = "url_first") -> DataFrame:
+    """Several corpora as one: of each key one row stays and lists all sources that had it.
+
+    The row is the first, by source in the given order and ``ord``; with
+    ``url_last``, as an index is rebuilt, the last. ``source_collections`` are
+    the sources and what rows bring along as ``source_collection``: in the order
+    in which they are met with the document policy, else sorted. ``copies``
+    counts the key's rows.
+    """
+    keyed = _together(sources, policy)
+    seen = keyed.select("dedup_key", "x_place", F.posexplode(F.split("source_collection", ", ")).alias("x_p", "x_c"))
+    first = seen.groupBy("dedup_key", "x_c").agg(F.min(F.struct("x_place", "x_p")).alias("x_at"))
+    order = F.struct("x_at", "x_c") if policy == "document" else F.struct("x_c")
+    names = first.groupBy("dedup_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["x_c"]), ", ").alias("source_collections"))
+    place = F.max("x_place") if policy == "url_last" else F.min("x_place")
+    found = keyed.groupBy("dedup_key").agg(place.alias("x_place"), F.count(F.lit(1)).alias("copies")).join(names, "dedup_key")
+    return keyed.join(found, ["dedup_key", "x_place"]).drop("x_place", "x_source", "x_name", "source_collection")
 
 
 def merge_report(sources: dict[str, DataFrame], policy: str = "url_first") -> DataFrame:
     """One row per source of a merge: its rows, those that stay, and those that give way to a row of another source or of its own."""
-    rows = None
-    for k, (name, df) in enumerate(sources.items()):
-        part = df.select(F.lit(name).alias("source_collection"), F.lit(k).alias("x_source"), "ord", dedup_key(policy).alias("dedup_key"))
-        rows = part if rows is None else rows.unionByName(part)
-    by_source = rows.groupBy("dedup_key", "source_collection", "x_source").agg(F.count(F.lit(1)).alias("n"))
-    keys = by_source.groupBy("dedup_key").agg(F.min_by("source_collection", "x_source").alias("x_winner"))
+    by_source = _together(sources, policy).groupBy("dedup_key", F.col("x_name").alias("source_collection"), "x_source").agg(F.count(F.lit(1)).alias("n"))
+    winner = (F.max_by if policy == "url_last" else F.min_by)("source_collection", "x_source")
+    keys = by_source.groupBy("dedup_key").agg(winner.alias("x_winner"))
     own = F.col("x_winner") == F.col("source_collection")
     return by_source.join(keys, "dedup_key").groupBy("source_collection").agg(
         F.sum("n").alias("rows"), F.count_if(own).alias("kept"), F.sum(F.when(own, F.col("n") - 1).otherwise(0)).alias("own_copies"), F.sum(F.when(~own, F.col("n")).otherwise(0)).alias("copies_of_others")

@@ -347,11 +347,42 @@ def actor_counts_given(spark, sf_dir):
     return actor_names.actor_counts(rows, 7)
 
 
-@query(f"SELECT min(ord) AS ord, url_key, count(*) AS copies FROM (SELECT ord, CASE WHEN ord % 10 = 0 THEN 'doi.org/10.1234/ab.' || (ord % 30) || '.' ELSE 'site.org/a/' || (ord // 9) END AS url_key FROM r WHERE ord % 10 = 0 OR ord % 3 = 0) GROUP BY url_key")
+ADDRESSED = """, d AS (SELECT ord, text_clean, CASE WHEN ord % 10 = 0 THEN 'https://doi.org/10.1234/AB.' || (ord % 30) || '.' WHEN ord % 3 = 0 THEN 'HTTP://www.Site.org/a/' || (ord // 9) || '/?x=' || ord ELSE '' END AS url,
+  CASE WHEN ord % 4 = 0 THEN '' ELSE 'T ' || (ord % 50) END AS title, CASE WHEN ord % 7 = 0 THEN '' ELSE '2020' END AS year, CASE WHEN ord % 5 = 1 THEN '' ELSE 'Press' END AS medium FROM r)"""
+
+
+@query(
+    f"""{ADDRESSED}, k AS (SELECT ord, CASE WHEN ord % 10 = 0 THEN 'doi.org/10.1234/AB.' || (ord % 30) || '.' WHEN ord % 3 = 0 THEN 'site.org/a/' || (ord // 9)
+  WHEN title <> '' THEN 'title:' || year || ':' || lower(medium) || ':' || lower(title) ELSE 'hash:' || text_clean || '|' || medium END AS k FROM d),
+u AS (SELECT k, ord, 'even' AS s, 0 AS o FROM k WHERE ord % 2 = 0 UNION ALL SELECT k, ord, 'all', 1 FROM k)
+SELECT first(ord ORDER BY o, ord) AS ord, string_agg(DISTINCT s, ', ' ORDER BY s) AS source_collections, count(*) AS copies FROM u GROUP BY k"""
+)
 def merge_url_first(spark, sf_dir):
-    rows = _addressed(spark, sf_dir).filter("url <> ''")
-    merged = dedup.merge_sources({"all": rows}, "url_last")
-    return merged.select("ord", keys.url_key(F.col("url")).alias("url_key"), "copies")
+    rows = _addressed(spark, sf_dir)
+    return dedup.merge_sources({"even": rows.filter("ord % 2 = 0"), "all": rows}, "url_first").select("ord", "source_collections", "copies")
+
+
+@query(
+    """, u AS (SELECT ord // 9 AS k, ord, 'even' AS s, 0 AS o FROM r WHERE ord % 2 = 0 UNION ALL SELECT ord // 9, ord, 'thirds', 1 FROM r WHERE ord % 3 = 0)
+SELECT first(ord ORDER BY o DESC, ord DESC) AS ord, string_agg(DISTINCT s, ', ' ORDER BY s) AS source_collections, count(*) AS copies FROM u GROUP BY k"""
+)
+def merge_url_last(spark, sf_dir):
+    """An index rebuilt from record files: of one address the last row stays."""
+    rows = load(spark, sf_dir).withColumn("url", F.concat(F.lit("https://www.site.org/a/"), F.floor(F.col("ord") / 9).cast("string")))
+    return dedup.merge_sources({"even": rows.filter("ord % 2 = 0"), "thirds": rows.filter("ord % 3 = 0")}, "url_last").select("ord", "source_collections", "copies")
+
+
+@query(
+    f"""{ADDRESSED}, k AS (SELECT ord, CASE WHEN {DOC_KEY} <> '' THEN {DOC_KEY} WHEN title <> '' THEN title ELSE 'hash:' || text_clean || '|' || medium END AS k FROM d),
+u AS (SELECT k, ord, unnest(CASE WHEN ord % 6 = 3 THEN ['old', 'later'] ELSE ['later'] END) AS s, unnest(CASE WHEN ord % 6 = 3 THEN [0, 1] ELSE [0] END) AS p, 0 AS o FROM k WHERE ord % 3 = 0 UNION ALL SELECT k, ord, 'earlier', 0, 1 FROM k),
+f AS (SELECT k, s, min((o, ord, p)) AS x FROM u GROUP BY ALL), n AS (SELECT k, string_agg(s, ', ' ORDER BY x) AS source_collections FROM f GROUP BY k)
+SELECT first(ord ORDER BY o, ord) AS ord, any_value(source_collections) AS source_collections, count(DISTINCT (o, ord)) AS copies FROM u JOIN n USING (k) GROUP BY k"""
+)
+def merge_documents(spark, sf_dir):
+    """The document policy, with what rows say of earlier collections kept in the order in which it is met."""
+    rows = _addressed(spark, sf_dir).withColumn("source_collection", F.lit(""))
+    first = rows.filter("ord % 3 = 0").withColumn("source_collection", F.when(F.col("ord") % 6 == 3, " old ,").otherwise(None))
+    return dedup.merge_sources({"later": first, "earlier": rows}, "document").select("ord", "source_collections", "copies")
 
 
 @query(
@@ -412,7 +443,7 @@ def canonical_order(spark, sf_dir):
 
 
 @query(
-    """, a AS (SELECT 'first' AS s, 0 AS o, ord, language AS lang FROM r WHERE ord % 2 = 0 UNION ALL SELECT 'second', 1, ord, language FROM r WHERE ord % 3 = 0), k AS (SELECT s, o, 'site.org/a/' || (ord // 9) AS k, count(*) AS n FROM a GROUP BY ALL), w AS (SELECT *, first(s) OVER (PARTITION BY k ORDER BY o) AS w FROM k)
+    """, a AS (SELECT 'first' AS s, 0 AS o, ord, language AS lang FROM r WHERE ord % 2 = 0 UNION ALL SELECT 'second', 1, ord, language FROM r WHERE ord % 3 = 0), k AS (SELECT s, o, 'site.org/a/' || (ord // 9) AS k, count(*) AS n FROM a GROUP BY ALL), w AS (SELECT *, first(s) OVER (PARTITION BY k ORDER BY o DESC) AS w FROM k)
 SELECT s AS source_collection, sum(n)::BIGINT AS rows, count_if(s = w)::BIGINT AS kept, sum(CASE WHEN s = w THEN n - 1 ELSE 0 END)::BIGINT AS own_copies, sum(CASE WHEN s <> w THEN n ELSE 0 END)::BIGINT AS copies_of_others FROM w GROUP BY s"""
 )
 def merge_report(spark, sf_dir):

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from .functions.text import canon
 from .storage import table as read
+from .storage import texts
 
 _LIST = T.ArrayType(T.StringType())
 _COUNTS = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("count", T.IntegerType())]))
@@ -52,7 +53,7 @@ def records_from_documents(docs: DataFrame) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records_from_documents(read(spark, sf_dir, "documents"))
+    return records_from_documents(texts(spark, sf_dir, "documents"))
 
 
 #: The same in DuckDB's SQL, as the view ``r``.

@@ -7,19 +7,20 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Bytes of a table's files between which it may be one row group that a single core would read.
-SMALL = 4 << 20, 64 << 20
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A Parquet table, as it lies."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A Parquet table, one that is too small for as many row groups as there are cores dealt to all of them.
-
-    Larger tables have row groups enough and are left as they lie: nothing of any size is shuffled here.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if cores > 1 and SMALL[0] <= size < SMALL[1] else df
+#: The setting that says to how many tasks tables of texts are dealt before they are worked on; unset, they are read as they lie.
+DEAL = "spark.skein.deal"
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts. Small files of one row group would be one task's work: a session on one machine may ask that they be dealt out."""
+    tasks = spark.conf.get(DEAL, None)
+    df = table(spark, sf_dir, name)
+    return df.repartition(int(tasks)) if tasks else df
 
 
 def shared_folder(spark: SparkSession) -> str:
