@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import cut, shared_folder
-from ..storage import table as read
+from ..storage import texts as read
 
 __all__ = ["bare_text", "crc_fold", "cut", "read", "release", "remove", "shared_folder", "shared_path", "unused"]
 
