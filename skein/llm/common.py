@@ -5,14 +5,16 @@ from __future__ import annotations
 import gc
 import time
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import cut, shared_folder
 from ..storage import texts as read
 
-__all__ = ["bare_text", "crc_fold", "cut", "read", "release", "remove", "shared_folder", "shared_path", "unused"]
+__all__ = ["bare_text", "crc_fold", "cut", "kept_rows", "quoted", "read", "release", "remove", "shared_folder", "shared_path", "unused"]
 
 #: ASCII white space: U+0020 and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -54,6 +56,24 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return [before + n for n in names]
 
 
+def kept_rows(docs: DataFrame, judge: Callable[[list[str | None]], Sequence[bool]]) -> DataFrame:
+    """``docs`` without the rows whose text ``judge`` is against, a batch of texts at a time. Columns of any name stay, dots in it too."""
+    names = [c.lower() for c in docs.columns]
+    at = names.index("text")
+    plain = docs.toDF(*(f"c{k}" for k in range(len(names))))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(list(judge(batch.column(at).to_pylist())), pa.bool_()))
+
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
+
+
+def quoted(docs: DataFrame) -> list[Column]:
+    """The columns, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
 def crc_fold(doc_id: Column, folds: int) -> Column:
     """``crc32(doc_id as text) mod folds``; null where ``doc_id`` is null."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(folds)

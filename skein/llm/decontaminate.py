@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, unused
+from .common import cut, kept_rows, unused
 from .hashes import mixed, window_hashes, word_hashes
 
 #: Words of a window; words of a k-gram; k-grams that the least hash is kept of.
@@ -295,12 +295,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, index_words: int =
         return docs.withColumn(own, row_key()).join(hits, F.col(own) == F.col(name), "left_anti").drop(own)
     shared = docs.sparkSession.sparkContext.broadcast(BenchmarkIndex(sorted(map(tuple, items.collect()), key=repr)))
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            yield batch.filter(pa.array([not shared.value.search(words_of(t.as_py()))[0] for t in batch.column(at)], pa.bool_()))
-
-    return docs.mapInArrow(search, docs.schema)
+    return kept_rows(docs, lambda texts: [not shared.value.search(words_of(t))[0] for t in texts])
 
 
 def sha_of(items: list[int]) -> str:

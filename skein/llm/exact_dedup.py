@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bare_text, cut, unused
+from .common import bare_text, cut, quoted, unused
 
 #: Groups that copies of one text are spread over before they meet; 62 at most, a bit of a long each.
 SALTS = 16
@@ -123,7 +123,7 @@ def drop_copies(docs: DataFrame, digest: Callable[[Column], Column] = sha256, sa
     is_hard = d == F.col(names[0])
     order = F.struct(-n, i.isNull(), i)
     of = rows.join(hard, is_hard, "left_semi").groupBy(d, bare_text(F.col("text")))
-    one = of.agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*")
+    one = of.agg(F.min_by(F.struct(*quoted(docs)), order).alias("row")).select("row.*")
     return kept.join(hard, is_hard, "left_anti").drop(*here).unionByName(one)
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold
+from .common import crc_fold, kept_rows
 
 BUCKETS, DIM, NGRAMS = 1 << 15, 16, (3, 4)
 EPOCHS, RATE, SEED = 5, 1.0, 7
@@ -225,10 +225,4 @@ def keep_good(docs: DataFrame, model: QualityModel) -> DataFrame:
     class 1; rows are judged one by one, so repeated ones stay or go together.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            yield batch.filter(pa.array(shared.value.scores(batch.column(at).to_pylist()) >= 0.5, pa.bool_()))
-
-    return docs.mapInArrow(judge, docs.schema)
+    return kept_rows(docs, lambda texts: shared.value.scores(texts) >= 0.5)
