@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..storage import cut, shared_folder
 from ..storage import texts as read
 
-__all__ = ["bare_text", "crc_fold", "cut", "kept_rows", "quoted", "read", "release", "remove", "shared_folder", "shared_path", "unused"]
+__all__ = ["bare_text", "crc_fold", "cut", "kept_rows", "quoted", "read", "release", "remove", "row_key", "shared_folder", "shared_path", "unused"]
 
 #: ASCII white space: U+0020 and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -74,6 +74,11 @@ def quoted(docs: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
 
 
+def row_key(text: str = "text") -> Column:
+    """With the ``doc_id`` this tells rows apart where ids repeat."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+
+
 def crc_fold(doc_id: Column, folds: int) -> Column:
     """``crc32(doc_id as text) mod folds``; null where ``doc_id`` is null."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(folds)

@@ -29,9 +29,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release
+from .common import cut, release, row_key
 from .components import components
-from .near_dedup import row_key
 from .simhash import shingle_hashes
 
 SHINGLE, ROWS, BANDS = 2, 4, 32
@@ -39,8 +38,8 @@ SHINGLE, ROWS, BANDS = 2, 4, 32
 LEAST = (80, 100)
 #: Hashes that are compared before a pair is judged again, and the chance below which it is dropped.
 BATCH, MISS = 16, 1e-6
-#: Shingles of a leader's followers, or of a block, that meet in one group.
-BLOCK = 1 << 19
+#: Shingles that a group holds, at most but for one document, and those of its probes, in the same way; probes pass by one batch at a time.
+BLOCK, PROBES = 1 << 19, 1 << 16
 #: Shingles that go through the permutations in one go.
 PERMUTED = 1 << 9
 #: Hashes of rows that are told apart before texts are shuffled.
@@ -64,8 +63,8 @@ def band_keys(prints: Column) -> Column:
     return F.array(*(F.xxhash64(F.substring(prints, 1 + 4 * ROWS * b, 4 * ROWS), F.lit(b)) for b in range(BANDS)))
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    return np.unique(shingle_hashes(text, SHINGLE))
+def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    return np.unique(shingle_hashes(text, size))
 
 
 def least_equal(batch: int = BATCH, miss: float = MISS, least: tuple[int, int] = LEAST) -> list[int]:
@@ -169,16 +168,26 @@ def links_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingle_set(t.as_py()) for t in batch.column(2)]
-        columns = [batch.column(0), batch.column(1), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s).tobytes() for s in sets], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["x_id", "x_row", "digest", "size", "print"])
+def prints_of(rows: DataFrame, shingle: int) -> DataFrame:
+    """``x_id, x_row, text`` -> ``x_id, x_row, digest, size, print``: what a text's set is known by."""
 
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), shingle) for t in batch.column(2)]
+            columns = [batch.column(0), batch.column(1), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s).tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["x_id", "x_row", "digest", "size", "print"])
 
-def only_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([shingle_set(t.as_py()).tobytes() for t in batch.column(2)], pa.binary())], names=["node", "print", "shingles"])
+    return rows.mapInArrow(make, "x_id long, x_row binary, digest binary, size long, print binary")
+
+
+def sets_of(texts: DataFrame, shingle: int) -> DataFrame:
+    """``node, print, text`` -> ``node, print, shingles``."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in batch.column(2)], pa.binary())], names=["node", "print", "shingles"])
+
+    return texts.mapInArrow(make, "node long, print binary, shingles binary")
 
 
 MET = ["x", "y", "z", "role", "node", "comp", "main", "print", "shingles"]
@@ -190,6 +199,10 @@ def links(groups: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.repartition("x", "y", "z").sortWithinPartitions("x", "y", "z", "role").mapInArrow(compare, "a long, b long")
 
 
+def least_of(block: int) -> int:
+    return min(block, PROBES)
+
+
 def led(members: DataFrame, leader: Column, block: int) -> DataFrame:
     """Groups in which the members of a key, of other components than its leader's, meet the leader: ``key, node, size, comp`` -> groups.
 
@@ -198,7 +211,7 @@ def led(members: DataFrame, leader: Column, block: int) -> DataFrame:
     """
     heads = members.groupBy("key").agg(F.min_by(F.struct("node", "comp"), F.struct(leader, "node")).alias("head"))
     pairs = members.join(heads, "key").select(F.col("head.node").alias("x"), F.col("head.comp").alias("x_comp"), "node", "size", "comp").filter("comp <> x_comp").distinct()
-    salts = pairs.groupBy("x", "x_comp").agg(F.ceil(F.sum("size") / block).cast("long").alias("salts"))
+    salts = pairs.groupBy("x", "x_comp").agg(F.ceil(F.sum("size") / least_of(block)).cast("long").alias("salts"))
     probes = pairs.join(salts.select("x", "salts"), "x").select("x", F.lit(0).cast("long").alias("y"), F.pmod(F.xxhash64("node"), F.col("salts")).alias("z"), F.lit(1).alias("role"), "node", "comp", F.lit(True).alias("main"))
     held = salts.select("x", F.lit(0).cast("long").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("z"), F.lit(0).alias("role"), F.col("x").alias("node"), F.col("x_comp").alias("comp"), F.lit(False).alias("main"))
     return held.unionByName(probes)
@@ -208,7 +221,7 @@ def blocked(members: DataFrame, block: int) -> DataFrame:
     """Groups in which a key's documents outside its largest component meet all of its documents."""
     comps = members.groupBy("key", "comp").agg(F.sum("size").alias("size"))
     keys = comps.groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("largest"), F.max("size").alias("most"), F.sum("size").alias("all"))
-    keys = keys.withColumn("ys", F.ceil((F.col("all") - F.col("most")) / block).cast("long")).withColumn("zs", F.ceil(F.col("all") / block).cast("long")).filter("ys > 0")
+    keys = keys.withColumn("ys", F.ceil((F.col("all") - F.col("most")) / block).cast("long")).withColumn("zs", F.ceil(F.col("all") / least_of(block)).cast("long")).filter("ys > 0")
     rows = members.join(keys.select("key", "largest", "ys", "zs"), "key").withColumn("main", F.col("comp") == F.col("largest"))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     own_y, own_z = F.pmod(F.xxhash64("node"), F.col("ys")), F.pmod(F.xxhash64("node", F.lit(1)), F.col("zs"))
@@ -229,12 +242,12 @@ def texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return near.join(wanted, near["x_id"].eqNullSafe(wanted["w_id"]) & (near["x_row"] == wanted["w_row"]))
 
 
-def similar_sets(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Each row's ``x_id, digest, size``, and for each digest of a set that isn't empty the node and component that it belongs to."""
+def similar_sets(docs: DataFrame, block: int = BLOCK, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """Each row's ``x_id, x_row, digest, size``, and for each digest of a set that isn't empty the node and component that it belongs to."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("x_id"), row_key().alias("x_row"), "text")
-    prints = cut(rows.mapInArrow(printed, "x_id long, x_row binary, digest binary, size long, print binary"))
-    known = cut(prints.select("x_id", "digest", "size"))
+    prints = cut(prints_of(rows, shingle))
+    known = cut(prints.select("x_id", "x_row", "digest", "size"))
     one = prints.filter("size > 0").groupBy("digest").agg(F.min(F.struct("x_id", "x_row")).alias("x_of"), F.first("size").alias("size"), F.first("print").alias("print"))
     nodes = cut(one.withColumn("node", F.monotonically_increasing_id()))
     del prints, one
@@ -250,7 +263,7 @@ def similar_sets(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFr
     of = cut(nodes.select("node", "digest"))
     del nodes, keyed, shared
     texts = texts_of(rows, wanted).select("node", "print", "text")
-    sets = cut(texts.mapInArrow(only_sets, "node long, print binary, shingles binary").dropDuplicates(["node"]))
+    sets = cut(sets_of(texts, shingle).dropDuplicates(["node"]))
     release(spark)
     every, by_key = F.xxhash64("node"), F.xxhash64("node", "key")
     found = cut(links(led(members, every, block), sets))
