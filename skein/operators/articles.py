@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import lexicon
+from ..functions import lexicon, references
 from ..functions.text import compare_key, first_set, fold, let, squeeze, worked_out
 
 # Fixed values, each list in the order in which it is tried.
-#: Named characters that are written out; the ampersand last.
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
 #: Phrases of banners, wherever they stand.
 BANNERS = ("aceptar cookies", "cookie policy", "suscr[ií]bete", "newsletter", "iniciar sesi[oó]n")
 #: What follows an article within its last block.
@@ -43,10 +41,8 @@ NO_TEXTS = "array<string>"
 
 
 def unescape(text: Column) -> Column:
-    out = F.coalesce(text, F.lit(""))
-    for name, sign in ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(sign))
-    return out
+    """Character references written out; a space that doesn't break is a space."""
+    return F.replace(references.unescape(F.coalesce(text, F.lit(""))), F.lit("\u00a0"), F.lit(" "))
 
 
 def clean_text(text: Column) -> Column:

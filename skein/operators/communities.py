@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from ..storage import cut
 from .graph import connected_components, endpoints
 
-#: Rounds of moves on one level, levels, and rounds of merges, at most. None is reached but by graphs made for it.
-MOVES, LEVELS, MERGES = 40, 20, 200
+#: Rounds of moves on one level, levels, and rounds of merges, at most.
+MOVES, LEVELS, MERGES = 16, 20, 200
+#: Two rounds in turn that gain less modularity than this end a level.
+WORTH = 1e-4
 #: What a move must gain, as a share of all weight.
 LEAST_GAIN = 1e-10
 ALGORITHMS = ("louvain", "greedy_modularity", "connected_components")
@@ -89,12 +91,13 @@ def settled(arcs: DataFrame, nodes: DataFrame, double: float) -> DataFrame:
         new = cut(moved(near, nodes, double, colour))
         after = cut(weights_to(arcs, new))
         now = quality(after, new, double)
-        if now > best + 1e-9:
-            nodes, near, best, idle = new, after, now, 0
-        else:
-            share, idle = (share * 2 if now < best - 1e-9 else share), idle + 1
-            if idle >= 2:
-                break
+        idle = 0 if now > best + WORTH else idle + 1
+        if now > best:
+            nodes, near, best = new, after, now
+        elif now < best:
+            share *= 2
+        if idle >= 2:
+            break
     return nodes
 
 
@@ -131,9 +134,12 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 
 
 def greedy(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """``id, community`` by merging, as greedy modularity does: in each round every community points at the neighbour with which it gains most, and pairs that point at each other become one.
+    """``id, community`` by merging, as greedy modularity does: every community points at the neighbour with which it gains most.
 
-    Gains of disjoint pairs add up exactly, so every round gains.
+    Of two that point at each other the heavier one is a head, and takes those
+    that point at it, best first, as long as each adds to the gain even if no
+    edge joins it to those before. So every merge gains, however many are made
+    side by side, and a hub's neighbours don't wait for each other.
     """
     first = cut(arcs_of(edges))
     ids = first.select("id").distinct() if nodes is None else nodes.select("id").unionByName(first.select("id")).distinct()
@@ -142,15 +148,19 @@ def greedy(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     for number in range(MERGES if double else 0):
         degree = level.select("id", "degree")
         gain = F.col("weight") - F.col("degree") * F.col("x_degree") / double
-        pairs = arcs.filter("id <> other").join(degree, "id").join(degree.select(F.col("id").alias("other"), F.col("degree").alias("x_degree")), "other").select("id", "other", gain.alias("gain")).filter(F.col("gain") > LEAST_GAIN * double)
-        low, high = F.least("id", "other"), F.greatest("id", "other")
-        points = pairs.groupBy("id").agg(F.min_by("other", F.struct(F.round(-F.col("gain"), 9), low, high)).alias("other"))
-        mutual = points.join(points.select(F.col("id").alias("other"), F.col("other").alias("id")), ["id", "other"]).filter("id > other")
-        merged = cut(degree.join(mutual, "id", "left").select("id", "degree", F.coalesce("other", "id").alias("community")))
-        if merged.filter("community <> id").isEmpty():
+        pairs = arcs.filter("id <> other").join(degree, "id").join(degree.select(F.col("id").alias("other"), F.col("degree").alias("x_degree")), "other").select("id", "degree", "other", gain.alias("gain")).filter(F.col("gain") > LEAST_GAIN * double)
+        points = cut(pairs.groupBy("id", "degree").agg(F.min_by("other", F.struct(F.round(-F.col("gain"), 9), F.col("other"))).alias("other"), F.max("gain").alias("gain")))
+        if points.isEmpty():
             break
+        back = points.select(F.col("id").alias("other"), F.col("other").alias("id"), F.col("degree").alias("x_degree"))
+        heavier = (F.col("degree") > F.col("x_degree")) | ((F.col("degree") == F.col("x_degree")) & (F.col("id") < F.col("other")))
+        heads = points.join(back, ["id", "other"]).filter(heavier).select(F.col("id").alias("other"))
+        before = Window.partitionBy("other").orderBy(F.desc("gain"), "id").rowsBetween(Window.unboundedPreceding, -1)
+        taken = points.join(heads, "other").withColumn("x_before", F.coalesce(F.sum("degree").over(before), F.lit(0.0)))
+        taken = taken.filter(F.col("gain") - F.col("degree") * F.col("x_before") / double > 0).select("id", "other")
+        merged = cut(degree.join(taken, "id", "left").select("id", "degree", F.coalesce("other", "id").alias("community")))
         home = home.withColumnRenamed("community", "x").join(merged.select(F.col("id").alias("x"), "community"), "x").select("id", "community")
-        home = cut(home) if number % 8 == 7 else home
+        home = cut(home) if number % 4 == 3 else home
         arcs = cut(contracted(arcs, merged))
         level = merged.groupBy(F.col("community").alias("id")).agg(F.sum("degree").alias("degree"))
     return cut(home)

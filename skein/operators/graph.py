@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -258,41 +257,3 @@ def visible(graph: Graph, limit: int = 50) -> Graph:
     ids = nodes.select("id")
     edges = graph.edges.join(F.broadcast(ids.withColumnRenamed("id", "source")), "source", "left_semi").join(F.broadcast(ids.withColumnRenamed("id", "target")), "target", "left_semi")
     return Graph(nodes, edges)
-
-
-def communities(nodes: Sequence[str], edges: Sequence[tuple[str, str, float]], passes: int = 20) -> tuple[dict[str, int], float]:
-    """Communities of a small graph and their modularity: nodes move to the neighbouring community that gains most, until none gains.
-
-    For graphs that a display bounds (some hundred nodes); gains are worked out
-    from sums by community, so a move costs the node's degree.
-    """
-    weight: dict[str, dict[str, float]] = {n: defaultdict(float) for n in nodes}
-    for a, b, w in edges:
-        if a != b:
-            weight[a][b] += w
-            weight[b][a] += w
-    degree = {n: sum(weight[n].values()) for n in nodes}
-    double = sum(degree.values())
-    home = {n: i for i, n in enumerate(nodes)}
-    if double <= 0:
-        return home, 0.0
-    total = {home[n]: degree[n] for n in nodes}
-    for _ in range(passes):
-        moved = False
-        for n in nodes:
-            to = defaultdict(float)
-            for o, w in weight[n].items():
-                to[home[o]] += w
-            total[home[n]] -= degree[n]
-            best, gain = home[n], to[home[n]] - total[home[n]] * degree[n] / double
-            for c in sorted(to):
-                g = to[c] - total[c] * degree[n] / double
-                if g > gain + 1e-10:
-                    best, gain = c, g
-            moved |= best != home[n]
-            home[n] = best
-            total[best] = total.get(best, 0.0) + degree[n]
-        if not moved:
-            break
-    inside = sum(w for n in nodes for o, w in weight[n].items() if home[o] == home[n])
-    return home, round(inside / double - sum((t / double) ** 2 for t in total.values()), 5)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import actors as actor_names
+from ..operators import communities as community
 from ..operators import cover, extract, folds, geometry, graph, terms
 from ..operators.records import flow_stage, usable
 from ..schema import read, records as load
@@ -119,12 +120,39 @@ def adaptive_topics(spark, sf_dir):
     return graph.topics(nodes, graph.connected_components(alike.select("source", "target", "weight")))
 
 
+PARTITION = f"""{PAIRS}, home AS (SELECT id, ascii(id) % 5 AS c FROM n), x AS (SELECT weight, a.c AS a, b.c AS b FROM e JOIN home a ON a.id = source JOIN home b ON b.id = target),
+t AS (SELECT c, sum(weight) AS t FROM (SELECT a AS c, weight FROM x UNION ALL SELECT b, weight FROM x) GROUP BY c)
+SELECT round((SELECT sum(weight) FROM x WHERE a = b) / (SELECT sum(weight) FROM x)::DOUBLE - (SELECT sum(t * t) FROM t) / pow((SELECT sum(t) FROM t), 2), 5) AS modularity"""
+
+
+@query(PARTITION)
+def partition_modularity(spark, sf_dir):
+    """How well a given partition of the network fits it."""
+    g = _words(spark, sf_dir)
+    return community.modularity(g.edges, g.nodes.select("id", (F.ascii("id") % 5).alias("community")))
+
+
 @query()
 def louvain(spark, sf_dir):
-    g = graph.visible(graph.normalize(_words(spark, sf_dir)), 50)
-    names = [r[0] for r in g.nodes.orderBy("id").select("id").collect()]
-    home, _ = graph.communities(names, [tuple(r) for r in g.edges.select("source", "target", "weight").orderBy("source", "target").collect()])
-    return spark.createDataFrame(sorted(home.items()), "id string, community int")
+    return community.louvain(_words(spark, sf_dir).edges)
+
+
+@query()
+def greedy_communities(spark, sf_dir):
+    return community.community_rows(community.greedy(_words(spark, sf_dir).edges))
+
+
+@query(
+    f"""{PAIRS}, x AS (SELECT source, target FROM e WHERE weight >= 3 AND abs(ascii(source) - ascii(target)) <= 2), y AS (SELECT source AS id, target AS o FROM x UNION SELECT target, source FROM x UNION SELECT id, id FROM n),
+w(id, c) AS (SELECT id, id FROM y UNION SELECT y.id, w.c FROM w JOIN y ON y.o = w.id), m AS (SELECT id, min(c) AS component FROM w GROUP BY id)
+SELECT row_number() OVER (ORDER BY count(*) DESC, component) AS community, count(*) AS size, array_to_string((list(id ORDER BY id))[1:40], ', ') AS terms FROM m GROUP BY component""",
+    recursive=True,
+)
+def component_communities(spark, sf_dir):
+    """Communities by components, as the analysis falls back to: terms without links are communities of one."""
+    g = _words(spark, sf_dir)
+    alike = g.edges.filter((F.col("weight") >= 3) & (F.abs(F.ascii("source") - F.ascii("target")) <= 2))
+    return community.community_rows(community.communities(alike, g.nodes, "connected_components"))
 
 
 @query(
@@ -186,12 +214,6 @@ def jaccard_pairs(spark, sf_dir):
     return folds.similar_sets(sets, 0.8).select("i", "j", F.round("similarity", 5).alias("similarity"))
 
 
-@query()
-def echo_frames(spark, sf_dir):
-    found = folds.echo_frames(extract.argument_frames(load(spark, sf_dir), parts=tq.PARTS))
-    return found.select("ord", "frame_id", "echo_status", "echo_of_frame_id", "echo_similarity", "relation_type", "storage_decision")
-
-
 def tok(p):
     return rf"list_distinct(list_filter(list_transform(regexp_extract_all({p}, '[\p{{L}}\p{{N}}\p{{M}}_-]+'), lambda t: lower(t)), lambda t: length(t) > 2))"
 
@@ -200,6 +222,27 @@ def share(a, b):
     return f"(CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b})))::DOUBLE END)"
 
 
+@query(
+    f"""{tq.FRAME_ROWS}, h AS (SELECT ord, {tq.HASH} AS record_hash FROM r),
+s AS MATERIALIZED (SELECT ord, substring(sha1(record_hash || ':frame'), 1, 16) AS frame_id, {tok("frame_terms")} AS x, row_number() OVER (ORDER BY ord) AS k FROM f JOIN h USING (ord)),
+u AS (SELECT k, unnest(x) AS t FROM s), c AS (SELECT b.k AS j, a.k AS i, count(*) AS common FROM u a JOIN u b ON a.t = b.t AND a.k < b.k GROUP BY ALL),
+p AS (SELECT j, i, common / (len(a.x) + len(b.x) - common)::DOUBLE AS sim FROM c JOIN s a ON a.k = i JOIN s b ON b.k = j
+  UNION ALL SELECT b.k, a.k, 1.0::DOUBLE FROM s a JOIN s b ON len(a.x) = 0 AND len(b.x) = 0 AND a.k < b.k),
+l AS MATERIALIZED (SELECT j AS k, list({{'i': i, 's': sim}}) AS near FROM p GROUP BY j),
+w(k, kept, best, origin) AS (
+  SELECT k, [TRUE], 0.0::DOUBLE, NULL::BIGINT FROM s WHERE k = 1
+  UNION ALL SELECT k, list_append(kept, best < 0.9), best, CASE WHEN best >= 0.9 THEN list_min(list_transform(list_filter(near, lambda e: kept[e.i] AND e.s = best), lambda e: e.i)) END
+  FROM (SELECT s.k, w.kept, near, coalesce(list_max(list_transform(list_filter(near, lambda e: w.kept[e.i]), lambda e: e.s)), 0)::DOUBLE AS best FROM w JOIN s ON s.k = w.k + 1 LEFT JOIN l ON l.k = s.k))
+SELECT s.ord, s.frame_id, CASE WHEN origin IS NULL THEN 'original_or_variant' ELSE 'echo' END AS echo_status, coalesce(o.frame_id, '') AS echo_of_frame_id, round(best, 5) AS echo_similarity,
+  CASE WHEN origin IS NOT NULL THEN 'ECO_DE' WHEN s.k = 1 THEN 'ORIGEN_DE_MARCO' ELSE 'NARRATIVA_ALTERNATIVA_DE' END AS relation_type,
+  CASE WHEN origin IS NULL THEN 'store_structural_frame' ELSE 'store_hash_relation_only' END AS storage_decision FROM w JOIN s USING (k) LEFT JOIN s o ON o.k = origin""",
+    recursive=True,
+)
+def echo_frames(spark, sf_dir):
+    found = folds.echo_frames(extract.argument_frames(load(spark, sf_dir), parts=tq.PARTS))
+    return found.select("ord", "frame_id", "echo_status", "echo_of_frame_id", "echo_similarity", "relation_type", "storage_decision")
+
+
 CHANGED = "concat_ws(', ', " + ", ".join(f"CASE WHEN {share(f'n.x_{p}', f'l.x_{p}')} < 0.82 THEN '{p}' END" for p in tq.PARTS) + ")"
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import keys, text
+from ..functions import keys, references, text
 from ..operators import actors as actor_names
 from ..operators import articles, dedup, extract, geometry, infer, planning, records, reports
 from ..schema import read
@@ -46,7 +46,7 @@ def plain_sql(x: str) -> str:
 
 
 UNESCAPED = "coalesce(raw, '')"
-for _name, _sign in articles.ENTITIES.items():
+for _name, _sign in {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}.items():
     UNESCAPED = f"replace({UNESCAPED}, '{_name}', '{_sign.replace(chr(39), chr(39) * 2)}')"
 WIDGETS = "b"
 for _w in articles.WIDGETS:
@@ -113,6 +113,16 @@ def analysis_text(spark, sf_dir):
     return planted(spark, sf_dir).select("ord", F.sha2(made, 256).alias("digest"), F.size(F.regexp_extract_all(made, F.lit("[a-z0-9]+"), 0)).cast("long").alias("words"))
 
 
+@query(
+    r"""SELECT ord, 'a' || chr((192 + ord % 400)::INTEGER) || 'b' || chr((8704 + ord % 250)::INTEGER) || 'é&lt;©x&bogus; ' || CASE WHEN ord % 2 = 0 THEN '€' ELSE '' END || '∳' AS plain FROM r"""
+)
+def character_references(spark, sf_dir):
+    """Decimal and hexadecimal numbers, names with and without semicolon, unknown ones, numbers of no character."""
+    o = F.col("ord")
+    raw = F.concat(F.lit("a&#"), (192 + o % 400).cast("string"), F.lit(";b&#x"), F.lower(F.hex(8704 + o % 250)), F.lit(";&eacute;&amp;lt;&copyx&bogus; "), F.when(o % 2 == 0, "&#128;").otherwise("&#1;"), F.lit("&awconint;"))
+    return load(spark, sf_dir).select("ord", references.unescape(raw).alias("plain"))
+
+
 @query(f", w AS (SELECT ord, title || ' newsletter share this article ok' AS b FROM r) SELECT ord, {clean_sql(WIDGETS)} AS text_clean, CASE WHEN {clean_sql(WIDGETS)} <> '' THEN 1 ELSE 0 END AS paragraph_count, 'partial_metadata_text' AS notes FROM (SELECT ord, {clean_sql('b')} AS b FROM w)")
 def partial_metadata(spark, sf_dir):
     rows = load(spark, sf_dir).select("ord", F.concat("title", F.lit(" newsletter share this article ok")).alias("raw"))

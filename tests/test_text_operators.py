@@ -134,10 +134,10 @@ def echoes(frames, threshold):
             if s > sim:
                 best, sim = k, s
         if best and sim >= threshold:
-            out.append((f[0], best[1]))
+            out.append((f[0], best[1], round(sim, 5)))
         else:
             kept.append(f)
-            out.append((f[0], ""))
+            out.append((f[0], "", round(sim, 5)))
     return out
 
 
@@ -153,10 +153,25 @@ def test_echoes_equal_the_sequential_rule(spark):
     rows = spark.createDataFrame(frames, "ord long, frame_id string, frame_terms string")
     for threshold in (0.7, 0.9):
         got = folds.echo_frames(rows, threshold).orderBy("ord").collect()
-        assert [(r.ord, r.echo_of_frame_id) for r in got] == echoes(frames, threshold)
+        assert [(r.ord, r.echo_of_frame_id, r.echo_similarity) for r in got] == echoes(frames, threshold)
         assert got[0].relation_type == "ORIGEN_DE_MARCO"
 
 
+def test_closest_earlier_set_against_all_pairs(spark):
+    """Tokens that are everywhere, rare ones, sets of all sizes and of one token, none alike."""
+    dice = random.Random(3)
+    sets = {}
+    for i in range(150):
+        own = {f"hot{k}" for k in range(dice.randint(0, 4))} | {f"w{int(dice.paretovariate(0.6))}" for _ in range(dice.randint(0, 30))}
+        sets[i * 7 % 1009] = own or {f"only{i}"}
+    sets[5000] = {"never"}
+    got = {r.id: r.similarity for r in folds.closest_earlier(spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "id long, tokens array<string>")).collect()}
+    assert got.keys() == sets.keys()
+    for k, v in sets.items():
+        assert abs(got[k] - max((len(v & w) / len(v | w) for j, w in sets.items() if j < k), default=0.0)) < 1e-9
+    assert folds.closest_earlier(spark.createDataFrame([], "id long, tokens array<string>")).count() == 0
+
+
 def test_deltas_return_to_an_earlier_state(spark):
     rows = [("m", 2020 + i, f"f{i}", p, "", "", "", p) for i, p in enumerate(["alpha beta", "alpha beta", "gamma delta", "alpha beta"])] + [("n", 2020, "g", "", "", "", "", "")]
     got = folds.frame_deltas(spark.createDataFrame(rows, "medium string, year int, frame_id string, problem string, culprit string, solution string, urgency string, frame_terms string"))
