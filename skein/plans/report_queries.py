@@ -9,6 +9,8 @@ from ..operators import actors as actor_names
 from ..operators import articles, dedup, extract, geometry, infer, planning, records, reports
 from ..schema import read
 from ..schema import records as load
+from ..sources import files
+from ..storage import shared_folder
 from ..streaming import streams
 from . import text_queries as tq
 from .catalog import FOLD, SQUEEZE, TOKENS, USABLE, query
@@ -486,3 +488,26 @@ def region_filter(spark, sf_dir):
     o = F.col("ord") % 4
     rows = load(spark, sf_dir).withColumns({"country": F.when(o == 0, "MX").otherwise(""), "url": F.when(o == 1, "https://a.gob.mx/x").otherwise("https://a.org/x")})
     return rows.select("ord", records.in_region("mexico", ("erinan",), ("MX",), (".mx",)).alias("inside"))
+
+
+def _record_files(spark, sf_dir):
+    """Records as files of lines, twenty of them: in the third a line is broken, in the fourth no line is a record, in the fifth lines are blank."""
+    import uuid
+
+    o, k = F.col("ord"), F.col("ord") % 20
+    line = F.to_json(F.struct("title", "year", F.col("ord").cast("string").alias("url")))
+    value = F.when((k == 3) & (o % 40 == 3), "{broken").when(k == 4, "[1]").when(k == 5, F.concat(F.lit("\n \n"), line)).otherwise(line)
+    path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    load(spark, sf_dir).select(k.alias("k"), value.alias("value")).repartition("k").write.partitionBy("k").text(path)
+    return path
+
+
+@query(f"SELECT (ord % 20)::BIGINT AS k, CASE WHEN ord % 20 IN (3, 4) THEN 0 ELSE count(*) END::BIGINT AS rows, CASE WHEN ord % 20 IN (3, 4) THEN '{files.BROKEN}' ELSE '' END AS reason FROM r GROUP BY ord % 20")
+def file_verdicts(spark, sf_dir):
+    found = files.verdicts(spark, _record_files(spark, sf_dir), lines="*.txt", whole="*.json")
+    return found.groupBy(F.regexp_extract("path", "/k=([0-9]+)/", 1).cast("long").alias("k")).agg(F.sum("rows").alias("rows"), F.max("reason").alias("reason"))
+
+
+@query("SELECT ord::VARCHAR AS url, title, year FROM r WHERE ord % 20 NOT IN (3, 4)")
+def file_records(spark, sf_dir):
+    return files.records(spark, _record_files(spark, sf_dir), lines="*.txt", whole="*.json").select("url", "title", "year")
