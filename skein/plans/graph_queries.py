@@ -12,7 +12,7 @@ from ..operators import cover, extract, folds, geometry, graph, terms
 from ..operators.records import flow_stage, usable
 from ..schema import read, records as load
 from ..storage import shared_folder
-from ..streaming import streams
+from ..streaming import stateful, streams
 from . import text_queries as tq
 from .catalog import TOKENS, query
 
@@ -403,7 +403,7 @@ def stream_quota(spark, sf_dir):
     rows = load(spark, sf_dir).select("ord", "year", "source_type", F.coalesce(usable(), F.lit(False)).cast("int").alias("usable"))
     path = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
     rows.write.parquet(path)
-    return streams.run(streams.quota(spark.readStream.schema(rows.schema).parquet(path), 12))
+    return streams.run(stateful.quota(spark.readStream.schema(rows.schema).parquet(path), 12))
 
 
 @query()

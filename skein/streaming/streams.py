@@ -1,4 +1,4 @@
-"""Streams of records and events: month counts, deduplication, quotas.
+"""Streams of records and events: month counts, deduplication, sessions.
 
 Each function turns a streaming frame into a streaming frame; :func:`run` drains
 what is there now into a table of the shared folder.
@@ -7,12 +7,9 @@ what is there now into a table of the shared folder.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..storage import shared_folder
 
@@ -58,23 +55,6 @@ def sessions(stream: DataFrame, gap: str = "30 minutes", lateness: str = "1 day"
     return stream.withWatermark("ts", lateness).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "user_id", "n")
 
 
-def quota(stream: DataFrame, cap: int) -> DataFrame:
-    """Rows ``ord, year, source_type, usable``: those accepted while fewer usable ones than ``cap`` came before, by year and genre.
-
-    The state of a group is one number. Rows of one batch are taken in the order of ``ord``.
-    """
-
-    def accept(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        taken = state.get[0] if state.exists else 0
-        rows = pd.concat(list(frames)).sort_values("ord")
-        before = taken + rows["usable"].cumsum() - rows["usable"]
-        state.update((min(cap, int(taken + rows["usable"].sum())),))
-        kept = rows[before < cap]
-        yield pd.DataFrame({"ord": kept["ord"], "year": key[0], "source_type": key[1], "accepted_before": before[before < cap]})
-
-    return stream.groupBy("year", "source_type").applyInPandasWithState(accept, "ord long, year int, source_type string, accepted_before long", "taken long", "append", GroupStateTimeout.NoTimeout)
-
-
 def run(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Drains the stream and returns what it wrote. With ``complete`` the last batch is the result."""
     spark = stream.sparkSession

@@ -13,7 +13,7 @@ from skein.plans.nucleus import nucleus
 from skein.schema import RECORD
 from skein.schema import records as load
 from skein.sources import readers, sinks
-from skein.streaming import streams
+from skein.streaming import stateful, streams
 from tests.test_records import make  # noqa: F401
 
 
@@ -119,7 +119,7 @@ def test_window_pairs(spark):
 def test_streams_equal_batches(spark, sf, tmp_path):
     rows = spark.createDataFrame([(i, 2020, "news", int(i % 3 > 0)) for i in range(40)], "ord long, year int, source_type string, usable int")
     rows.repartition(3).write.parquet(str(tmp_path / "in"))
-    got = streams.run(streams.quota(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), 5))
+    got = streams.run(stateful.quota(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), 5))
     assert sorted(r.ord for r in got.collect()) == list(range(8))
     n = spark.read.parquet(f"{sf}/events.parquet").count()
     assert streams.run(streams.month_counts(streams.events(spark, sf)), "complete").agg(F.sum("n")).first()[0] == n
