@@ -194,6 +194,15 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(bad.limit(0)).count() == 0
 
 
+def test_url_rules_are_those_of_the_contract():
+    """Each rule's word, on addresses that no other rule and no term decides otherwise."""
+    assert set(url_filter.RULES) == {("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")}
+    how = url_filter.UrlFilter()
+    wanted = {"a.com/en/1": "block", "example.com/en/71": "allow", "a.net/de/casino": "allow", "x.example.net/de/1": "allow", "example.net/de/81": "block", "a.org/es/": "block", "a.org/fr/": "allow"}
+    assert {u: how.judge(f"http://{u}")[3] for u in wanted} == wanted
+    assert "('allow', 'net', '/de/')" in url_filter.oracle()
+
+
 def test_url_weights(spark):
     """Against sums over split words, for weights other than 1; and a vocabulary from a table."""
     terms = spark.createDataFrame([("Bad", None), ("bad", 1.0), ("two", 2.0), ("half", 0.5), ("half", 0.25), ("one", 1.0), ("", 9.0), (None, 9.0)], "term string, weight double")
