@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import let, words
+from ..functions.text import let, words, worked_out
 from ..storage import cut
 
 
@@ -110,11 +110,17 @@ def window_pairs(tokens: Column, width: int) -> Column:
 
 
 def cooccurrence(rows: DataFrame, vocabulary: Sequence[str], width: int = 4, least: int = 2) -> Graph:
-    """Terms of a bounded vocabulary that stand near each other once all other terms are left out. ``rows``: ``terms``."""
-    kept = rows.select(F.filter("terms", lambda t: F.array_contains(words(vocabulary), t)).alias("t"))
-    edges = kept.select(F.explode(window_pairs(F.col("t"), width)).alias("p")).groupBy("p.source", "p.target").agg(F.count(F.lit(1)).alias("weight"))
-    nodes = kept.select(F.explode("t").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("count"))
-    return Graph(nodes.select("id", F.col("id").alias("label"), F.lit("term").alias("node_type"), "count"), edges.filter(F.col("weight") >= least).withColumn("edge_type", F.lit("cooccurrence")))
+    """Terms of a bounded vocabulary that stand near each other once all other terms are left out. ``rows``: ``terms``.
+
+    Nodes and links are counted in one pass over the texts. What is left is as
+    small as the vocabulary, and is kept: measures that use the graph many times don't read the texts again.
+    """
+    pairs = window_pairs(F.col("t"), width)
+    alone = F.transform("t", lambda t: F.struct(t.alias("source"), F.lit(None).cast("string").alias("target")))
+    kept = worked_out(rows, t=F.filter("terms", lambda t: t.isin(*vocabulary)) if vocabulary else words(())).select("t")
+    counts = cut(kept.select(F.explode(F.concat(alone, pairs)).alias("p")).groupBy("p.source", "p.target").agg(F.count(F.lit(1)).alias("weight")))
+    nodes = counts.filter("target IS NULL").select(F.col("source").alias("id"), F.col("source").alias("label"), F.lit("term").alias("node_type"), F.col("weight").alias("count"))
+    return Graph(nodes, counts.filter((F.col("weight") >= least) & F.col("target").isNotNull()).withColumn("edge_type", F.lit("cooccurrence")))
 
 
 def node(kind: str, value: Column) -> Column:
