@@ -129,7 +129,7 @@ def without_title(blocks: Column, title: Column) -> Column:
 
 
 def has_any(plain: Column, marks: Column) -> Column:
-    return F.exists(marks, lambda m: F.contains(plain, m))
+    return let(plain, lambda p: F.exists(marks, lambda m: F.contains(p, m)))
 
 
 def first_place(flags: Column) -> Column:
@@ -147,9 +147,11 @@ def bio_place(blocks: Column) -> Column:
     """``at, keep``: the first block with a note on the author, 0 if none, and how many of its characters stay, none after the opening."""
 
     def one(block: Column, i: Column) -> Column:
-        plain = compare_key(block)
-        far = F.filter(F.transform(F.array(*map(F.lit, BIOS)), lambda m: F.position(m, plain) - 1), lambda p: p > BIO_FROM)
-        return F.when((i >= OPENING) & has_any(plain, F.array(*map(F.lit, BIOS))), F.lit(0)).when((i < OPENING) & (F.size(far) > 0), F.get(far, F.lit(0)) - BIO_BACK)
+        def by(plain: Column) -> Column:
+            far = F.filter(F.transform(F.array(*map(F.lit, BIOS)), lambda m: F.position(m, plain) - 1), lambda p: p > BIO_FROM)
+            return F.when((i >= OPENING) & has_any(plain, F.array(*map(F.lit, BIOS))), F.lit(0)).when((i < OPENING) & (F.size(far) > 0), F.get(far, F.lit(0)) - BIO_BACK)
+
+        return let(compare_key(block), by)
 
     def found(keeps: Column) -> Column:
         at = first_place(F.transform(keeps, lambda k: k.isNotNull()))

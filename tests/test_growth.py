@@ -1,9 +1,11 @@
-"""What must not be done twice: texts read again for each measure."""
+"""What must not be done twice: texts read again for each measure, keys worked out again for each mark."""
+
+import re
 
 from pyspark.sql import functions as F
 
 from skein.functions.text import tokenize
-from skein.operators import graph
+from skein.operators import articles, graph
 
 
 def test_a_network_is_counted_in_one_pass_over_the_texts(spark):
@@ -20,3 +22,18 @@ def test_a_network_is_counted_in_one_pass_over_the_texts(spark):
     assert {r["id"] for r in best.nodes.collect()} == {"one", "two", "three"}
     assert {(r["source"], r["target"]): r["raw_weight"] for r in best.edges.collect()} == {("one", "two"): 2.0, ("one", "three"): 2.0, ("three", "two"): 3.0}
     assert seen.value == 3
+
+
+def test_keys_of_blocks_are_worked_out_once_for_all_marks(spark):
+    rows = spark.createDataFrame([(["A block", "About the author"],)], "a array<string>")
+    for made in (articles.tail_place(F.col("a"), F.array().cast("array<string>")), articles.bio_place(F.col("a"))):
+        plan = rows.select(made.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        asked = re.findall(r"(?<![_a-z])(?:[Cc]ontains|position|locate)\((.{12})", plan)
+        assert asked and all("lambda" in a or a.startswith("x_") for a in asked), asked
+
+
+def test_pages_are_not_cleaned_where_only_their_text_is_asked_for(spark, sf):
+    from skein.plans import QUERIES
+
+    plan = QUERIES["html_visible_text"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "regexp_replace" not in plan
