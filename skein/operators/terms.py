@@ -10,18 +10,67 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import record_text
 from ..functions.text import count_words, ngrams, tokenize, worked_out
+from ..storage import cut
 
 
-def term_counts(records: DataFrame, n: int = 1, stopwords: Sequence[str] = ()) -> DataFrame:
-    """``term, count`` of n-grams and where each stood first. The place is a number, so the aggregation stays in hashed memory."""
-    grams = records.select("ord", F.posexplode(ngrams(tokenize(record_text(), stopwords), n)).alias("pos", "term"))
+#: Buckets that n-grams are counted by before any is told from others of its bucket. A task sends a number for each at most.
+BUCKETS = 1 << 20
+#: Buckets for each place that first give a bound.
+FIRST = 8
+
+
+def gram_rows(records: DataFrame, n: int = 1, stopwords: Sequence[str] = ()) -> DataFrame:
+    """``ord, pos, term`` of n-grams."""
+    return records.select("ord", F.posexplode(ngrams(tokenize(record_text(), stopwords), n)).alias("pos", "term"))
+
+
+def tokens_kept(records: DataFrame, stopwords: Sequence[str] = ()) -> DataFrame:
+    """``ord`` and the tokens as one text, kept: several counts need them, and making them costs more than reading them."""
+    return cut(records.select("ord", F.array_join(tokenize(record_text(), stopwords), " ").alias("x_kept")))
+
+
+def kept_grams(kept: DataFrame, n: int) -> DataFrame:
+    """:func:`gram_rows` of :func:`tokens_kept`."""
+    return kept.select("ord", F.posexplode(ngrams(F.filter(F.split("x_kept", " "), lambda t: t != ""), n)).alias("pos", "term"))
+
+
+def counted(grams: DataFrame) -> DataFrame:
+    """``term, count`` and where each stood first. The place is a number, so the aggregation stays in hashed memory."""
     place = F.col("ord").cast("decimal(20,0)") * F.lit(10**9).cast("decimal(10,0)") + F.col("pos")
     return grams.groupBy("term").agg(F.count(F.lit(1)).alias("count"), F.min(place.cast("decimal(31,0)")).alias("x_first"))
 
 
+def term_counts(records: DataFrame, n: int = 1, stopwords: Sequence[str] = ()) -> DataFrame:
+    """:func:`counted` n-grams, all of them."""
+    return counted(gram_rows(records, n, stopwords))
+
+
+def commonest(records: DataFrame, n: int, limit: int, stopwords: Sequence[str] = (), kept: DataFrame | None = None) -> DataFrame:
+    """``term, count, x_first`` of the ``limit`` commonest n-grams, of equal ones the one that stood first; kept.
+
+    Most n-grams stand once or twice, so they aren't shuffled. They are counted by
+    buckets of a hash. The n-grams of the heaviest buckets are counted in full: the
+    count of the last of their ``limit`` commonest bounds that of all from below. No
+    n-gram of a bucket with a lesser total can be among the commonest; all others
+    are counted in full. Words are few, and are counted at once.
+    """
+    order = F.desc("count"), F.col("x_first")
+    if n == 1:
+        return cut(counted(kept_grams(kept, n) if kept is not None else gram_rows(records, n, stopwords)).orderBy(*order).limit(limit))
+    keyed = kept_grams(tokens_kept(records, stopwords) if kept is None else kept, n).withColumn("x_bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+    totals = cut(keyed.groupBy("x_bucket").agg(F.count(F.lit(1)).alias("x_total")))
+
+    def within(buckets: DataFrame) -> DataFrame:
+        return counted(keyed.join(F.broadcast(buckets.select("x_bucket")), "x_bucket", "left_semi"))
+
+    first = within(totals.orderBy(F.desc("x_total"), "x_bucket").limit(FIRST * limit)).orderBy(*order).limit(limit).select("count").collect()
+    least = min(r["count"] for r in first) if len(first) == limit else 1
+    return cut(within(totals.filter(F.col("x_total") >= least)).orderBy(*order).limit(limit))
+
+
 def top_terms(records: DataFrame, n: int = 1, limit: int = 30, least: int = 1, stopwords: Sequence[str] = ()) -> DataFrame:
     """The ``limit`` commonest n-grams, of equal ones the one that stood first; only then those below ``least`` go."""
-    return term_counts(records, n, stopwords).orderBy(F.desc("count"), "x_first").limit(limit).filter(F.col("count") >= least).select("term", "count")
+    return commonest(records, n, limit, stopwords).orderBy(F.desc("count"), "x_first").filter(F.col("count") >= least).select("term", "count")
 
 
 def term_shares(records: DataFrame, limit: int = 30, stopwords: Sequence[str] = ()) -> DataFrame:
@@ -34,7 +83,7 @@ def term_shares(records: DataFrame, limit: int = 30, stopwords: Sequence[str] =
 
 def stopword_candidates(records: DataFrame, limit: int = 50, stopwords: Sequence[str] = ()) -> DataFrame:
     """Common tokens that no list has yet."""
-    top = term_counts(records, 1).orderBy(F.desc("count"), "x_first").limit(3 * limit)
+    top = commonest(records, 1, 3 * limit)
     fresh = top.filter(~F.col("term").isin(*stopwords) & (F.col("count") >= 3)) if stopwords else top.filter("count >= 3")
     return fresh.orderBy(F.desc("count"), "x_first").limit(limit).select("term", F.col("count").alias("raw_count"))
 
@@ -100,8 +149,8 @@ def repeated_phrases(records: DataFrame, limit: int = 30, least: int = 2, stopwo
     has at least ``absorb`` of its count. An absorbed bigram that is a phrase
     itself is listed both ways.
     """
-    counts = {n: term_counts(records, n, stopwords) for n in (1, 2, 3)}
-    top = {n: c.orderBy(F.desc("count"), "x_first").limit(limit).filter(F.col("count") >= least) for n, c in counts.items()}
+    kept = tokens_kept(records, stopwords)
+    top = {n: commonest(records, n, limit, stopwords, kept).filter(F.col("count") >= least) for n in (1, 2, 3)}
     names = {1: "monogram", 2: "bigram", 3: "trigram"}
     phrases = top[3].select(F.col("term").alias("phrase"), F.col("count").alias("m"), F.lit(3).alias("size"), "x_first").unionByName(
         top[2].select(F.col("term").alias("phrase"), F.col("count").alias("m"), F.lit(2).alias("size"), "x_first")
@@ -109,10 +158,12 @@ def repeated_phrases(records: DataFrame, limit: int = 30, least: int = 2, stopwo
     # 2 * limit phrases at most: every part of a phrase is a key, so small n-grams meet them by equality.
     size, tokens = F.col("size"), F.split("phrase", " ")
     parts = phrases.select("*", F.explode(F.array_distinct(F.concat(tokens, F.when(size == 3, ngrams(tokens, 2)).otherwise(F.array().cast("array<string>"))))).alias("term"))
-    small = counts[1].unionByName(counts[2]).filter(F.col("count") >= least)
+    wanted = F.broadcast(parts.select("term").distinct())
+    small = [kept_grams(kept, n).join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("count")) for n in (1, 2)]
+    small = small[0].unionByName(small[1]).filter(F.col("count") >= least)
     order = F.struct(-F.col("size"), -F.col("m"), "x_phrase_first")
     absorbed = (
-        small.drop("x_first").join(parts.withColumnRenamed("x_first", "x_phrase_first"), "term")
+        small.join(parts.withColumnRenamed("x_first", "x_phrase_first"), "term")
         .filter(F.col("m") / F.col("count") >= absorb)
         .groupBy("term", "count").agg(F.min_by("phrase", order).alias("absorbed_by"))
     )

@@ -1,11 +1,12 @@
 """What must not be done twice: texts read again for each measure, keys worked out again for each mark."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
 
 from skein.functions.text import tokenize
-from skein.operators import articles, graph
+from skein.operators import articles, graph, terms
 
 
 def test_a_network_is_counted_in_one_pass_over_the_texts(spark):
@@ -37,3 +38,18 @@ def test_pages_are_not_cleaned_where_only_their_text_is_asked_for(spark, sf):
 
     plan = QUERIES["html_visible_text"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "regexp_replace" not in plan
+
+
+def test_rare_ngrams_are_not_shuffled_and_none_of_the_commonest_is_lost(spark, monkeypatch):
+    """Against a count of all, at few buckets, so that many n-grams share one; ties go to the one that stood first."""
+    dice = random.Random(5)
+    texts = [(i, " ".join(dice.choice(["aaa", "bbb", "ccc"]) if dice.random() < 0.4 else f"w{dice.randrange(10**6)}" for _ in range(40))) for i in range(200)]
+    rows = spark.createDataFrame([(i, t, t, "") for i, t in texts], "ord long, text_normalized string, text_clean string, title string")
+    full = [(r["term"], r["count"]) for r in terms.term_counts(rows, 2).orderBy(F.desc("count"), "x_first").limit(9).collect()]
+    asked = []
+    count = terms.counted
+    monkeypatch.setattr(terms, "counted", lambda grams: asked.append(grams) or count(grams))
+    for buckets in (1, 7, 64, 1 << 20):
+        monkeypatch.setattr(terms, "BUCKETS", buckets)
+        assert [(r["term"], r["count"]) for r in terms.top_terms(rows, 2, 9).collect()] == full
+    assert asked[-1].count() < terms.gram_rows(rows, 2).count() / 4
