@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
 AXES = ("u1", "u2", "u3")
 
 
@@ -68,15 +72,77 @@ def distance(a: str, b: str):
     return F.sqrt(sum(F.pow(F.col(f"{a}.{x}") - F.col(f"{b}.{x}"), 2) for x in AXES))
 
 
+#: Pairs that are compared without a grid, points that a cell of the first grid holds at most, and the finest grid's halvings of the whole extent.
+DIRECT, CROWD, FINEST = 20_000_000, 16, 48
+
+
+def nearest(places: DataFrame, points: DataFrame, by: str, other: bool = False) -> DataFrame:
+    """``by, u1, u2, u3, d``: for each place the distance to the nearest of the points of its group; with ``other``, of those that lie elsewhere.
+
+    Both have distinct rows without nulls. Places look into the cells around their
+    own, first of a grid in which no cell holds many points. What lies no farther
+    than a cell is wide can't be missed; places that find nothing as near look
+    again in cells of twice the width. The few that are left in the end meet all
+    points. A place that has no other point is left out.
+    """
+    def found(asked: DataFrame, offered: DataFrame, on: list[str]) -> DataFrame:
+        a, b = asked.alias("a"), offered.alias("b")
+        match = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in on]
+        if other:
+            match.append(~F.expr(" AND ".join(f"a.{x} = b.{x}" for x in AXES)))
+        pairs = a.join(b, match).select(*[F.col(f"a.{c}").alias(c) for c in (by, *AXES)], distance("a", "b").alias("d"))
+        return pairs.groupBy(by, *AXES).agg(F.min("d").alias("d"))
+
+    def pairs(asked: DataFrame) -> int:
+        n, m = asked.groupBy(by).agg(F.count(F.lit(1)).alias("n")).alias("n"), points.groupBy(by).agg(F.count(F.lit(1)).alias("m")).alias("m")
+        return n.join(m, F.col(f"n.{by}").eqNullSafe(F.col(f"m.{by}"))).agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+
+    if pairs(places) <= DIRECT:
+        return found(places, points, [by])
+    ends = places.select(*AXES).unionByName(points.select(*AXES)).agg(*[f(x).alias(f"{x}{k}") for x in AXES for k, f in enumerate((F.min, F.max))]).first()
+    whole = max(ends[f"{x}1"] - ends[f"{x}0"] for x in AXES)
+    if not 0 < whole < math.inf:
+        return found(places, points, [by])
+    names = [f"c{x}" for x in AXES]
+
+    def cells(halvings: int) -> list[Column]:
+        return [F.floor((F.col(x) - F.lit(ends[f"{x}0"])) / F.lit(whole / 2.0**halvings)).alias(c) for x, c in zip(AXES, names, strict=True)]
+
+    halvings = max(1, math.ceil(math.log2(max(1, points.count()) / CROWD) / len(AXES)))
+    while halvings < FINEST and points.groupBy(by, *cells(halvings)).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] > CROWD:
+        halvings += 1
+    left, done = places, []
+    while True:
+        asked = left.select(by, *AXES, *cells(halvings))
+        for c in names:
+            asked = asked.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
+        near = cut(found(asked, points.select(by, *AXES, *cells(halvings)), [by, *names]))
+        near = near.filter(F.col("d") <= whole / 2.0**halvings * (1 - 1e-9))
+        done.append(near)
+        key = [left[c].eqNullSafe(near[c]) for c in (by, *AXES)]
+        left = cut(left.join(near, key, "left_anti"))
+        halvings -= 1
+        if not halvings or pairs(left) <= DIRECT:
+            break
+    done.append(found(left, points, [by]))
+    return reduce(DataFrame.unionByName, done)
+
+
 def quality(points: DataFrame, reference: DataFrame, by: str = "method") -> DataFrame:
-    """Mean distance from the reference to each method's points, spread of nearest distances, mean extent. Fronts are small."""
-    p, r = points.alias("p"), reference.alias("r")
-    igd = r.crossJoin(p).select(F.col(f"p.{by}").alias(by), *[F.col(f"r.{x}").alias(f"r_{x}") for x in AXES], distance("p", "r").alias("d"))
-    igd = igd.groupBy(by, *[f"r_{x}" for x in AXES]).agg(F.min("d").alias("d")).groupBy(by).agg(F.round(F.avg("d"), 5).alias("igd"))
-    numbered = points.withColumn("k", F.row_number().over(Window.partitionBy(by).orderBy(*AXES)))
-    a, b = numbered.alias("a"), numbered.alias("b")
-    near = a.join(b, (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col("a.k") != F.col("b.k")), "left").groupBy(F.col(f"a.{by}").alias(by), F.col("a.k")).agg(F.coalesce(F.min(distance("a", "b")), F.lit(0.0)).alias("d"))
-    spread = near.groupBy(by).agg(F.round(F.stddev_pop("d"), 5).alias("spacing_std"))
+    """Mean distance from the reference to each method's points, spread of nearest distances, mean extent.
+
+    Every point counts, however many lie at one place. Points with a null
+    coordinate are near to none; among the nearest distances of their own they
+    count as 0, and so does a lone point.
+    """
+    points, reference = cut(points.select(by, *AXES)), cut(reference.select(*AXES))
+    places = cut(points.dropna(subset=list(AXES)).groupBy(by, *AXES).agg(F.count(F.lit(1)).alias("x_n")))
+    methods = points.select(by).distinct()
+    spots, lone = places.select(by, *AXES), places.filter("x_n = 1").select(by, *AXES)
+    away = nearest(cut(reference.dropna().distinct().crossJoin(methods).select(by, *AXES)), spots, by)
+    igd = reference.crossJoin(methods).join(away, [by, *AXES], "left").groupBy(by).agg(F.round(F.avg("d"), 5).alias("igd"))
+    apart = points.join(nearest(lone, spots, by, other=True), [by, *AXES], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
+    spread = apart.groupBy(by).agg(F.round(F.stddev_pop("d"), 5).alias("spacing_std"))
     extent = points.groupBy(by).agg(F.round(sum((F.max(x) - F.min(x) for x in AXES)) / 3, 5).alias("dispersion_extent"))
     return igd.join(spread, by).join(extent, by)
 

@@ -64,6 +64,28 @@ def test_statistics():
     assert nothing == (0.0, 0.0)
 
 
+def test_quality_of_fronts_against_all_pairs(spark, monkeypatch):
+    """Clumps, an outlier, repeated places, a lone point and nulls; with a grid and without, each place compared with few others in a grid."""
+    dice = random.Random(2)
+    table = [(f"m{dice.randrange(2)}", *(round(c + dice.gauss(0, s), 4) for c in (0.1, 0.5, 0.7))) for s in (0.001, 0.2) for _ in range(150)]
+    table += [*table[:20], ("m0", 6.0, -3.0, 0.0), ("m2", 0.3, 0.3, 0.3), ("m1", None, 0.1, 0.1)]
+    away = lambda a, b: None if None in (*a[1:], *b[1:]) else sum((x - y) ** 2 for x, y in zip(a[1:], b[1:], strict=True)) ** 0.5
+    wanted = {}
+    for m in ("m0", "m1", "m2"):
+        own = [p for p in table if p[0] == m]
+        near = [min((d for p in own if (d := away(r, p)) is not None), default=None) for r in table]
+        near = [d for d in near if d is not None]
+        gaps = [min((d for j, p in enumerate(own) if j != i and (d := away(q, p)) is not None), default=0.0) for i, q in enumerate(own)]
+        mean = sum(gaps) / len(gaps)
+        wanted[m] = (sum(near) / len(near), (sum((g - mean) ** 2 for g in gaps) / len(gaps)) ** 0.5)
+    rows = spark.createDataFrame(table, "method string, u1 double, u2 double, u3 double")
+    for direct in (geometry.DIRECT, 2000):
+        monkeypatch.setattr(geometry, "DIRECT", direct)
+        got = {r.method: (r.igd, r.spacing_std) for r in geometry.quality(rows, rows.drop("method")).collect()}
+        assert got.keys() == wanted.keys()
+        assert all(abs(x - y) < 1.1e-5 for m in got for x, y in zip(got[m], wanted[m], strict=True)), (got, wanted)
+
+
 def test_signed_ranks(spark):
     """Exact p-values against all signs of the ranks; shared ranks and zeros by the normal approximation."""
     dice = random.Random(3)
