@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -283,10 +283,18 @@ SAME = 1e-12
 EXACT_PAIRS = 50
 
 
-def draws(n: int, resamples: int, seed: int) -> np.ndarray:
-    """``resamples`` times n indices below n, with replacement."""
-    dice = random.Random(seed)
-    return np.array([dice.randrange(n) for _ in range(resamples * n)], np.int64).reshape(resamples, n)
+def draws(n: int, resamples: int, seed: int) -> Iterator[np.ndarray]:
+    """``resamples`` times n indices below n, with replacement, n at a time: what ``random.Random(seed).randrange(n)`` draws one by one, from the same generator."""
+    *key, at = random.Random(seed).getstate()[1]
+    bits = np.random.MT19937()
+    bits.state = {"bit_generator": "MT19937", "state": {"key": np.array(key, np.uint32), "pos": at}}
+    held = np.empty(0, np.int64)
+    for _ in range(resamples):
+        while len(held) < n:
+            new = (bits.random_raw(max(n, 1024)) >> np.uint64(32 - n.bit_length())).astype(np.int64)
+            held = np.concatenate([held, new[new < n]])
+        yield held[:n]
+        held = held[n:]
 
 
 def bootstrap_mean(values: Sequence[float | None], confidence: float = CONFIDENCE, resamples: int = RESAMPLES, seed: int = BOOTSTRAP_SEED) -> tuple[float, float]:
@@ -295,14 +303,14 @@ def bootstrap_mean(values: Sequence[float | None], confidence: float = CONFIDENC
     known = known[~np.isnan(known)]
     if len(known) < 2:
         return (round(float(known.sum()), DECIMALS),) * 2
-    means = np.sort(known[draws(len(known), max(LEAST_RESAMPLES, resamples), seed)].mean(axis=1))
+    means = np.sort([known[drawn].mean() for drawn in draws(len(known), max(LEAST_RESAMPLES, resamples), seed)])
     outside = float(np.clip(1.0 - confidence, 0.0, 1.0))
     ranks = (np.array([outside / 2, 1 - outside / 2]) * (len(means) - 1)).astype(int)
     return tuple(round(float(m), DECIMALS) for m in means[ranks])
 
 
 def bootstrap(rows: DataFrame, value: str, by: str, seed: int = BOOTSTRAP_SEED) -> DataFrame:
-    """Interval of the mean of each group. Groups are runs of an experiment: tens of values."""
+    """Interval of the mean of each group, whose values are held in one task, 8 bytes each, with one resample at a time."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         low, high = bootstrap_mean(pdf["v"].sort_values().tolist(), seed=seed + len(str(pdf["k"].iloc[0])))

@@ -64,6 +64,15 @@ def test_statistics():
     assert nothing == (0.0, 0.0)
 
 
+def test_resamples_are_drawn_one_at_a_time():
+    """The draws of CPython's generator one by one, also where n is a power of two, without a list of all of them."""
+    for n in (2, 7, 64, 1000):
+        dice = random.Random(5)
+        drawn = cover.draws(n, 30, 5)
+        assert iter(drawn) is drawn
+        assert [row.tolist() for row in drawn] == [[dice.randrange(n) for _ in range(n)] for _ in range(30)]
+
+
 def test_quality_of_fronts_against_all_pairs(spark, monkeypatch):
     """Clumps, an outlier, repeated places, a lone point and nulls; with a grid and without, each place compared with few others in a grid."""
     dice = random.Random(2)
