@@ -157,6 +157,30 @@ def test_echoes_equal_the_sequential_rule(spark):
         assert got[0].relation_type == "ORIGEN_DE_MARCO"
 
 
+def test_similar_sets_against_all_pairs(spark, monkeypatch):
+    """Large groups of equal sets, near ones, single tokens and empty sets; what is shuffled doesn't grow with the square of a group."""
+    monkeypatch.setattr(folds, "CHUNK", 7)
+    dice = random.Random(4)
+    sets = {k: {f"w{j}" for j in range(30)} for k in range(40)}
+    for k in range(40, 160):
+        sets[k] = {f"w{int(dice.paretovariate(0.7))}" for _ in range(dice.randint(0, 12))}
+        if k % 3 == 0:
+            sets[k] = sets[dice.randrange(k)] ^ {f"w{dice.randrange(30)}"}
+    rows = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "id long, tokens array<string>")
+    made, classes = [], folds.similar_classes
+    monkeypatch.setattr(folds, "similar_classes", lambda s, t: made.append(s) or classes(s, t))
+    for threshold in (0.5, 0.8, 1.0):
+        got = {(r.i, r.j): r.similarity for r in folds.similar_sets(rows, threshold).collect()}
+        assert got == {(i, j): s for j, b in sets.items() for i, a in sets.items() if i < j and a and b and (s := len(a & b) / len(a | b)) >= threshold}
+    assert made[0].count() == len({frozenset(v) for v in sets.values() if v}) < len(sets) - 40 + 1
+
+
+def test_closest_earlier_set_in_blocks(spark, monkeypatch):
+    """Blocks of few ids meet each other in groups of their own."""
+    monkeypatch.setattr(folds, "BLOCK", 40)
+    test_closest_earlier_set_against_all_pairs(spark)
+
+
 def test_closest_earlier_set_against_all_pairs(spark):
     """Tokens that are everywhere, rare ones, sets of all sizes and of one token, none alike."""
     dice = random.Random(3)
