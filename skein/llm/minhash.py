@@ -21,7 +21,8 @@ on, and only pairs that are known to be linked already are left out.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -96,10 +97,15 @@ def likely(held: np.ndarray, probes: np.ndarray, left: np.ndarray) -> tuple[np.n
     return a[order], b[order]
 
 
+#: Of the pairs marked in an array of held by probes, those that go on to their whole sets.
+Judge = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
 class Group:
-    """One group's held sets; probes meet them as they come."""
+    """One group's held sets; probes meet them as they come. ``judge`` tells by their prints which pairs are compared."""
 
-    def __init__(self) -> None:
+    def __init__(self, judge: Judge) -> None:
+        self.judge = judge
         self.nodes, self.sets, self.prints, self.comps = [], [], [], []
         self.ready, self.root = False, {}
 
@@ -120,7 +126,7 @@ class Group:
         fits = (np.minimum(self.sizes[:, None], sizes) * LEAST[1] >= LEAST[0] * np.maximum(self.sizes[:, None], sizes)) & (self.of[:, None] != np.array(comps))
         fits &= np.array(main) | (at < self.at[:, None])
         out = []
-        for h, p in zip(*(x.tolist() for x in likely(self.prints, prints, fits)), strict=True):
+        for h, p in zip(*(x.tolist() for x in self.judge(self.prints, prints, fits)), strict=True):
             a, b = self.find(self.comps[h]), self.find(comps[p])
             if a != b:
                 common = len(np.intersect1d(self.sets[h], sets[p], assume_unique=True))
@@ -134,9 +140,9 @@ class Group:
 CELLS = 1 << 19
 
 
-def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def compare(batches: Iterator[pa.RecordBatch], judge: Judge) -> Iterator[pa.RecordBatch]:
     """``x, y, z, role, node, comp, main, print, shingles`` sorted by group and role (0: held, 1: probe) -> links ``a, b``."""
-    now, group = None, Group()
+    now, group = None, Group(judge)
     waiting: list[tuple] = []
 
     def met() -> list[tuple[int, int]]:
@@ -149,7 +155,7 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x, y, z, role, node, comp, main, prints, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (x, y, z) != now:
                 out += met()
-                now, group = (x, y, z), Group()
+                now, group = (x, y, z), Group(judge)
             signs, own = np.frombuffer(prints, np.uint32), np.frombuffer(shingles, np.uint64)
             if role:
                 waiting.append((node, comp, main, signs, own))
@@ -168,13 +174,13 @@ def links_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def prints_of(rows: DataFrame, shingle: int) -> DataFrame:
+def prints_of(rows: DataFrame, shingle: int, sign: Callable[[np.ndarray], bytes]) -> DataFrame:
     """``x_id, x_row, text`` -> ``x_id, x_row, digest, size, print``: what a text's set is known by."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py(), shingle) for t in batch.column(2)]
-            columns = [batch.column(0), batch.column(1), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s).tobytes() for s in sets], pa.binary())]
+            columns = [batch.column(0), batch.column(1), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sign(s) for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["x_id", "x_row", "digest", "size", "print"])
 
     return rows.mapInArrow(make, "x_id long, x_row binary, digest binary, size long, print binary")
@@ -193,10 +199,10 @@ def sets_of(texts: DataFrame, shingle: int) -> DataFrame:
 MET = ["x", "y", "z", "role", "node", "comp", "main", "print", "shingles"]
 
 
-def links(groups: DataFrame, sets: DataFrame) -> DataFrame:
+def links(groups: DataFrame, sets: DataFrame, judge: Judge) -> DataFrame:
     """``x, y, z, role, node, comp, main`` -> links: every node is given its set, and groups meet."""
     rows = groups.join(sets, "node").select(MET)
-    return rows.repartition("x", "y", "z").sortWithinPartitions("x", "y", "z", "role").mapInArrow(compare, "a long, b long")
+    return rows.repartition("x", "y", "z").sortWithinPartitions("x", "y", "z", "role").mapInArrow(partial(compare, judge=judge), "a long, b long")
 
 
 def least_of(block: int) -> int:
@@ -242,31 +248,29 @@ def texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return near.join(wanted, near["x_id"].eqNullSafe(wanted["w_id"]) & (near["x_row"] == wanted["w_row"]))
 
 
-def similar_sets(docs: DataFrame, block: int = BLOCK, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """Each row's ``x_id, x_row, digest, size``, and for each digest of a set that isn't empty the node and component that it belongs to."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("x_id"), row_key().alias("x_row"), "text")
-    prints = cut(prints_of(rows, shingle))
+def distinct_sets(rows: DataFrame, shingle: int, sign: Callable[[np.ndarray], bytes]) -> tuple[DataFrame, DataFrame]:
+    """``x_id, x_row, text`` -> each row's ``x_id, x_row, digest, size``, and ``node, digest, x_of, size, print`` of each set that isn't empty."""
+    prints = cut(prints_of(rows, shingle, sign))
     known = cut(prints.select("x_id", "x_row", "digest", "size"))
     one = prints.filter("size > 0").groupBy("digest").agg(F.min(F.struct("x_id", "x_row")).alias("x_of"), F.first("size").alias("size"), F.first("print").alias("print"))
     nodes = cut(one.withColumn("node", F.monotonically_increasing_id()))
-    del prints, one
-    release(spark)
-    keyed = nodes.select("node", "size", F.explode(band_keys(F.col("print"))).alias("key"))
-    # Near copies share most of their keys: of keys with the same documents, by 128 bits of their hashes, one is enough.
-    who = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"who{k}") for k in (0, 1)]
-    shared = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *who).filter("n > 1").groupBy("n", "who0", "who1").agg(F.min("key").alias("key")).select("key"))
-    release(spark)
-    members = cut(keyed.join(shared, "key").select("key", "node", "size", F.col("node").alias("comp")))
-    release(spark)
+    return known, nodes
+
+
+def linked(rows: DataFrame, nodes: DataFrame, members: DataFrame, shingle: int, block: int, judge: Judge) -> DataFrame:
+    """``key, node, size, comp`` (each node its own component) -> ``digest, component``, linked by whole sets of those of a key.
+
+    ``nodes`` are ``node, digest, x_of, print``, ``judge`` reads their prints.
+    """
+    spark = rows.sparkSession
     wanted = cut(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "print", F.col("x_of.x_id").alias("w_id"), F.col("x_of.x_row").alias("w_row")))
     of = cut(nodes.select("node", "digest"))
-    del nodes, keyed, shared
+    del nodes
     texts = texts_of(rows, wanted).select("node", "print", "text")
     sets = cut(sets_of(texts, shingle).dropDuplicates(["node"]))
     release(spark)
     every, by_key = F.xxhash64("node"), F.xxhash64("node", "key")
-    found = cut(links(led(members, every, block), sets))
+    found = cut(links(led(members, every, block), sets, judge))
     for before, groups in ((every, lambda m: led(m, by_key, block)), (by_key, lambda m: blocked(m, block))):
         release(spark)
         comp = components(found)
@@ -276,9 +280,26 @@ def similar_sets(docs: DataFrame, block: int = BLOCK, shingle: int = SHINGLE) ->
         members = cut(left.join(split, "key", "left_semi").select("key", "node", "size", "comp"))
         if members.isEmpty():
             break
-        found = cut(found.unionByName(links(groups(members), sets)))
+        found = cut(found.unionByName(links(groups(members), sets, judge)))
+    release(spark)
+    return of.join(components(found), "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+
+
+def similar_sets(docs: DataFrame, block: int = BLOCK, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """Each row's ``x_id, x_row, digest, size``, and for each digest of a set that isn't empty the node and component that it belongs to."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("x_id"), row_key().alias("x_row"), "text")
+    known, nodes = distinct_sets(rows, shingle, lambda s: signature(s).tobytes())
+    release(spark)
+    keyed = nodes.select("node", "size", F.explode(band_keys(F.col("print"))).alias("key"))
+    # Near copies share most of their keys: of keys with the same documents, by 128 bits of their hashes, one is enough.
+    who = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"who{k}") for k in (0, 1)]
+    shared = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *who).filter("n > 1").groupBy("n", "who0", "who1").agg(F.min("key").alias("key")).select("key"))
+    release(spark)
+    members = cut(keyed.join(shared, "key").select("key", "node", "size", F.col("node").alias("comp")))
+    del keyed, shared
     release(spark)
-    return known, of.join(components(found), "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    return known, linked(rows, nodes, members, shingle, block, likely)
 
 
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:

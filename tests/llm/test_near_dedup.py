@@ -1,8 +1,10 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 import pytest
-from skein.llm import near_dedup
+from skein.llm import minhash, near_dedup
 from skein.llm.common import read
 
 
@@ -73,3 +75,25 @@ def test_repeated_and_missing_ids(docs_of, copies):
     (_, a), (_, b) = copies[0], copies[10]
     assert kept(near_dedup.drop_similar(docs_of([(7, a), (7, a), (7, b), (8, b), (None, a), (None, "no copy"), (None, "no copy")]))) == [(False, 7), (False, 7), (True, 0)]
     assert near_dedup.drop_similar(docs_of([])).count() == 0
+
+
+def test_links_share_a_key_of_fingerprints(spark, copies):
+    tables = near_dedup.tables_for(16)
+    rows = [(i, near_dedup.fingerprint(minhash.shingle_set(t, 5), 16, tables)) for i, t in copies]
+    key = {r.node: r.key for r in near_dedup.candidates(spark.createDataFrame(rows, "node long, print binary"), tables).collect()}
+    linked = [g for g in groups(copies) if len(g) > 1]
+    assert len(linked) > 30 and all(len({key[i] for i in g}) == 1 for g in linked)
+    assert len(set(key.values())) >= 40  # texts of different bases aren't candidates
+
+
+def test_crowded_buckets_across_batches(monkeypatch):
+    """Of a bucket of any size all nodes are joined, wherever batches end; far prints of a small one aren't."""
+    dice = np.random.default_rng(2)
+    key = np.concatenate([np.full(3, 1), np.full(3 * near_dedup.CROWDED, 2), np.full(2, 3)])
+    node, (p, q) = np.arange(len(key)), dice.integers(-(2**63), 2**63 - 1, (2, len(key)))
+    p[-1], q[-1] = p[-2], q[-2] ^ 7
+    for gathered in (500, 1 << 17):
+        monkeypatch.setattr(near_dedup, "GATHER", gathered)
+        batches = (pa.RecordBatch.from_arrays([pa.array(c[i : i + 300]) for c in (key, node, p, q)], names=["key", "node", "p", "q"]) for i in range(0, len(key), 300))
+        found = {tuple(sorted((r["a"], r["b"]))) for b in near_dedup.compared(batches) for r in b.to_pylist() if r["a"] != r["b"]}
+        assert found == {(3, i) for i in range(4, len(key) - 2)} | {(len(key) - 2, len(key) - 1)}
