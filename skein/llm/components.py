@@ -1,24 +1,30 @@
 """Connected components of a graph of any size, by stars.
 
 Links are first thinned in each partition (disjoint sets in memory bounded by the
-partition). Then two steps alternate until nothing changes: each node hands its
-larger neighbours to the least node that it knows (large star), then its smaller
-ones (small star). Every step is an aggregation and a join by node, so a node
-with very many links is pre-aggregated and its join can be split.
+partition). While more than ``FEW`` are left, two steps alternate until nothing
+changes: each node hands its larger neighbours to the least node that it knows
+(large star), then its smaller ones (small star). Every step is an aggregation
+and a join by node, so a node with very many links is pre-aggregated and its join
+can be split. Partitions are put together as long as none gets more than ``FEW``
+links, and thinned again: a large group that many partitions have found is few
+links then, and the last ``FEW`` need no more steps.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 #: Steps after which a graph of n nodes is done for certain are in the order of log(n) squared.
 MOST_STEPS = 200
+#: Links that are thinned in one task, on average.
+FEW = 1 << 16
 
 
 def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,22 +52,35 @@ def state(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.hash("a", "b").cast("long"))).first())
 
 
+def gathered(links: DataFrame, n: int) -> DataFrame:
+    """``links``, ``n`` of them, thinned in as few partitions as hold ``FEW`` each."""
+    return links.coalesce(math.ceil(n / FEW)).mapInArrow(thinned, "a long, b long") if n else links
+
+
 def components(links: DataFrame) -> DataFrame:
     """``a, b`` -> ``node, component``: for each node of a link the least node that it reaches. Nulls and self-links say nothing."""
-    e = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e = cut(e.mapInArrow(thinned, "a long, b long").distinct())
-    before = state(e)
-    for _ in range(MOST_STEPS):
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        e = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = e.groupBy("a").agg(F.min("b").alias("m"))
-        moved = e.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("x"), "m"), F.struct(F.col("a").alias("x"), "m"))).alias("s"))
-        e = cut(moved.select(F.col("s.x").alias("a"), F.col("s.m").alias("b")).filter("a <> b").distinct())
-        now = state(e)
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("the components did not settle")
+    e = cut(links.filter("a <> b").select("a", "b").mapInArrow(thinned, "a long, b long"))
+    n = e.count()
+    if n > FEW:
+        e = cut(gathered(e, n))
+        before = state(e)
+        for _ in range(MOST_STEPS):
+            n = before[0]
+            if n <= FEW:
+                break
+            both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+            e = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+            least = e.groupBy("a").agg(F.min("b").alias("b"))
+            moved = e.join(least.withColumnRenamed("b", "m"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            e = cut(moved.filter("a <> b").unionByName(least).distinct())
+            release(e.sparkSession)
+            now = state(e)
+            if now == before:
+                break
+            before = now
+        else:
+            raise RuntimeError("the components did not settle")
+    if n <= FEW:
+        e = cut(gathered(e, n))
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

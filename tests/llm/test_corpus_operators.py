@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from skein.llm import bitslice, decontaminate, exact_dedup, hashes, language_model, mixing, simhash, substring_dedup
+from skein.llm import components as components_of
 from skein.llm.components import components
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -329,6 +330,30 @@ def test_components(spark):
     assert {(r["node"], r["component"]) for r in rows(found)} == {(x, find(x)) for x in list(root)}
 
 
+@pytest.mark.parametrize("few", [4, 64])
+def test_components_of_more_links_than_a_task_takes(spark, monkeypatch, few):
+    """A long path, a star, a tree and small groups, whose links lie in any partition."""
+    monkeypatch.setattr(components_of, "FEW", few)
+    links = [(i, i + 1) for i in range(100)] + [(500 + i, 500) for i in range(1, 150)] + [(2000 + i, 2000 + i // 2) for i in range(1, 120)] + [(3000 + 3 * i, 3001 + 3 * i) for i in range(90)]
+    random.Random(5).shuffle(links)
+    want = {(i, 0) for i in range(101)} | {(500 + i, 500) for i in range(150)} | {(2000 + i, 2000) for i in range(120)} | {(3000 + 3 * i + k, 3000 + 3 * i) for i in range(90) for k in (0, 1)}
+    found = rows(components(spark.createDataFrame(links, "a long, b long").repartition(7)))
+    assert len(found) == len(want) and {(r["node"], r["component"]) for r in found} == want
+
+
+def test_a_group_that_all_partitions_found_takes_few_jobs(spark):
+    """Every step over its links is tasks and shuffle files of each partition: it took 16 jobs."""
+    links = spark.range(0, 32 * 300, 1, 32).selectExpr("id % 300 + 1 AS a", "id % 300 DIV 150 AS b").unionByName(spark.sql("SELECT 1L AS a, 0L AS b"))
+    sc = spark.sparkContext
+    sc.setJobGroup("large group", "")
+    try:
+        found = rows(components(links))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(found) == 301 and {(r["node"], r["component"]) for r in found} == {(i, 0) for i in range(301)}
+    assert len(sc.statusTracker().getJobIdsForGroup("large group")) <= 8
+
+
 def test_language_model(docs_of, made, odd):
     table = [*made, *[(d + 1000, t) for d, t in odd if d is not None and d != 7]]
     found = {r["doc_id"]: r for r in rows(language_model.score_corpus(docs_of(table)))}
