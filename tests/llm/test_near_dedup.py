@@ -86,6 +86,19 @@ def test_links_share_a_key_of_fingerprints(spark, copies):
     assert len(set(key.values())) >= 40  # texts of different bases aren't candidates
 
 
+def test_a_large_group_is_not_linked_by_every_table(spark, monkeypatch):
+    """Each table linked all of its nodes, under each of their keys."""
+    dice, tables, n = random.Random(3), near_dedup.tables_for(16), 120
+    base = [f"w{dice.randrange(5000)}" for _ in range(200)]
+    texts = [" ".join([*base[:k], f"x{i}", *base[k + 1 :]]) for i, k in ((i, dice.randrange(200)) for i in range(n))]
+    rows = [(i, near_dedup.fingerprint(minhash.shingle_set(t, 5), 16, tables)) for i, t in enumerate(texts)]
+    made, components = [], near_dedup.components
+    monkeypatch.setattr(near_dedup, "components", lambda links: made.append(links.count()) or components(links))
+    found = near_dedup.candidates(spark.createDataFrame(rows, "node long, print binary"), tables).collect()
+    assert sorted(r.node for r in found) == list(range(n)) and {r.key for r in found} == {0}
+    assert made[-1] <= 4 * n + n  # 4 partitions, and what the first tables left
+
+
 def test_crowded_buckets_across_batches(monkeypatch):
     """Of a bucket of any size all nodes are joined, wherever batches end; far prints of a small one aren't."""
     dice = np.random.default_rng(2)
