@@ -98,8 +98,11 @@ def past_title(block: Column, core: Column, otherwise: Column) -> Column:
     return F.when(core != "", let(F.struct(place(core, block).alias("at")), rest)).otherwise(otherwise)
 
 
-def without_title(blocks: Column, title: Column) -> Column:
-    """``array<struct<block, touched>>``: blocks at the top that repeat the title go (null) or lose it."""
+def without_title(blocks: Column, title: Column, site_names: bool = True) -> Column:
+    """``array<struct<block, touched>>``: blocks at the top that repeat the title go (null) or lose it.
+
+    A title's core is what stands before the name of a site; without ``site_names`` it is the title.
+    """
 
     def judged(t: Column) -> Column:
         def one(block: Column, i: Column) -> Column:
@@ -124,7 +127,7 @@ def without_title(blocks: Column, title: Column) -> Column:
 
         return F.transform(blocks, one)
 
-    core = F.trim(F.split(title, r"\s+[–—-]\s+|\s+\|\s+", 2)[0])
+    core = F.trim(F.split(title, r"\s+[–—-]\s+|\s+\|\s+", 2)[0]) if site_names else title
     return let(F.struct(title.alias("title"), core.alias("core"), compare_key(title).alias("plain"), compare_key(core).alias("core_plain")), judged)
 
 
@@ -181,17 +184,18 @@ def measured(text_clean: Column) -> dict[str, Column]:
     }
 
 
-def clean(records: DataFrame, raw: str = "text_raw_visible", tail_marks: str | None = None) -> DataFrame:
+def clean(records: DataFrame, raw: str = "text_raw_visible", tail_marks: str | None = None, site_names: bool = True) -> DataFrame:
     """Adds ``text_clean, text_normalized, word_count, paragraph_count, cleaning_notes`` to ``records`` with a ``title``.
 
     ``tail_marks``: a column with the source's own marks of an article's end, folded.
+    ``site_names``: titles may end with a dash or a bar and the name of a site.
     Null texts and titles count as empty. Each step is one column over the array of blocks.
     """
     title = F.coalesce("title", F.lit(""))
     own = F.coalesce(F.col(tail_marks), F.array().cast(NO_TEXTS)) if tail_marks else F.array().cast(NO_TEXTS)
     rows = worked_out(records, x_all=F.filter(F.transform(F.transform(blocks_of(F.col(raw)), cut_inside), without_widgets), lambda b: b != ""))
     rows = worked_out(rows, x_own=F.filter("x_all", lambda b: ~is_boilerplate(b)))
-    rows = worked_out(rows, x_titled=without_title(F.col("x_own"), title))
+    rows = worked_out(rows, x_titled=without_title(F.col("x_own"), title, site_names))
     rows = worked_out(rows, x_bare=F.filter(F.transform("x_titled", lambda x: x["block"]), lambda b: b.isNotNull()), x_touched=F.aggregate("x_titled", F.lit(0), lambda n, x: n + x["touched"]))
     rows = worked_out(rows, x_tail=tail_place(F.col("x_bare"), own))
     rows = worked_out(rows, x_body=F.when(F.col("x_tail") > 0, F.slice("x_bare", 1, F.greatest(F.lit(0), F.col("x_tail") - 1))).otherwise(F.col("x_bare")))
