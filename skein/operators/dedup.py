@@ -11,15 +11,17 @@ from ..functions.keys import document_key, url_key, url_path_key
 from ..functions.text import compare_key, first_set
 from .records import genre, usable
 
-#: Who wins and what tells documents apart: the four callers of a merge differ.
-POLICIES = ("document", "url_first", "url_or_title", "url_last")
+#: Who wins and what tells documents apart: the callers of a merge differ.
+POLICIES = ("document", "document_or_title", "url_first", "url_or_title", "url_last")
 
 
 def dedup_key(policy: str) -> Column:
-    """The key of a record; records without any are told apart by all that they say."""
+    """The key of a record; records without any are told apart by all that they say, with ``document_or_title`` by their titles, empty and null ones too."""
     whole = F.concat(F.lit("hash:"), F.sha2(F.concat_ws("|", F.coalesce("title", F.lit("")), F.coalesce("text_clean", F.lit("")), F.coalesce("medium", F.lit(""))), 256))
-    if policy == "document":
+    if policy in ("document", "document_or_title"):
         key = document_key(F.col("url"), F.col("title"), F.col("year"), F.col("medium"))
+        if policy == "document_or_title":
+            return F.coalesce(F.nullif(key, F.lit("")), F.nullif("url", F.lit("")), "title")
         return first_set(key, F.col("url"), F.col("title"), whole)
     if policy == "url_first":
         title = compare_key(F.coalesce("title", F.lit("")))
@@ -36,14 +38,19 @@ def with_duplicates(records: DataFrame, policy: str = "document") -> DataFrame:
     """All rows with ``dedup_key``, ``copy`` (1 for the row that stays) and ``duplicate_of``, by ``ord``: the first of a key stays, or the last."""
     keyed = records.withColumn("dedup_key", dedup_key(policy))
     own = Window.partitionBy("dedup_key").orderBy(F.desc("ord") if policy == "url_last" else F.asc("ord"))
-    return keyed.withColumns({"copy": F.row_number().over(own), "duplicate_of": F.first(first_set(F.col("url"), F.col("title"))).over(own)})
+    name = F.coalesce(F.nullif("url", F.lit("")), "title") if policy == "document_or_title" else first_set(F.col("url"), F.col("title"))
+    return keyed.withColumns({"copy": F.row_number().over(own), "duplicate_of": F.first(name).over(own)})
 
 
 def dedup(records: DataFrame, policy: str = "document") -> DataFrame:
-    """The rows that stay. The winner of each key is found by aggregation, which combines before the shuffle; only then does it meet its row."""
+    """The rows that stay, one of each key. The winner is found by aggregation, which combines before the shuffle; only then does it meet its row.
+
+    A key and its ``ord`` meet as one value, in which nulls are equal.
+    """
+    at = F.struct("dedup_key", "ord").alias("x_at")
     keyed = records.withColumn("dedup_key", dedup_key(policy))
-    best = keyed.groupBy("dedup_key").agg((F.max if policy == "url_last" else F.min)("ord").alias("ord"))
-    return keyed.join(best, ["dedup_key", "ord"], "left_semi")
+    best = keyed.groupBy("dedup_key").agg((F.max if policy == "url_last" else F.min)("ord").alias("ord")).select(at)
+    return keyed.select("*", at).join(best, "x_at", "left_semi").dropDuplicates(["x_at"]).drop("x_at")
 
 
 def _together(sources: dict[str, DataFrame], policy: str) -> DataFrame:

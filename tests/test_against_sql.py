@@ -31,3 +31,25 @@ def test_article_titles_with_bars(both):
     rest = "| six | more | words | stand | here | and | others | follow | them | to | the | end"
     got, want = both("article_clean", [(1, f"alpha | bravo charlie | delta.\nEcho foxtrot golf hotel india {rest}\nAlphabet {rest}\nLast one."), (2, f"alpha - bravo | charlie {rest}\nAlpha {rest}")])
     assert got == want
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [(1, ""), (2, "a title"), (3, "")],
+        [(1, None), (2, "a title"), (3, None), (4, "")],
+        [(1, "a title"), (1, "A title!"), (2, "a title"), (2, "b")],
+        [(None, "a title"), (None, "b"), (1, "b")],
+        [(1, "È È, Ç"), (2, "È È, Ç"), (3, "Ç")],
+        [(1, "\u0130stanbul"), (2, "istanbul"), (3, "\u212aelvin"), (4, "kelvin")],
+    ],
+)
+def test_dedup_document_of_odd_titles(both, rows):
+    """Empty and null titles, ids that repeat, null ids, titles without a letter that a key keeps, capitals of other alphabets."""
+    got, want = both("dedup_document", rows)
+    assert got == want
+
+
+def test_dedup_duplicates_of_odd_titles(both):
+    got, want = both("dedup_duplicates", [(1, ""), (2, None), (3, ""), (4, "a title"), (5, None), (6, "A title.")])
+    assert got == want
