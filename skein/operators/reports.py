@@ -11,11 +11,11 @@ from ..functions import lexicon
 from ..functions.keys import domain, event_key, record_text
 from ..functions.text import first_set, tokenize
 from .records import genre, usable
-from .terms import top_terms
+from .terms import repeated_grams, tokens_kept
 
 STAGES = tuple(lexicon.EVENT_STAGES)
-#: N-grams that count as relations, and how often they have to be there.
-RELATIONS_MOST, RELATIONS_LEAST = 500, 2
+#: How often an n-gram has to be there to count as a relation.
+RELATIONS_LEAST = 2
 
 
 def last_by(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -46,8 +46,9 @@ def core_metrics(records: DataFrame, events: DataFrame, found_actors: DataFrame,
         F.count_distinct("year").alias("temporal_markers"),
     )
     hits = events.agg(F.coalesce(F.sum(sum((F.when(F.coalesce(s, F.lit("")) != "", 1).otherwise(0) for s in stages), F.lit(0))), F.lit(0)).alias("events_or_stages"))
-    names = found_actors.select(F.explode("actors").alias("a")).distinct().limit(RELATIONS_MOST).agg(F.count(F.lit(1)).alias("actors"))
-    grams = [top_terms(records, n, RELATIONS_MOST, RELATIONS_LEAST, stopwords).agg(F.count(F.lit(1)).alias(f"r{n}")) for n in (2, 3)]
+    names = found_actors.select(F.explode("actors").alias("a")).distinct().agg(F.count(F.lit(1)).alias("actors"))
+    kept = tokens_kept(records, stopwords)
+    grams = [repeated_grams(kept, n, RELATIONS_LEAST).agg(F.count(F.lit(1)).alias(f"r{n}")) for n in (2, 3)]
     out = own  # each side is one row
     for side in (hits, names, *grams):
         out = out.crossJoin(side)

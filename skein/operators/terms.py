@@ -40,6 +40,11 @@ def counted(grams: DataFrame) -> DataFrame:
     return grams.groupBy("term").agg(F.count(F.lit(1)).alias("count"), F.min(place.cast("decimal(31,0)")).alias("x_first"))
 
 
+def repeated_grams(kept: DataFrame, n: int, least: int = 2) -> DataFrame:
+    """``term, count`` of all n-grams of :func:`tokens_kept` that stand ``least`` times."""
+    return kept_grams(kept, n).groupBy("term").agg(F.count(F.lit(1)).alias("count")).filter(F.col("count") >= least)
+
+
 def term_counts(records: DataFrame, n: int = 1, stopwords: Sequence[str] = ()) -> DataFrame:
     """:func:`counted` n-grams, all of them."""
     return counted(gram_rows(records, n, stopwords))

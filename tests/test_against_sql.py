@@ -12,11 +12,11 @@ DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
 
 @pytest.fixture
 def both(spark, tmp_path):
-    """The rows of a query and of its SQL on documents, given as ``(doc_id, text)``."""
+    """The rows of a query and of its SQL on documents, given as ``(doc_id, text)`` and, if it matters, a source."""
 
     def run(name, rows):
         folder = str(tmp_path / "tables")
-        spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], DOCUMENT).write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(i, t, "en", *(source or ["web"]), len(t or "")) for i, t, *source in rows], DOCUMENT).write.mode("overwrite").parquet(f"{folder}/documents.parquet")
         got = driver.queries()[name](spark, folder)
         with duckdb.connect() as con:
             con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
@@ -53,3 +53,13 @@ def test_dedup_document_of_odd_titles(both, rows):
 def test_dedup_duplicates_of_odd_titles(both):
     got, want = both("dedup_duplicates", [(1, ""), (2, None), (3, ""), (4, "a title"), (5, None), (6, "A title.")])
     assert got == want
+
+
+def test_core_metrics_counts_all(both):
+    """More repeated n-grams and sources than a display has, and a stage that only the last of many sentences has."""
+    many = " ".join(f"word{i}x" for i in range(700)) + ". "
+    long = "7 is how a sentence of some length but of no mark begins. " * 100 + "8 is how a sentence of some length begins and stops."
+    got, want = both("core_metrics", [(1, many * 2), (2, long), *[(i, f"text {i}", f"s{i}") for i in range(3, 603)]])
+    assert got == want
+    row = next(iter(got))
+    assert row[-2] == 601 and row[-1] > 1398 and row[-3] > 0
