@@ -3,10 +3,11 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from skein.functions.text import tokenize
-from skein.operators import articles, graph, terms
+from skein.operators import articles, folds, graph, terms
 
 
 def test_a_network_is_counted_in_one_pass_over_the_texts(spark):
@@ -53,3 +54,18 @@ def test_rare_ngrams_are_not_shuffled_and_none_of_the_commonest_is_lost(spark, m
         monkeypatch.setattr(terms, "BUCKETS", buckets)
         assert [(r["term"], r["count"]) for r in terms.top_terms(rows, 2, 9).collect()] == full
     assert asked[-1].count() < terms.gram_rows(rows, 2).count() / 4
+
+
+def test_closest_set_is_counted_in_bytes():
+    """A search among a block's sets works on a byte for each, not eight, and is that of all pairs; sets of more than a byte's tokens take two."""
+    for top, width in ((80, 1), (300, 2)):
+        rng = np.random.default_rng(top)
+        sets = [np.unique(rng.zipf(1.3, int(n)) % 900) for n in rng.integers(1, top, 300)] + [np.arange(top)]
+        sizes, ids = np.array([len(s) for s in sets]), np.arange(5, 5 + len(sets))
+        held = folds.Held(ids, sizes, np.concatenate(sets))
+        assert held.counts(np.arange(3)).dtype.itemsize == width
+        for k in range(0, len(sets), 7):
+            share = [len(np.intersect1d(sets[k], s)) / len(np.union1d(sets[k], s)) for s in sets[:k]]
+            for least in (0.0, 0.2, 0.9):
+                known = np.flatnonzero(np.isin(held.tokens, sets[k]))
+                assert held.best(int(ids[k]), len(sets[k]), known, least) == max([least, *share])
